@@ -22,8 +22,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimworks.llm import _tables
 
-#: Distinct pre-tokens a worker remembers before it starts afresh.
-CACHE = 200_000
+#: Distinct chunks that a worker remembers before it starts afresh.
+CACHE = 500_000
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -64,8 +64,8 @@ def serialise(pieces: list[str]) -> bytes:
     return body + _field(2, trainer) + _field(3, normaliser)
 
 
-#: Number of ids, ids, the ids in decimal joined by spaces, the bytes that the ids decode to.
-Chunk = tuple[int, tuple[int, ...], str, bytes]
+#: Number of ids, the ids in decimal joined by spaces, the bytes that the ids decode to.
+Chunk = tuple[int, str, bytes]
 _LOOSE = re.compile(r" \s| \Z").search
 
 
@@ -90,33 +90,36 @@ class Codec:
     def _spell(self, token: bytes) -> str:
         return token.decode("latin-1").translate(self._map)
 
-    def _ids(self, text: str) -> tuple[int, ...]:
-        return tuple(i for ids in self._model.encode([self._spell(t.encode()) for t in self._find(text)], num_threads=1) for i in ids)
-
     def chunks(self, text: str) -> list["Chunk"]:
         """The text's ids and bytes by chunk. A pre-token always begins at a space that stands before anything but white
         space, so a text may be cut there and each cut remembered; where a space stands before white space, the text stays whole.
         """
         if not text:
             return []
-        words = text.split(" ")
         if _LOOSE(text):
-            return [self._chunk(text)]
+            return self._made([text])
         known = self._known
         if len(known) > CACHE:
             known.clear()
-        first = [self._chunk(words[0])] if words[0] else []
-        del words[0]
-        for w in {w for w in words if w not in known}:
-            known[w] = self._chunk(" " + w)
-        return first + [known[w] for w in words]
-
-    def _chunk(self, text: str) -> "Chunk":
-        ids = self._ids(text)
-        return len(ids), ids, " ".join(map(str, ids)), self.decode(ids)
+        words = text.split(" ")
+        words[0] = "\n" + words[0]  # no word elsewhere has white space after its space
+        new = [w for w in set(words) if w not in known]
+        if new:
+            known.update(zip(new, self._made([w[1:] if w is words[0] else " " + w for w in new])))
+        return [known[w] for w in words]
+
+    def _made(self, texts: list[str]) -> list["Chunk"]:
+        """The chunk of each text; the model sees the pre-tokens of all in one call."""
+        cuts = list(map(self._find, texts))
+        found = iter(self._model.encode([t.encode().decode("latin-1").translate(self._map) for cut in cuts for t in cut], num_threads=1))
+        out = []
+        for cut in cuts:
+            ids = next(found) if len(cut) == 1 else [i for _ in cut for i in next(found)]
+            out.append((len(ids), " ".join(map(str, ids)), self.decode(ids)))
+        return out
 
     def encode(self, text: str) -> list[int]:
-        return [i for c in self.chunks(text) for i in c[1]]
+        return [int(i) for c in self.chunks(text) for i in c[1].split()]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -168,8 +171,8 @@ def digests(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             for text in b.column(1).to_pylist():
                 chunks = c.chunks(text or "")
                 n.append(sum([k[0] for k in chunks]))
-                of_ids.append(hashlib.sha256(" ".join([k[2] for k in chunks]).encode()).hexdigest())
-                of_bytes.append(hashlib.sha256(b"".join([k[3] for k in chunks])).hexdigest())
+                of_ids.append(hashlib.sha256(" ".join([k[1] for k in chunks if k[0]]).encode()).hexdigest())
+                of_bytes.append(hashlib.sha256(b"".join([k[2] for k in chunks])).hexdigest())
             yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
