@@ -102,3 +102,17 @@ def least_in_windows(key: np.ndarray, width: int) -> np.ndarray:
         span *= 2
     rest = width - span
     return np.minimum(key[: len(key) - rest], key[rest:]) if rest else key
+
+
+def found_in(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which values are in the sorted table, and where. Most are not, and a bitmap of the low bits says so at once."""
+    if not len(table) or not len(values):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bits = max(16, int(len(table) * 16).bit_length())
+    low = U((1 << bits) - 1)
+    seen = np.zeros(1 << bits, bool)
+    seen[table & low] = True
+    at = np.flatnonzero(seen[values & low])
+    place = np.searchsorted(table, values[at])
+    same = table[np.minimum(place, len(table) - 1)] == values[at]
+    return at[same], place[same]

@@ -97,18 +97,6 @@ def _pieces(column):
         yield i, part, starts, ends, first, _grams.word_hashes(part, starts, ends)
 
 
-def _find(table: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which values are in the sorted table, and where. Most are not, and a bitmap of the low bits says so at once."""
-    bits = max(16, int(len(table) * 16).bit_length())
-    low = np.uint64((1 << bits) - 1)
-    seen = np.zeros(1 << bits, bool)
-    seen[table & low] = True
-    at = np.flatnonzero(seen[values & low])
-    place = np.searchsorted(table, values[at])
-    same = table[np.minimum(place, len(table) - 1)] == values[at]
-    return at[same], place[same]
-
-
 def _counts(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
     """How often each shingle of the index occurs in the corpus."""
     held = docs.sparkSession.sparkContext.broadcast((index.sizes, index.hashes))
@@ -120,7 +108,7 @@ def _counts(docs: DataFrame, index: Index) -> dict[int, np.ndarray]:
             for _, part, starts, _, first, h in _pieces(b.column(0)):
                 for s in sizes:
                     ok = _grams.inside(first, len(starts), s)
-                    at, place = _find(hashes[s], _grams.gram_hashes(h, s)[ok])
+                    at, place = _grams.found_in(hashes[s], _grams.gram_hashes(h, s)[ok])
                     sums[s] += np.bincount(place, minlength=len(hashes[s]))
         for s in sizes:
             k = np.flatnonzero(sums[s])
@@ -146,7 +134,7 @@ def _hits(docs: DataFrame, index: Index) -> DataFrame:
                 low = None
                 for s, (table, of) in ix.prefix.items():
                     ok = np.flatnonzero(_grams.inside(first, len(starts), s))
-                    at, place = _find(table, _grams.gram_hashes(h, s)[ok])
+                    at, place = _grams.found_in(table, _grams.gram_hashes(h, s)[ok])
                     for w, k in zip(ok[at].tolist(), place.tolist()):
                         doc = int(np.searchsorted(first, w, "right")) - 1
                         for shift, n in of[k]:
