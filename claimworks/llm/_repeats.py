@@ -6,16 +6,26 @@ hears back which of them another block holds too, or which it holds twice itself
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 
 _SENT = "bucket int, block int, once binary, many binary"
 _BACK = "block int, hashes binary"
 
 
+def packed(*values) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(pickle.dumps(values))
+
+
+def unpacked(payload: bytes) -> tuple:
+    return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+
+
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 

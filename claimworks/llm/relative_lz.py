@@ -22,7 +22,6 @@ are separate documents; an empty table gives an empty table; further columns are
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Callable
 
 import numpy as np
@@ -35,7 +34,7 @@ from claimworks.llm.suffix_dedup import _in_order, merged
 
 WINDOW = 35
 GRAM = 12
-PIECE = 1 << 20
+PIECE = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 _LETTER = np.ones(256, bool)
 _LETTER[[9, 10, 11, 12, 13, 32]] = False
@@ -103,14 +102,14 @@ def passages_of_block(table: pa.Table, back: pa.Table, buckets: int, window: int
         content.append(passage if j == i else None)
         mate[i] = j
     many = np.flatnonzero(~alone[mate])
-    out = [(int(block % buckets), block, 1, pickle.dumps((row[many], begin[many], begin[many] + high[many] - low[many] + window)))]
+    out = [(int(block % buckets), block, 1, _repeats.packed(row[many], begin[many], begin[many] + high[many] - low[many] + window))]
     mine = np.flatnonzero(mate == np.arange(len(at)))
     mine = mine[np.argsort(g[mine], kind="stable")]
     to = _repeats.bucket_of(g[mine], buckets)
     edges = np.flatnonzero(np.diff(to)) + 1
     for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(mine)]):
         k = mine[a:z]
-        out.append((int(to[a]), block, 0, pickle.dumps((b"\n".join([content[i] for i in k.tolist()]), (high[k] - low[k] + 1).astype(np.int32), row[k].astype(np.int32), begin[k], alone[k]))))
+        out.append((int(to[a]), block, 0, _repeats.packed(b"\n".join([content[i] for i in k.tolist()]), (high[k] - low[k] + 1).astype(np.int32), row[k].astype(np.int32), begin[k], alone[k])))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _PASSAGES.types)], schema=_PASSAGES)
 
 
@@ -184,7 +183,7 @@ def parse_bucket(table: pa.Table, window: int = WINDOW) -> pa.Table:
         if kind:
             out.append((block, payload))
             continue
-        content, counts, row, begin, alone = pickle.loads(payload)
+        content, counts, row, begin, alone = _repeats.unpacked(payload)
         texts += content.split(b"\n")
         parts.append((counts, row, begin, alone))
         blocks.append(np.full(len(counts), block))
@@ -202,14 +201,14 @@ def parse_bucket(table: pa.Table, window: int = WINDOW) -> pa.Table:
             for b in np.unique(block[owner]):
                 m = block[owner] == b
                 o = owner[m]
-                out.append((int(b), pickle.dumps((row[o].astype(np.int64), begin[o] + place[a[m]], begin[o] + place[z[m]] + window))))
+                out.append((int(b), _repeats.packed(row[o].astype(np.int64), begin[o] + place[a[m]], begin[o] + place[z[m]] + window)))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _SPANS.types)], schema=_SPANS) if out else _SPANS.empty_table()
 
 
 def cut_block(table: pa.Table, spans: pa.Table, *, keep_text: bool = False) -> pa.Table:
     """doc_id, n_words, n_removed, kept_sha256 of a block's documents; and what is kept, if wanted."""
     table = _in_order(table)
-    found = [pickle.loads(x) for x in spans.column("payload").to_pylist()]
+    found = [_repeats.unpacked(x) for x in spans.column("payload").to_pylist()]
     row, start, end = merged(*(np.concatenate(x).astype(np.int64) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
     content = _tables.texts(table.column("text"))
     first = np.searchsorted(row, np.arange(len(content) + 1)).tolist()
@@ -232,7 +231,7 @@ def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = W
     """What is left of every document without the words of windows that occur anywhere else."""
     if not 1 <= gram < window:
         raise ValueError("the gram takes at least a word, and fewer than the window")
-    blocks = _tables.blocks_wanted(docs.sparkSession)
+    blocks = 2 * _tables.blocks_wanted(docs.sparkSession)
     rows = _tables.with_block(docs.select("doc_id", "text"), "doc_id", blocks)
 
     def hashes(table):

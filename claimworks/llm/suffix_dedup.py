@@ -23,7 +23,6 @@ texts; a null doc_id comes before all others; an empty table gives an empty tabl
 from __future__ import annotations
 
 import hashlib
-import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from claimworks.llm import _grams, _repeats, _tables
 
 LENGTH = 100
-GRAM = 48
-PIECE = 1 << 20
+GRAM = 32
+PIECE = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
 _HEAD = 8  # bytes of the hash before the suffix in a sort key
@@ -138,7 +137,7 @@ def runs_of_block(table: pa.Table, back: pa.Table, buckets: int, length: int = L
     rows = rows[order]
     again = np.append(False, (rows[1:] == rows[:-1]).all(1)) if len(rows) > 1 else np.zeros(len(rows), bool)
     mine = order[again]
-    out = [(int(block % buckets), block, 1, pickle.dumps((row[mine], low[mine] - offsets[row[mine]], high[mine] + length - offsets[row[mine]])))]
+    out = [(int(block % buckets), block, 1, _repeats.packed(row[mine], low[mine] - offsets[row[mine]], high[mine] + length - offsets[row[mine]]))]
     rows, order = rows[~again], order[~again]
     to = _repeats.bucket_of(h[order], buckets)
     edges = np.flatnonzero(np.diff(to)) + 1
@@ -148,7 +147,7 @@ def runs_of_block(table: pa.Table, back: pa.Table, buckets: int, length: int = L
         shared = _common(part[:, :wide])
         rest = part[:, :wide][(reach >= shared[:, None]) & (reach < (wide - least[o])[:, None])]
         left = part[:, wide : wide + side][back_reach < most[o][:, None]]
-        out.append((int(to[a]), block, 0, pickle.dumps((shared.astype(np.uint8), rest.tobytes(), left.tobytes(), least[o].astype(np.uint8), most[o].astype(np.uint8), doc[row[o]], row[o].astype(np.int32), at[o] - offsets[row[o]]))))
+        out.append((int(to[a]), block, 0, _repeats.packed(shared.astype(np.uint8), rest.tobytes(), left.tobytes(), least[o].astype(np.uint8), most[o].astype(np.uint8), doc[row[o]], row[o].astype(np.int32), at[o] - offsets[row[o]])))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _RUNS.types)], schema=_RUNS)
 
 
@@ -263,7 +262,7 @@ def merge_bucket(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa.
         if kind:
             out.append((block, payload))
             continue
-        shared, rest, left, least, most, doc, row, at = pickle.loads(payload)
+        shared, rest, left, least, most, doc, row, at = _repeats.unpacked(payload)
         runs.append((shared.tolist(), unfolded(shared.tolist(), rest, (wide - least.astype(int)).tolist(), wide)))
         lefts = np.zeros((len(most), side), np.uint8)
         lefts[np.arange(side) < most[:, None]] = np.frombuffer(left, np.uint8)
@@ -282,7 +281,7 @@ def merge_bucket(table: pa.Table, length: int = LENGTH, gram: int = GRAM) -> pa.
         _, far = np.nonzero(edge == -1)
         for b in np.unique(block[who]):
             k = block[who] == b
-            out.append((int(b), pickle.dumps((row[who[k]].astype(np.int64), at[who[k]] - far[k] + 1, at[who[k]] - near[k] + length))))
+            out.append((int(b), _repeats.packed(row[who[k]].astype(np.int64), at[who[k]] - far[k] + 1, at[who[k]] - near[k] + length)))
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _SPANS.types)], schema=_SPANS) if out else _SPANS.empty_table()
 
 
@@ -302,7 +301,7 @@ def cut_block(table: pa.Table, spans: pa.Table, *, keep_text: bool = False) -> p
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of a block's documents; and what is kept, if wanted."""
     table = _in_order(table)
     content = _tables.texts(table.column("text"))
-    found = [pickle.loads(x) for x in spans.column("payload").to_pylist()]
+    found = [_repeats.unpacked(x) for x in spans.column("payload").to_pylist()]
     row, start, end = merged(*(np.concatenate(x).astype(np.int64) for x in zip(*found))) if found else (np.zeros(0, np.int64),) * 3
     first = np.searchsorted(row, np.arange(len(content) + 1)).tolist()
     start, end = start.tolist(), end.tolist()
@@ -322,7 +321,7 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False, length: int = LE
     """What is left of every document without the bytes of strings of this length that start earlier too."""
     if gram % 8 or not 8 <= gram < length <= 255:
         raise ValueError("the gram takes a multiple of 8 bytes, fewer than the length; the length at most 255")
-    blocks = _tables.blocks_wanted(docs.sparkSession)
+    blocks = 2 * _tables.blocks_wanted(docs.sparkSession)
     rows = _tables.with_block(docs.select("doc_id", "text"), "doc_id", blocks)
 
     def hashes(table):
