@@ -164,12 +164,12 @@ def merged(spans: list[dict]) -> list[dict]:
     return out
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
-    """doc_id, n_words, spans of hit words (end exclusive), ids of the items that occur, as sorted strings."""
+def overlaps(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = ("doc_id",), window: int = WINDOW, index_bytes: int = INDEX_BYTES) -> DataFrame:
+    """Columns keep and n_words, spans of hit words (end exclusive), ids of the items that occur, as sorted strings."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("binary").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(size // index_bytes) + 1
-    found = docs.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
+    found = docs.select(*keep, *(() if "text" in keep else ("text",)), F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<struct<start:long,end:long>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items"))
     for p in range(parts):
         part = items.where(F.pmod(F.xxhash64("item"), F.lit(parts)) == p) if parts > 1 else items
         index = Index([(r.item, bytes(r.text)) for r in part.collect()], window)  # index_bytes at most, on average
@@ -178,20 +178,29 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, ind
         else:
             index.prefix = {}
         found = _hits(found, index)
-    return found.drop("text")
+    return found if "text" in keep else found.drop("text")
+
+
+def n_hit():
+    """Hit words of a row of overlaps()."""
+    return F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+
+
+def contaminated():
+    """Whether a row of overlaps() has so many hit words that it goes."""
+    return (n_hit() > 0) & (F.lit(SHARE) * n_hit() >= F.col("n_words"))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = overlaps(docs, benchmark, **options)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return found.withColumn("n_hit", n_hit).select(
+    return found.select(
         "doc_id",
         "n_words",
-        "n_hit",
+        n_hit().alias("n_hit"),
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", F.sort_array("items")), 256).alias("items_sha256"),
-        ((F.col("n_hit") > 0) & (F.lit(SHARE) * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
+        contaminated().alias("contaminated"),
     )
 
 

@@ -60,18 +60,19 @@ def _found(pattern: str, group: int, kind: int, maybe: Column) -> Column:
     return F.when(maybe & F.col("text").rlike(pattern), spans).otherwise(empty)
 
 
-def patterned(docs: DataFrame) -> DataFrame:
-    """doc_id, text, spans of the fixed patterns by start and kind."""
+def patterned(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, columns keep, spans of the fixed patterns by start and kind."""
     sign = F.contains("text", F.lit("=")) | F.contains("text", F.lit(":"))
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *keep)
     kinds = texts.select(
         "doc_id",
         "text",
+        *keep,
         F.filter(_found(ASSIGN, 1, 0, sign), lambda s: F.length(s["value"]) >= 6).alias("assign"),
         _found(ACCESS, 0, 1, F.contains("text", F.lit("AKIA"))).alias("access"),
         _found(HEX, 0, 2, F.lit(True)).alias("hex"),
     )
-    return kinds.select("doc_id", "text", F.array_sort(F.concat("assign", "access", "hex")).alias("spans"))
+    return kinds.select("doc_id", "text", *keep, F.array_sort(F.concat("assign", "access", "hex")).alias("spans"))
 
 
 def _pairs(values: DataFrame) -> DataFrame:
@@ -110,9 +111,9 @@ def ratio(value: Column, model: list[float]) -> Column:
     return F.aggregate(steps, F.lit(0.0), lambda total, i: total + F.get(table, at(i) * len(ALPHABET) + at(i + 1)))
 
 
-def scan(docs: DataFrame, model: list[float], *, least: float = RATIO) -> DataFrame:
-    """doc_id, text, base (spans of the patterns), spans (these and the random tokens), each by start and kind."""
-    found = patterned(docs).withColumnRenamed("spans", "base")
+def scan(docs: DataFrame, model: list[float], *, least: float = RATIO, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, text, columns keep, base (spans of the patterns), spans (these and the random tokens), each by start and kind."""
+    found = patterned(docs, keep).withColumnRenamed("spans", "base")
     tokens = F.filter(_found(_TOKENS, 0, 3, F.lit(True)), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
     found = found.withColumn("tokens", tokens)
     free = F.filter("tokens", lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
