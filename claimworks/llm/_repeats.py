@@ -31,7 +31,10 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def repeated(rows: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets: int) -> DataFrame:
-    """block, hashes: for each block of rows (column block), its repeated hashes, in pieces; hashes(table) lists a block's own."""
+    """block, hashes: for each block of rows (column block), its repeated hashes, in pieces; hashes(table) lists a block's own.
+
+    The reducers are asked for by number, as what they read says little of what they do and would be coalesced by its size.
+    """
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py() if table.num_rows else 0
@@ -53,7 +56,7 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets:
         return pa.table({"block": pa.array(blocks, pa.int32()), "hashes": pa.array([x.tobytes() for x in back], pa.binary())})
 
     _schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary())])
-    return rows.groupBy("block").applyInArrow(send, _SENT).groupBy("bucket").applyInArrow(answer, _BACK)
+    return rows.groupBy("block").applyInArrow(send, _SENT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _BACK)
 
 
 def gathered(table: pa.Table) -> np.ndarray:

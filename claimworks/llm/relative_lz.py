@@ -231,7 +231,7 @@ def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = W
     """What is left of every document without the words of windows that occur anywhere else."""
     if not 1 <= gram < window:
         raise ValueError("the gram takes at least a word, and fewer than the window")
-    blocks = 2 * _tables.blocks_wanted(docs.sparkSession)
+    blocks = 4 * _tables.blocks_wanted(docs.sparkSession)
     rows = _tables.with_block(docs.select("doc_id", "text"), "doc_id", blocks)
 
     def hashes(table):
@@ -240,7 +240,7 @@ def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = W
 
     back = _repeats.repeated(rows, hashes, blocks)
     sent = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda t, b: passages_of_block(t, b, blocks, window, gram), "bucket int, block int, kind int, payload binary")
-    spans = sent.groupBy("bucket").applyInArrow(lambda t: parse_bucket(t, window), "block int, payload binary")
+    spans = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(lambda t: parse_bucket(t, window), "block int, payload binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * keep_text
     return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lambda t, s: cut_block(t, s, keep_text=keep_text), schema)
 
