@@ -49,7 +49,7 @@ def renamed(name: Column, names: dict[str, str]) -> Column:
 
 
 def percent(value: Column, missing: str = "n/a") -> Column:
-    return F.coalesce(F.format_string("%.2f", value * 100), F.lit(missing))
+    return F.when(value.isNull(), F.lit(missing)).otherwise(F.format_string("%.2f", value * 100))
 
 
 def number(cell: Column) -> Column:
