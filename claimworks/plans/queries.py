@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimworks.functions import hashing, scores, text
-from claimworks.operators import audit, calibration, checks, chunking, graph, joins, leaderboard, metrics, sampling
-from claimworks.plans import binding
+from claimworks.operators import audit, calibration, checks, chunking, graph, joins, leaderboard, metrics, sampling, scoring
+from claimworks.plans import binding, checkers
 from claimworks.plans.binding import RULE, SCORES, THRESHOLD, answered, rows, rows_sql, scored, scored_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -656,3 +656,81 @@ def claims_folder(spark, sf_dir):
     whole.write.text(folder)
     loaded = scans.claims(spark, folder, "part-*")
     return loaded.select("claim_id", F.length("claim").cast("long").alias("n"), F.col("claim_metadata")["kind"].alias("kind"))
+
+
+# Checkers, comparisons, studies.
+
+
+def _cache(spark, sf_dir):
+    p = {q: binding.hundredths(q, binding.QUESTIONS[q]) / F.lit(100.0) for q in ("support", "unsupported", "contradicted")}
+    return rows(spark, sf_dir).select("id", "doc_id", F.create_map(*[x for q, c in p.items() for x in (F.lit(q), c)]).alias("answers"))
+
+
+@query(_metrics_sql(RULE, "0.3").replace("SELECT scope, CAST(n AS BIGINT) AS n", "SELECT 'rule' AS model, CAST(0.3 AS DOUBLE) AS threshold, true AS complete, scope, CAST(n AS BIGINT) AS n"))
+def checker_report(spark, sf_dir):
+    return _rounded(checkers.report(rows(spark, sf_dir), _cache(spark, sf_dir), checkers.Checker("rule")))
+
+
+@query(_metrics_sql(RULE, "0.3").replace("s AS (SELECT dataset, label, min_rule AS score", "s0 AS (SELECT * FROM scored WHERE doc_id % 3 <> 0), s AS (SELECT dataset, label, min_rule AS score").replace("AS ok FROM scored)", "AS ok FROM s0)").replace("SELECT scope, CAST(n AS BIGINT) AS n", "SELECT 'rule' AS model, CAST(0.3 AS DOUBLE) AS threshold, false AS complete, scope, CAST(n AS BIGINT) AS n"))
+def partial_report(spark, sf_dir):
+    return _rounded(checkers.report(rows(spark, sf_dir), _cache(spark, sf_dir).where("doc_id % 3 <> 0"), checkers.Checker("rule")))
+
+
+@query()
+def model_comparison(spark, sf_dir):
+    r, cache = rows(spark, sf_dir), _cache(spark, sf_dir)
+    logits = cache.withColumn("logits", F.transform_values("answers", lambda k, v: F.array(F.lit(0.0), v * 4 - 2)))
+    return checkers.comparison(checkers.report(r, cache, checkers.Checker("rule")), checkers.report(r, logits, checkers.Checker("logits", "logits", temperature=2.0)), checkers.report(r, cache.withColumn("score", F.col("answers")["support"]), checkers.Checker("support", "score", threshold=0.5)))
+
+
+@query(f"""WITH {scored_sql()}, n AS (SELECT id, {RULE} AS score FROM scored WHERE doc_id % 5 = 0), c AS (SELECT s.dataset, s.label, CASE WHEN n.id IS NOT NULL THEN n.score ELSE s.direct END AS score FROM scored s LEFT JOIN n USING (id) WHERE dataset <> 'fr' OR n.id IS NOT NULL),
+b AS (SELECT dataset, (avg(CASE WHEN label = 1 THEN CASE WHEN score > CAST(0.3 AS DOUBLE) THEN 1.0 ELSE 0 END END) + avg(CASE WHEN label = 0 THEN CASE WHEN score > CAST(0.3 AS DOUBLE) THEN 0.0 ELSE 1 END END)) / 2 AS b, count(*) AS n FROM c GROUP BY dataset)
+SELECT CAST(sum(n) AS BIGINT) AS n, round(CASE WHEN count(b) = count(*) THEN avg(b) END, 9) AS macro FROM b""")
+def pilot_composite(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    full = s.where(~F.col("dataset").isin("fr")).select("id", F.col("direct").alias("score"))
+    sampled = s.where("doc_id % 5 = 0").select("id", F.col(RULE).alias("score"))
+    found = metrics.metrics(rows(spark, sf_dir).join(joins.overlay(full, sampled), "id"), "score", THRESHOLD)
+    return found.where("scope = '(macro)'").select("n", F.round("balanced_accuracy", 9).alias("macro"))
+
+
+@query(f"""WITH {scored_sql()}, long AS (SELECT dataset, label, min_rule AS score FROM scored UNION ALL SELECT dataset, label, direct FROM scored WHERE doc_id % 2 = 0), {_grid_sql('', 'dataset', '')} SELECT CAST(step AS DOUBLE) / 100 AS threshold, macro FROM best WHERE place = 1""")
+def refit_combined(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    both = s.select("dataset", "label", F.col(RULE).alias("score")).unionByName(s.where("doc_id % 2 = 0").select("dataset", "label", F.col("direct").alias("score")))
+    return metrics.tuned(both, "score")
+
+
+@query(f"""WITH {scored_sql()}, v AS (SELECT id, label, CASE WHEN h_direct >= 67 THEN 'Entailment' WHEN h_direct >= 34 THEN 'Neutral' ELSE 'Contradiction' END AS nli FROM scored), g AS (SELECT *, CASE WHEN nli = 'Entailment' THEN 'Grounded' ELSE 'Ungrounded' END AS verdict FROM v)
+SELECT nli, verdict, count(*) AS n FROM g WHERE (verdict = 'Grounded') <> (label = 1) GROUP BY nli, verdict""")
+def label_map(spark, sf_dir):
+    nli = F.when(F.col("direct") >= 0.67, "Entailment").when(F.col("direct") >= 0.34, "Neutral").otherwise("Contradiction")
+    kept = scored(spark, sf_dir).withColumn("nli", nli).withColumn("verdict", text.renamed(F.col("nli"), {"Entailment": "Grounded", "Neutral": "Ungrounded", "Contradiction": "Ungrounded"}))
+    return kept.where((F.col("verdict") == "Grounded") != (F.col("label") == 1)).groupBy("nli", "verdict").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {scored_sql()}, p AS (SELECT 'a' AS pack, 0.3::DOUBLE AS t UNION ALL SELECT 'b', 0.5::DOUBLE) SELECT pack, count(*) AS n, count(*) FILTER (WHERE min_rule > t) AS accepted FROM (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'a' ELSE 'b' END AS k FROM scored) JOIN p ON p.pack = k GROUP BY pack""")
+def pack_lookup(spark, sf_dir):
+    digests = {hashing.configuration_digest({"pack": n}): (n, t) for n, t in (("a", 0.3), ("b", 0.5))}
+    known = spark.createDataFrame([(d, n, t) for d, (n, t) in digests.items()], "pack_hash string, pack string, threshold double")
+    by_name = {n: d for d, (n, _) in digests.items()}
+    s = scored(spark, sf_dir).withColumn("pack_hash", F.when(F.col("doc_id") % 2 == 0, by_name["a"]).otherwise(by_name["b"]))
+    return s.join(F.broadcast(known), "pack_hash").groupBy("pack").agg(F.count("*").alias("n"), F.count_if(F.col(RULE) > F.col("threshold")).alias("accepted"))  # a row for each pack
+
+
+@query("""SELECT event_id, event_type AS kind, user_id, json_extract_string(props, '$.' || coalesce(json_keys(props)[1], 'none')) AS first_value, len(json_keys(props)) AS n FROM events WHERE event_id % 20 = 0""")
+def summary_projection(spark, sf_dir):
+    props = F.from_json("props", "map<string,string>")
+    keys = F.json_object_keys("props")
+    return table(spark, sf_dir, "events").where("event_id % 20 = 0").select("event_id", F.col("event_type").alias("kind"), "user_id", F.get(F.transform(keys, lambda k: F.element_at(props, k)), F.lit(0)).alias("first_value"), F.size(keys).cast("long").alias("n"))
+
+
+@query(f"WITH {scored_sql()} SELECT dataset, round((round(avg(support), 3) + round(avg(direct), 3) + round(avg(min_rule), 3)) / 3, 9) AS mean FROM scored GROUP BY dataset")
+def leaderboard_means(spark, sf_dir):
+    return _board(spark, sf_dir).select(F.col("name").alias("dataset"), F.round((F.col("support") + F.col("direct") + F.col(RULE)) / 3, 9).alias("mean"))
+
+
+@query(f"""WITH {rows_sql()} SELECT count(*) AS "rows", CAST(0 AS BIGINT) AS errors, CAST(sum(length(doc) // 4) AS BIGINT) AS tokens, CAST(0 AS BIGINT) AS retries FROM rows""")
+def scoring_totals(spark, sf_dir):
+    asked = ["support", "unsupported"]
+    return scoring.totals(scoring.scored(rows(spark, sf_dir), scoring.hash_scorer(asked), asked)).drop("median_seconds")
