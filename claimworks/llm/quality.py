@@ -41,6 +41,11 @@ _KIND[128:] = 6
 _MARKS = _KIND == 5
 
 
+def _damped(count: float, total: float, usual: float, weight: float) -> float:
+    """A rate with the usual one of prose mixed in, so that a few words alone are no outlier."""
+    return (count + weight * usual) / (total + weight)
+
+
 def statistics(text: bytes) -> np.ndarray:
     """The transformed statistics of one text."""
     out = np.zeros(FEATURES)
@@ -62,22 +67,22 @@ def statistics(text: bytes) -> np.ndarray:
     sizes = np.fromiter(map(len, words), np.int64, len(words)) if words else np.zeros(1, np.int64)
     out[0] = np.log1p(n)
     out[1] = np.log1p(len(words))
-    out[2] = np.log1p(sizes.mean())
-    out[3] = np.log1p(sizes.std())
-    out[4] = np.sqrt(kinds[2] / letters)
-    out[5] = np.sqrt(kinds[5] / n)
-    out[6] = np.sqrt(kinds[3] / n)
-    out[7] = np.sqrt(kinds[4] / n)
-    out[8] = np.sqrt(kinds[6] / n)
-    out[9] = np.log(len(seen) + 1.0) - np.log(w + 1.0)
-    out[10] = np.sqrt(max(seen.values(), default=0) / w)
-    out[11] = np.sqrt(1 - len(set(lines)) / len(lines)) if lines else 0.0
-    out[12] = -(share * np.log2(share)).sum()
-    out[13] = np.sqrt((mark[1:] & (data[1:] == data[:-1])).sum() / n)
-    out[14] = np.sqrt((sizes <= 3).sum() / w)
-    out[15] = np.log1p(counts[[33, 46, 63]].sum()) - np.log1p(w)
-    out[16] = np.sqrt(counts[10] / w)
-    out[17] = np.log(len(zlib.compress(text, 1)) / (n + 8.0))
+    out[2] = np.log(_damped(sizes.sum(), len(words), 5.0, 12))
+    out[3] = np.log1p((sizes.std() * w + 3.0 * 12) / (w + 12))
+    out[4] = np.sqrt(_damped(kinds[2], letters, 0.03, 60))
+    out[5] = np.sqrt(_damped(kinds[5], n, 0.03, 60))
+    out[6] = np.sqrt(_damped(kinds[3], n, 0.005, 60))
+    out[7] = np.sqrt(_damped(kinds[4], n, 0.15, 60))
+    out[8] = np.sqrt(_damped(kinds[6], n, 0.02, 60))
+    out[9] = np.log(_damped(len(seen), w, 0.8, 12))
+    out[10] = np.sqrt(_damped(max(seen.values(), default=0), w, 0.08, 12))
+    out[11] = np.sqrt(_damped(len(lines) - len(set(lines)), len(lines), 0.02, 4))
+    out[12] = _damped(-(share * np.log2(share)).sum() * n, n, 4.2, 200)
+    out[13] = np.sqrt(_damped((mark[1:] & (data[1:] == data[:-1])).sum(), n, 0.002, 60))
+    out[14] = np.sqrt(_damped((sizes <= 3).sum(), w, 0.4, 12))
+    out[15] = np.log(_damped(counts[[33, 46, 63]].sum(), w, 0.08, 12))
+    out[16] = np.sqrt(_damped(counts[10], w, 0.02, 12))
+    out[17] = np.log(_damped(len(zlib.compress(text, 1)), n, 0.45, 200))
     return out
 
 
