@@ -8,7 +8,7 @@ place in the window fixes where the window would start and end (positional and l
 compared one by one.
 
 The benchmark's index goes to every executor while the texts take under INDEX_BYTES; a larger benchmark is cut by item into
-parts of that size, and the documents pass the parts one after another.
+parts of that size, and the documents pass the parts one after another, written to the shared folder after every few.
 
 Defined results: null and empty texts have no words; words are compared after lower-casing A-Z alone; repeated rows of
 documents give repeated rows, repeated items count once by item_id; items without id or words take no part; tables may be
@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimworks.llm import _grams, _tables
+from claimworks.llm._lineage import cut
 
 WINDOW = 13
 SHINGLE = 4
 #: Contaminated from this share of hit words: one in twenty.
 SHARE = 20
-INDEX_BYTES = 32 << 20
+INDEX_BYTES = 1 << 20
+#: Parts of a larger benchmark whose indexes a task holds at once.
+TOGETHER = 4
 PIECE = 1 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -178,6 +181,8 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, *, keep: tuple[str, ...] = (
         else:
             index.prefix = {}
         found = _hits(found, index)
+        if p % TOGETHER == TOGETHER - 1 and p + 1 < parts:
+            found = cut(found)
     return found if "text" in keep else found.drop("text")
 
 
