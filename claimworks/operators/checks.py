@@ -39,3 +39,10 @@ def audit(**violations: DataFrame) -> DataFrame:
     """check, n, passed: how many violations each check has."""
     each = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n", (F.col("n") == 0).alias("passed")) for name, df in violations.items()]
     return reduce(DataFrame.unionByName, each)
+
+
+def tampered(found: DataFrame, expected: dict[str, str]) -> DataFrame:
+    """Files (path, sha256 as fingerprints() gives them) whose bytes are not those expected by file name, or that are missing."""
+    want = found.sparkSession.createDataFrame(list(expected.items()) or [("", "")], "name string, want string").where("name <> ''")
+    have = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
+    return want.join(have, "name", "left").where(~F.col("want").eqNullSafe(F.col("sha256"))).select("name", "want", F.col("sha256").alias("have"))

@@ -76,3 +76,18 @@ def nested(scores: DataFrame) -> DataFrame:
     """claim_id, document_scores: documents by file, each with its chunks in order."""
     chunks = scores.groupBy("claim_id", "file").agg(F.array_sort(F.collect_list(F.struct("chunk_index", "support"))).alias("chunks"), F.max("support").alias("support_prob"))
     return chunks.groupBy("claim_id").agg(F.array_sort(F.collect_list(F.struct("file", "support_prob", "chunks"))).alias("document_scores"))
+
+
+def zipped(sample: DataFrame, notes: DataFrame, index: str = "review_index") -> DataFrame:
+    """Each sampled row with the note of its number; a number that only one side has stops the query."""
+    joined = sample.withColumn("_s", F.lit(1)).join(notes.withColumn("_n", F.lit(1)).withColumnRenamed("index", index), index, "full_outer")
+    sound = F.when(F.col("_s").isNotNull() & F.col("_n").isNotNull(), F.col(index)).otherwise(F.raise_error(F.concat(F.lit("no pair for number "), F.col(index).cast("string"))).cast("int"))
+    return joined.withColumn(index, sound).drop("_s", "_n")
+
+
+def packs_by_digest(spark, packs: dict[str, dict]) -> DataFrame:
+    """pack_hash, pack, threshold: question packs under the digest that predictions carry."""
+    from claimworks.functions.hashing import configuration_digest
+
+    rows = [(configuration_digest(p), n, float(p.get("decision", {}).get("threshold", 0.5))) for n, p in packs.items()]
+    return spark.createDataFrame(rows, "pack_hash string, pack string, threshold double")

@@ -139,3 +139,14 @@ def table(spark: SparkSession, path: str) -> DataFrame:
         spark.dataSource.register(ArrowStream)
         return spark.read.format("arrow_stream").load(path)
     return spark.read.parquet(path)
+
+
+def predictions(spark: SparkSession, pattern: str) -> DataFrame:
+    """Predictions of all files of a pattern, with the file each comes from."""
+    return json_lines(spark, pattern, schemas.PREDICTION).withColumn("file", F.col("_metadata.file_name"))
+
+
+def spent(spark: SparkSession, pattern: str, price_in: float, price_out: float = 0.0) -> float:
+    """What all predictions of a pattern have cost, by prices per million tokens."""
+    row = predictions(spark, pattern).agg(F.sum("usage.input_tokens").alias("i"), F.sum("usage.output_tokens").alias("o")).first()
+    return ((row.i or 0) * price_in + (row.o or 0) * price_out) / 1e6
