@@ -30,11 +30,21 @@ def stratified(rows: DataFrame, by: list[str], size: int, order: Column | None =
 
 
 def interleaved(rows: DataFrame, by: list[str], order: list[str], limit: int = 0) -> DataFrame:
-    """Rows in turn from each stratum, so that every prefix is balanced; position counts from 1. A limit of 0 keeps all."""
-    turn = rows.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Rows in turn from each stratum, so that every prefix is balanced; position counts from 1. A limit of 0 keeps all.
+
+    A row's position follows from its turn and the strata's sizes: the rows of earlier turns, and the earlier strata that
+    still have one in this turn. No task sees more than a stratum.
+    """
+    turn = rows.withColumn("_turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     if limit:
-        turn = turn.orderBy("turn", *by).limit(limit)
-    return turn.withColumn("position", F.row_number().over(Window.orderBy("turn", *by))).drop("turn")
+        turn = turn.where(F.col("_turn") <= limit)
+    stratum = F.struct(*by)
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.array_sort(F.collect_list(F.struct(*by, F.col("_n")))).alias("_sizes")).withColumn("_k", F.lit(1))
+    joined = turn.withColumn("_k", F.lit(1)).withColumn("_s", stratum).join(F.broadcast(sizes), "_k")  # one row, a number for each stratum
+    earlier = F.aggregate("_sizes", F.lit(0).cast("long"), lambda a, x: a + F.least(x["_n"], F.col("_turn").cast("long") - 1))
+    same = F.size(F.filter("_sizes", lambda x: (x["_n"] >= F.col("_turn")) & (F.struct(*[x[c].alias(c) for c in by]) < F.col("_s"))))
+    out = joined.withColumn("position", (earlier + same + 1).cast("int")).drop("_turn", "_k", "_s", "_sizes")
+    return out.where(F.col("position") <= limit) if limit else out
 
 
 def hash_subset(rows: DataFrame, limit: int, row_id: str = "id") -> DataFrame:

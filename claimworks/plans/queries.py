@@ -577,9 +577,11 @@ def conversation_state(spark, sf_dir):
 SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM n JOIN q ON contains(n.t, q.t) GROUP BY item_id""")
 def quote_containment(spark, sf_dir):
     quotes = table(spark, sf_dir, "benchmark").select("item_id", text.quotes_folded(F.col("text")).alias("q"))
-    held = quotes.agg(F.array_sort(F.collect_list(F.struct("item_id", "q"))).alias("quotes")).withColumn("k", F.lit(1))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.quotes_folded(F.col("text")).alias("t"), F.lit(1).alias("k"))
-    found = docs.join(F.broadcast(held), "k").select("doc_id", F.explode(F.filter("quotes", lambda x: F.contains("t", x["q"]))).alias("x"))  # the benchmark's quotes
+    parts = int((quotes.agg(F.sum(F.octet_length("q"))).first()[0] or 0) // (1 << 20)) + 1
+    held = quotes.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("item_id", "q"))).alias("quotes"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.quotes_folded(F.col("text")).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    joined = docs.join(F.broadcast(held) if parts <= 8 else held, "part")  # about 1 MB of quotes a part; more than eight are shuffled
+    found = joined.select("doc_id", F.explode(F.filter("quotes", lambda x: F.contains("t", x["q"]))).alias("x"))
     return found.groupBy("x.item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 

@@ -37,14 +37,23 @@ def _flag(value: Column) -> Column:
     return F.when(text.isin("1", "true"), 1).when(text.isin("0", "false"), 0).otherwise(F.raise_error(F.concat(F.lit("a label is 0, 1, true or false, not "), F.coalesce(text, F.lit("null")))).cast("int"))
 
 
-def user_rows(rows: DataFrame, order: str | None = None) -> DataFrame:
+def numbered(rows: DataFrame) -> DataFrame:
+    """Rows with their number in the order they are read: the rows of earlier partitions, and those before it in its own."""
+    own = rows.withColumn("_m", F.monotonically_increasing_id())
+    part, place = F.shiftright("_m", 33), F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
+    counts = own.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    return own.withColumn("_p", part).join(counts.select("_p", before.alias("_before")), "_p").withColumn("_number", F.col("_before") + place).drop("_m", "_p", "_before")
+
+
+def user_rows(rows: DataFrame) -> DataFrame:
     """id, dataset, doc, claim, label of a user's rows: document or doc, ids and sources where they are missing."""
     have = set(rows.columns)
     col = lambda *names: F.coalesce(*[F.col(n).cast("string") for n in names if n in have], F.lit(None).cast("string"))
     if "id" in have:
         named = rows.withColumn("_id", F.col("id").cast("string"))
     else:
-        named = rows.withColumn("_id", F.concat(F.lit("row:"), (F.row_number().over(Window.orderBy(order or F.monotonically_increasing_id())) - 1).cast("string")))
+        named = numbered(rows).withColumn("_id", F.concat(F.lit("row:"), F.col("_number").cast("string")))
     need = lambda c, what: F.when(F.length(F.trim(c)) > 0, c).otherwise(F.raise_error(F.lit(f"a row has no {what}")).cast("string"))
     return named.select(F.col("_id").alias("id"), F.coalesce(col("dataset"), F.lit("all")).alias("dataset"), need(col("doc", "document"), "document").alias("doc"), need(col("claim"), "claim").alias("claim"), _flag(F.col("label")).alias("label"))
 
