@@ -4,8 +4,8 @@ Documents with the same shingle set are one class of copies and are joined as on
 shingles, the one that comes first in the run's random order, and sets that picked the same shingle meet in a bucket. Two sets
 of similarity s pick the same with probability s, so the number of runs follows from the target recall. A bucket of more than
 BUCKET sets is split again on further picks, as often as there were runs, down to DEPTH. Small buckets are compared by brute
-force on sketches, with a margin of six standard deviations below the threshold; a bucket that does not split is held together
-as it is. What this ties together is a group of candidates. Each group's sets are then compared exactly, every pair once,
+force on sketches, with a margin of six standard deviations below the threshold; a part that keeps more than half of its
+bucket is as good as unsplit, its sets being alike, and is held together as it is. What this ties together is a group of candidates. Each group's sets are then compared exactly, every pair once,
 whole shingle sets against each other; a group of more than TILE sets in pairs of tiles, each a task of its own.
 
 No pairs are ever rows: buckets and tiles give a spanning forest and each set's number of links. The recall of the join is
@@ -165,8 +165,8 @@ def _leaf_edges(least: int):
 
 
 def _counted(rows: DataFrame) -> DataFrame:
-    """Rows whose bucket holds more than one, with the bucket's size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1")
+    """Rows whose bucket holds more than one, with the bucket's size and its least name."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("held"), F.min("name").alias("least")).where("held > 1")
     return rows.join(sizes, "bucket")
 
 
@@ -179,21 +179,25 @@ def candidate_groups(sets: DataFrame, *, threshold: Fraction = THRESHOLD, target
     deal = 4 * _tables.blocks_wanted(spark)
     s = float(threshold)
     least = math.floor(SKETCH * s - 6 * math.sqrt(SKETCH * s * (1 - s)))
-    rows = sets.where("size(picks) > 0").select("name", F.lit(0).cast("long").alias("path"))
-    edges = None
+    edges, rows = None, None
     for level in range(depth):
-        picked = rows.join(sets.select("name", F.slice("picks", level * runs + 1, runs).alias("p")), "name") if level else sets.where("size(picks) > 0").select("name", F.lit(0).cast("long").alias("path"), F.slice("picks", 1, runs).alias("p"))
-        spread = picked.select("name", "path", F.posexplode("p").alias("r", "v")).select("name", F.xxhash64("path", "r", "v").alias("bucket"))
+        picks = F.slice("picks", level * runs + 1, runs).alias("p")
+        if rows is None:
+            picked = sets.where("size(picks) > 0").select("name", F.lit(0).cast("long").alias("path"), F.lit(1 << 62).alias("above"), picks)
+        else:
+            picked = rows.join(sets.select("name", picks), "name")
+        spread = picked.select("name", "path", "above", F.posexplode("p").alias("r", "v")).select("name", "above", F.xxhash64("path", "r", "v").alias("bucket"))
         met = cut(_counted(spread))
         leaves = met.where(F.col("held") <= bucket).join(sets.select("name", "picks"), "name")
         found = leaves.select("bucket", "name", "picks", F.pmod(F.xxhash64("bucket"), F.lit(deal)).alias("deal")).groupBy("deal").applyInArrow(_leaf_edges(least), "a binary, b binary")
         edges = found if edges is None else edges.unionByName(found)
-        rows = met.where(F.col("held") > bucket).select("name", F.col("bucket").alias("path"))
+        large = met.where(F.col("held") > bucket)
+        split = F.col("held") * 2 <= F.col("above") if level + 1 < depth else F.lit(False)
+        whole = large.where(~split)
+        edges = edges.unionByName(whole.select(F.col("name").alias("a"), F.col("least").alias("b")))
+        rows = large.where(split).select("name", F.col("bucket").alias("path"), F.col("held").alias("above"))
         if rows.isEmpty():
             break
-    else:
-        whole = rows.groupBy("path").agg(F.min("name").alias("b"))
-        edges = edges.unionByName(rows.join(whole, "path").select(F.col("name").alias("a"), "b"))
     return components(edges.distinct())
 
 
