@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DECIMAL = "decimal(38,18)"
@@ -135,6 +135,31 @@ def compiled(pack: Pack, answers: str = "answers", *, exact: bool = False) -> di
     return out
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with further columns, each computed once.
+
+    The optimiser writes a column's expression wherever the column is used; a generator of one row stops that, and costly
+    expressions (hashes, checked extractions) that several others refer to stay one.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
+def with_scores(df: DataFrame, pack: Pack, answers: str = "answers", *, exact: bool = False) -> DataFrame:
+    """The rows with a column for every score of the pack; see compiled()."""
+    every = compiled(Pack(pack.questions, pack.extractions), answers, exact=exact)
+    df = once(df, **every)
+    done, pending = set(every), dict(pack.combinations)
+    while pending:
+        ready = [n for n, (_, inputs) in pending.items() if done.issuperset(inputs)]
+        if not ready:
+            raise ValueError(f"combinations refer to each other: {sorted(pending)}")
+        df = df.withColumns({n: combine(pending[n][0], [F.col(i) for i in pending[n][1]], DECIMAL if exact else "double") for n in ready})
+        for n in ready:
+            del pending[n]
+            done.add(n)
+    return df
+
+
 def p_yes(no: Column, yes: Column, temperature: float = 1.0) -> Column:
     """Probability of the second of two logits; one of them may be minus infinity."""
     top = F.greatest(no, yes)

@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimworks.functions.hashing import digest, pool, text_group
+from claimworks.functions.scores import once
 
 SEED = "claimworks-1"
 
 
 def with_pool(rows: DataFrame, text: str = "doc") -> DataFrame:
     """group and pool of each row; copies of a text are always in one pool."""
-    rows = rows.withColumn("group", text_group(F.col(text)))
-    return rows.withColumn("pool", pool(F.col("group")))
+    return once(rows, group=text_group(F.col(text))).withColumn("pool", pool(F.col("group")))
 
 
 def seeded(row_id: str = "id", seed: str = SEED) -> Column:

@@ -6,12 +6,10 @@ decimals each, higher or lower by the label so that scores tell the classes apar
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimworks.functions.scores import Pack, compiled
+from claimworks.functions.scores import Pack, once, with_scores
 
 #: Whether label 1 raises the question's answer.
 QUESTIONS = {"support": True, "unsupported": False, "contradicted": False, "direct": True, "complete": True, "detail": True}
@@ -85,13 +83,12 @@ def answers() -> Column:
 
 def answered(spark: SparkSession, sf_dir: str, dataset: str = "lang") -> DataFrame:
     """rows() with a column answers."""
-    return rows(spark, sf_dir, dataset).withColumn("answers", answers())
+    return once(rows(spark, sf_dir, dataset), answers=answers())
 
 
 def scored(spark: SparkSession, sf_dir: str, dataset: str = "lang", *, exact: bool = False) -> DataFrame:
     """rows() with a column for each score of the pack."""
-    given = answered(spark, sf_dir, dataset)
-    return reduce(lambda df, c: df.withColumn(*c), [], given).select("id", "doc_id", "doc", "claim", "dataset", "label", *[c.alias(n) for n, c in compiled(PACK, exact=exact).items()])
+    return with_scores(answered(spark, sf_dir, dataset), PACK, exact=exact).drop("answers")
 
 
 def _answer_sql(question: str, raised: bool) -> str:
