@@ -14,7 +14,8 @@ which windows have equal bytes from the anchor on; a sort of the bytes before th
 Windows equal on both sides are the same string, and all but the earliest are removed.
 
 Hot groups: a block sends each distinct surrounding of an anchor once, so a group of copies puts one suffix per block and
-distinct surrounding into the exchange, and nothing is ever done for each pair of copies.
+distinct surrounding into the exchange, and nothing is ever done for each pair of copies. The windows of hot anchors are
+divided (see _repeats); their keys begin with a hash of what a division's windows have in common instead.
 
 Defined results: null and empty texts are empty; rows that share a doc_id are separate documents, in the order of their
 texts; a null doc_id comes before all others; an empty table gives an empty table; further columns are ignored.
@@ -36,6 +37,9 @@ GRAM = 32
 PIECE = 1 << 19
 _LOW = np.uint64((1 << 24) - 1)
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
+#: Distances between a window's start and its anchor that hot anchors' windows are divided by.
+STEP = 12
+_WEIGHTS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _HEAD = 8  # bytes of the hash before the suffix in a sort key
 _NO_ID = -(1 << 63)
 
@@ -124,6 +128,15 @@ def runs_of_block(table: pa.Table, back: pa.Table, buckets: int, length: int = L
     at, low, high, h = at[chosen], low[chosen], high[chosen], h[chosen]
     if not len(at):
         return _RUNS.empty_table()
+
+    def shared(places: np.ndarray, near: int, far: int) -> np.ndarray:
+        out = np.empty(len(places), np.uint64)
+        reach = np.arange(-near, length - far)
+        for i in range(0, len(places), 1 << 14):
+            out[i : i + (1 << 14)] = ((data[places[i : i + (1 << 14), None] + reach] + np.uint64(1)) * _WEIGHTS[: len(reach)]).sum(1, dtype=np.uint64)
+        return out
+
+    at, low, high, h = _repeats.divided(back, at, low, high, h, length - gram + 1, STEP, shared)
     row = np.searchsorted(offsets, low, "right") - 1
     least, most = at - high, at - low  # of the bytes between a window's start and its anchor
     side = length - gram
@@ -317,7 +330,7 @@ def cut_block(table: pa.Table, spans: pa.Table, *, keep_text: bool = False) -> p
     return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if keep_text else {}))
 
 
-def remove_repeats(docs: DataFrame, *, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, keep_text: bool = False, length: int = LENGTH, gram: int = GRAM, hot: int = _repeats.HOT) -> DataFrame:
     """What is left of every document without the bytes of strings of this length that start earlier too."""
     if gram % 8 or not 8 <= gram < length <= 255:
         raise ValueError("the gram takes a multiple of 8 bytes, fewer than the length; the length at most 255")
@@ -327,9 +340,9 @@ def remove_repeats(docs: DataFrame, *, keep_text: bool = False, length: int = LE
     def hashes(table):
         return anchors(*_tables.utf8(_in_order(table).column("text")), length, gram)[3]
 
-    back = _repeats.repeated(rows, hashes, blocks)
+    back = _repeats.repeated(rows, hashes, blocks, hot)
     runs = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda t, b: runs_of_block(t, b, blocks, length, gram), "bucket int, block int, kind int, payload binary")
-    spans = runs.groupBy("bucket").applyInArrow(lambda t: merge_bucket(t, length, gram), "block int, payload binary")
+    spans = runs.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(lambda t: merge_bucket(t, length, gram), "block int, payload binary")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
     return rows.groupBy("block").cogroup(spans.groupBy("block")).applyInArrow(lambda t, s: cut_block(t, s, keep_text=keep_text), schema)
 
@@ -339,3 +352,20 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op1_suffix_dedup": op1_suffix_dedup}
+ORACLE = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, j, substr(h, 2 * j + 1, 2 * 599) AS h FROM (SELECT doc_id, h, unnest(generate_series(0, len(h) // 2 - 100, 500)) AS j FROM d WHERE len(h) >= 200)),
+starts AS (SELECT doc_id, j, h, unnest(generate_series(0, least(499, len(h) // 2 - 100))) AS k FROM pieces WHERE len(h) >= 200),
+windows AS (SELECT doc_id, j + k AS i, md5_number(substr(h, 2 * k + 1, 200)) AS s FROM starts),
+firsts AS (SELECT s, min(CAST(doc_id AS HUGEINT) * 4294967296 + i) AS f FROM windows GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE CAST(doc_id AS HUGEINT) * 4294967296 + i <> f),
+steps AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS fresh FROM gone),
+islands AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS n FROM steps),
+spans AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS z FROM islands GROUP BY doc_id, n),
+gaps AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS p FROM spans),
+rest AS (SELECT doc_id, string_agg(substr(h, 2 * p + 1, 2 * (a - p)), '' ORDER BY a) || substr(any_value(h), 2 * max(z) + 1) AS h, sum(z - a) AS n_removed, count(*) AS n_spans FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN rest USING (doc_id)
+"""
+}

@@ -39,8 +39,9 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(i, t, 3, "x") for i, t in docs], "doc_id long, text string, n_bytes int, block string").repartition(5)
     got = sorted(map(tuple, s.remove_repeats(df).collect()), key=str)
     assert got == sorted(brute(docs, 100), key=str)
-    got = sorted(map(tuple, s.remove_repeats(df, length=40, gram=16).collect()), key=str)
+    got = sorted(map(tuple, s.remove_repeats(df, length=40, gram=16, hot=1).collect()), key=str)
     assert got == sorted(brute(docs, 40), key=str)
+    assert sorted(map(tuple, s.remove_repeats(df, hot=1).collect()), key=str) == sorted(brute(docs, 100), key=str)
     assert s.remove_repeats(df.limit(0)).count() == 0
 
 
