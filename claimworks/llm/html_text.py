@@ -2,7 +2,9 @@
 
 The parser of the standard library streams a page's events. Text gathers into lines, one for each block element's stretch of
 text, and each line counts the tags that its stretch held. A line's ratio is its characters by its tags; lines within
-menus, headers, footers, sidebars, notices, adverts, forms, comments and anything that is no text count 0. The ratios are
+menus, headers, footers, sidebars, notices, adverts, forms, comments and anything that is no text count 0. An element that is
+left out for its class or id alone comes back if it is the layout around the text: it holds the page's main or article
+elements, or by far the most of the text, and is not named for notices and the like alone. The ratios are
 smoothed with a Gaussian and split at a threshold (their standard deviation, or half their mean where that is lower). The
 lines above it select the content regions: an article or main element with such a line is a region, and all its own lines are
 content, short ones too; without such elements the region reaches from the first to the last of those lines.
@@ -39,48 +41,61 @@ _NAMES = frozenset(
     "comment comments commentlist disqus replies respond discussion "
     "share sharing social newsletter subscribe subscription signup login search skip".split()
 )
+_STATES = frozenset("has no with without".split())
+_REMARKS = frozenset("comment comments commentlist disqus replies respond discussion".split())
 _OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _STOP_CLOSE = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
 _SPLIT = re.compile(r"[^a-z0-9]+").split
 _SPACE = re.compile(r"\s+").sub
 
 
-def _named(attributes) -> bool:
-    """Whether the element's names, role or state say that it is no part of the text."""
-    for key, value in attributes:
-        if key in ("class", "id"):
-            if value and not _NAMES.isdisjoint(_SPLIT(value.lower())):
-                return True
-        elif key == "role":
-            if value and value.lower() in _ROLES:
-                return True
-        elif key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-    return False
+def _words(value: str) -> set[str]:
+    """The words of a class or id up to one that says what the element has or lacks: of content-with-sidebar, content."""
+    found = set()
+    for name in value.lower().split():
+        for word in filter(None, _SPLIT(name)):
+            if word in _STATES:
+                break
+            found.add(word)
+    return found
+
+
+def _barred(attributes) -> bool:
+    """Whether the element's role or state says that it is no part of the text."""
+    return any(key == "role" and value and value.lower() in _ROLES or key == "hidden" or key == "aria-hidden" and value == "true" for key, value in attributes)
+
+
+def _named(attributes) -> set[str]:
+    """The words of the element's class and id, if one of them says that it is no part of the text."""
+    words = set().union(*[_words(value) for key, value in attributes if key in ("class", "id") and value])
+    return set() if _NAMES.isdisjoint(words) else words
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, region, left out) of each line; region: number of the outermost article or main, 0 outside."""
+    """Gathers (text, tags, region, left out, named) of each line; region: number of the outermost article or main, 0 outside;
+    named: the innermost element around it that is left out for its names alone, 0 if none is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool]] = []
-        self._open: list[tuple[str, bool, int]] = []  # element, left out, region
-        self._out, self._region, self._regions = False, 0, 0
+        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # the named element around it, whether it may be layout, or remarks
+        self.mains: list[int] = []  # the named element around each main
+        self._open: list[tuple[str, bool, int, int]] = []  # element, left out, region, named
+        self._out, self._region, self._regions, self._name = False, 0, 0, 0
         self._text: list[str] = []
         self._tags = 0
 
     def _end_line(self) -> None:
         text = _SPACE(" ", "".join(self._text)).strip()
         if text:
-            self.lines.append((text, self._tags, self._region, self._out))
+            self.lines.append((text, self._tags, self._region, self._out, self._name))
             self._tags = 0
         self._text = []
 
     def _pop(self, n: int) -> None:
         self._end_line()
         del self._open[n:]
-        _, self._out, self._region = self._open[-1] if self._open else ("", False, 0)
+        _, self._out, self._region, self._name = self._open[-1] if self._open else ("", False, 0, 0)
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
@@ -91,9 +106,9 @@ class Lines(HTMLParser):
                 self._end_line()
             return
         if tag in _INLINE:
-            if attrs and _named(attrs):
+            if attrs and (_barred(attrs) or _named(attrs)):
                 self._end_line()
-                self._open.append((tag, True, self._region))
+                self._open.append((tag, True, self._region, self._name))
                 self._out = True
             return
         self._end_line()
@@ -104,19 +119,29 @@ class Lines(HTMLParser):
                 break
             if self._open[n][0] in _STOP_CLOSE:
                 break
-        out, region = self._out, self._region
+        out, region, name = self._out, self._region, self._name
         if tag in ("article", "main"):
-            if out and self._open and {x[0] for x in self._open if x[1]} <= {"nav", "header", "form", "label", "p", "ul", "li", "div"} and not any(x[0] == "div" and x[1] for x in self._open):
-                out = False  # an element left open, or a form around the page
-            if not region and not out:
-                self._regions += 1
-                region = self._regions
+            around = {"nav", "header", "form", "label", "p", "ul", "li"}  # an element left open, or a form around the page
+            if {x[0] for x in self._open if x[1]} <= around:
+                out = False
+                if {x[0] for x in self._open if x[3]} <= around:
+                    name = 0
+            if not out:
+                if tag == "main":
+                    self.mains.append(name)
+                if not region:
+                    self._regions += 1
+                    region = self._regions
         elif tag in _HEADINGS and out and region and self._open and self._open[-1][0] == "header" and sum(x[1] for x in self._open) == 1:
             out = False  # the title in an article's own header
-        elif tag in _SILENT or attrs and tag not in ("html", "body") and _named(attrs):
+        elif tag in _SILENT or attrs and tag not in ("html", "body") and _barred(attrs):
             out = True
-        self._open.append((tag, out, region))
-        self._out, self._region = out, region
+        elif attrs and not out and tag not in ("html", "body") and (words := _named(attrs)):
+            remarks = not _REMARKS.isdisjoint(words)
+            self.named.append((name, not remarks and not words <= _NAMES, remarks))
+            name = len(self.named) - 1
+        self._open.append((tag, out, region, name))
+        self._out, self._region, self._name = out, region, name
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID:
@@ -140,9 +165,47 @@ class Lines(HTMLParser):
         self._text.append(data)
 
     def finish(self) -> list[tuple[str, int, int, bool]]:
+        """(text, tags, region, left out) of each line."""
         self.close()
         self._end_line()
-        return self.lines
+        layout = self._layout()
+        return [(text, tags, region, out or name not in layout) for text, tags, region, out, name in self.lines]
+
+    def _layout(self) -> set[int]:
+        """The named elements that hold the page's text, and 0."""
+        size, within, regions = [0] * len(self.named), [0] * len(self.named), set()  # characters, of these in articles
+        for text, _, region, out, name in self.lines:
+            if not out:
+                size[name] += len(text)
+                if region:
+                    within[name] += len(text)
+                    regions.add(name)
+        stay = {0}
+
+        def keep(name: int) -> int:
+            """Takes in the element and those around it; the characters that come back."""
+            n = 0
+            while name not in stay:
+                stay.add(name)
+                n += size[name]
+                name = self.named[name][0]
+            return n
+
+        kept = size[0]
+        if self.mains and 0 not in self.mains:
+            kept += sum([keep(name) for name in self.mains])
+        while True:
+            found, layout = 0, [True] * len(self.named)
+            for name, (around, may, remarks) in enumerate(self.named):
+                if name in stay:
+                    continue
+                layout[name] = may and layout[around]
+                held = within[name] and stay.isdisjoint(regions) and (not kept if remarks else within[name] > kept)
+                if (held or layout[name] and size[name] > 4 * kept) and (not found or (not remarks, size[name]) > (not self.named[found][2], size[found])):
+                    found = name
+            if not found:
+                return stay
+            kept += keep(found)
 
 
 def lines_of(html: str) -> list[tuple[str, int, int, bool]]:

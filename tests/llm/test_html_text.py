@@ -30,6 +30,19 @@ def test_odd_pages():
     assert h.main_text("<article>" + deep) == "\n".join(["x"] * 20000)
 
 
+def test_layout_names():
+    text = "".join(f"<p>{w} " + "word " * 30 + "</p>" for w in ("One", "Two"))
+    want = [" ".join([w] + ["word"] * 30) for w in ("One", "Two")]
+    rest = "<div class=related><article><p>Other piece, with some words in it.</p></article></div><div id=comments><article><p>" + "I disagree. " * 40 + "</p></article></div><div class=footer>x</div>"
+    for names in ('class="content has-sidebar"', 'class="no-sidebar"', 'class="content-with-sidebar"', 'id="page" class="header-fixed"', 'class="page sidebar-left"', 'class="widget Blog"'):
+        for body in ("<article>" + text + "</article>" + rest, "<main>" + text + rest + "</main>", "<article>" + text + "</article>", text, text + "<div class=ad>Buy</div>"):
+            assert h.main_text(f"<body><div {names}>{body}</div><footer>z</footer>").split("\n") == want, (names, body)
+    assert h.main_text('<div class="sidebar"><main>' + text + "</main></div>").split("\n") == want
+    assert h.main_text('<div id="page" class="header-fixed"><div class="content menu-open">' + text + "</div></div>").split("\n") == want
+    assert h.main_text(text + rest + '<div class="cookie-notice">' + "We use cookies. " * 60 + "</div>").split("\n") == want
+    assert [h.main_text(f"<div class={x}>Buy this</div>") for x in ("ad", "cookie-notice", "comments", "post-comments")] == [""] * 4
+
+
 def test_generated_pages(sf_dir):
     """The pages' own making: everything in the article, by block."""
     rows = duckdb.sql(f"select html from '{sf_dir}/pages.parquet'").fetchall()
