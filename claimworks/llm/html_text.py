@@ -6,8 +6,9 @@ menus, headers, footers, sidebars, notices, adverts, forms, comments and anythin
 left out for its class or id alone comes back if it is the layout around the text: it holds the page's main or article
 elements, or by far the most of the text, and is not named for notices and the like alone. The ratios are
 smoothed with a Gaussian and split at a threshold (their standard deviation, or half their mean where that is lower). The
-lines above it select the content regions: an article or main element with such a line is a region, and all its own lines are
-content, short ones too; without such elements the region reaches from the first to the last of those lines.
+lines above it select the content regions: if an article or main element has such a line, all own lines of the page's articles
+and main are content, short ones too; without such elements the region is all that stands in the block element around those
+lines, and beyond it the lines on either side up to one that is left out or is only a link.
 
 Defined results: null and empty pages have no text; character references are decoded; white space within a line becomes one
 space; lines keep the order of the page; a page whose lines are all in left-out elements has no text; repeated rows give
@@ -43,6 +44,7 @@ _NAMES = frozenset(
 )
 _STATES = frozenset("has no with without".split())
 _REMARKS = frozenset("comment comments commentlist disqus replies respond discussion".split())
+_TEXT = _HEADINGS | frozenset("p li dt dd ul ol dl blockquote pre figure figcaption caption address thead tbody tr th".split())
 _OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _STOP_CLOSE = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
 _SPLIT = re.compile(r"[^a-z0-9]+").split
@@ -72,30 +74,36 @@ def _named(attributes) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, region, left out, named) of each line; region: number of the outermost article or main, 0 outside;
-    named: the innermost element around it that is left out for its names alone, 0 if none is."""
+    """Gathers (text, tags, region, left out, place, named) of each line; region: number of the outermost article or main, 0
+    outside; place: number of the block element, 0 for the page, and whether the line is a link alone; named: the innermost
+    element around it that is left out for its names alone, 0 if none is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, int]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, bool], int]] = []
+        self.blocks: list[tuple[int, str]] = [(0, "")]  # the block element around it, element
         self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # the named element around it, whether it may be layout, or remarks
         self.mains: list[int] = []  # the named element around each main
-        self._open: list[tuple[str, bool, int, int]] = []  # element, left out, region, named
-        self._out, self._region, self._regions, self._name = False, 0, 0, 0
+        self._open: list[tuple[str, bool, int, int, int]] = []  # element, left out, region, named, block element
+        self._out, self._region, self._regions, self._name, self._block = False, 0, 0, 0, 0
         self._text: list[str] = []
+        self._link, self._plain = False, False  # within a link; whether the line has text outside links
         self._tags = 0
 
     def _end_line(self) -> None:
         text = _SPACE(" ", "".join(self._text)).strip()
         if text:
-            self.lines.append((text, self._tags, self._region, self._out, self._name))
+            alone = not self._plain and self.blocks[self._block][1] not in _HEADINGS
+            self.lines.append((text, self._tags, self._region, self._out, (self._block, alone), self._name))
             self._tags = 0
-        self._text = []
+        self._text, self._plain = [], False
 
     def _pop(self, n: int) -> None:
         self._end_line()
+        if self._open[n][0] not in _INLINE:
+            self._link = False
         del self._open[n:]
-        _, self._out, self._region, self._name = self._open[-1] if self._open else ("", False, 0, 0)
+        _, self._out, self._region, self._name, self._block = self._open[-1] if self._open else ("", False, 0, 0, 0)
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
@@ -106,9 +114,10 @@ class Lines(HTMLParser):
                 self._end_line()
             return
         if tag in _INLINE:
+            self._link = self._link or tag == "a"
             if attrs and (_barred(attrs) or _named(attrs)):
                 self._end_line()
-                self._open.append((tag, True, self._region, self._name))
+                self._open.append((tag, True, self._region, self._name, self._block))
                 self._out = True
             return
         self._end_line()
@@ -140,7 +149,10 @@ class Lines(HTMLParser):
             remarks = not _REMARKS.isdisjoint(words)
             self.named.append((name, not remarks and not words <= _NAMES, remarks))
             name = len(self.named) - 1
-        self._open.append((tag, out, region, name))
+        if tag not in ("html", "body"):
+            self.blocks.append((self._block, tag))
+            self._block = len(self.blocks) - 1
+        self._open.append((tag, out, region, name, self._block))
         self._out, self._region, self._name = out, region, name
 
     def handle_startendtag(self, tag, attrs):
@@ -152,6 +164,7 @@ class Lines(HTMLParser):
 
     def handle_endtag(self, tag):
         self._tags += 1
+        self._link = self._link and tag != "a"
         if tag in _INLINE and not any(x[0] == tag for x in self._open):
             return
         for n in range(len(self._open) - 1, -1, -1):
@@ -163,18 +176,32 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         self._text.append(data)
+        if not self._link and not self._plain:
+            self._plain = bool(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, bool]]:
-        """(text, tags, region, left out) of each line."""
+    def finish(self) -> list[tuple[str, int, int, bool, tuple[int, bool]]]:
+        """(text, tags, region, left out, place) of each line."""
         self.close()
         self._end_line()
         layout = self._layout()
-        return [(text, tags, region, out or name not in layout) for text, tags, region, out, name in self.lines]
+        return [(text, tags, region, out or name not in layout, place) for text, tags, region, out, place, name in self.lines]
+
+    def around(self, places: list[int]) -> list[bool]:
+        """For each block element, whether it is in the smallest one around all places that is more than a piece of text."""
+        a, b = min(places), max(places)  # numbered as they begin, so that these two are in it if all are
+        while a != b or self.blocks[a][1] in _TEXT:
+            a, b = (a, self.blocks[b][0]) if b > a else (self.blocks[a][0], b)
+        inside = [False] * len(self.blocks)
+        if a:
+            inside[a] = True
+            for n in range(a + 1, len(inside)):
+                inside[n] = inside[self.blocks[n][0]]
+        return inside
 
     def _layout(self) -> set[int]:
         """The named elements that hold the page's text, and 0."""
         size, within, regions = [0] * len(self.named), [0] * len(self.named), set()  # characters, of these in articles
-        for text, _, region, out, name in self.lines:
+        for text, _, region, out, _, name in self.lines:
             if not out:
                 size[name] += len(text)
                 if region:
@@ -208,15 +235,15 @@ class Lines(HTMLParser):
             kept += keep(found)
 
 
-def lines_of(html: str) -> list[tuple[str, int, int, bool]]:
+def parsed(html: str) -> tuple[Lines, list[tuple[str, int, int, bool, tuple[int, bool]]]]:
     parser = Lines()
     try:
         parser.feed(html)
-        return parser.finish()
+        return parser, parser.finish()
     except AssertionError:  # a marked section that is none
         parser = Lines()
         parser.feed(html.replace("<![", "&lt;!["))
-        return parser.finish()
+        return parser, parser.finish()
 
 
 def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -227,20 +254,28 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The lines of a page's content regions."""
-    lines = lines_of(html) if html else []
-    kept = [not out for _, _, _, out in lines]
+    parser, lines = parsed(html) if html else (None, [])
+    kept = [not out for _, _, _, out, _ in lines]
     if not any(kept):
         return ""
-    ratio = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out in lines])
+    ratio = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out, _ in lines])
     smooth = smoothed(ratio, sigma)
     above = (smooth >= min(smooth.std(), smooth.mean() / 2)) & kept
     if not above.any():
         above = np.array(kept)
-    regions = {lines[i][2] for i in np.flatnonzero(above).tolist()} - {0}
-    if regions:
-        return "\n".join(text for text, _, region, out in lines if region in regions and not out)
-    first, last = np.flatnonzero(above)[[0, -1]]
-    return "\n".join(text for text, _, _, out in lines[first : last + 1] if not out)
+    chosen = np.flatnonzero(above).tolist()
+    if any(lines[i][2] for i in chosen):
+        return "\n".join(text for text, _, region, out, _ in lines if region and not out)
+    inside = parser.around([lines[i][4][0] for i in chosen])
+    first, last = chosen[0], chosen[-1]
+    for i, (_, _, _, out, (block, _)) in enumerate(lines):
+        if inside[block] and not out:
+            first, last = min(first, i), max(last, i)
+    while first and kept[first - 1] and not lines[first - 1][4][1]:
+        first -= 1
+    while last + 1 < len(lines) and kept[last + 1] and not lines[last + 1][4][1]:
+        last += 1
+    return "\n".join(text for text, _, _, out, _ in lines[first : last + 1] if not out)
 
 
 def extract(pages: DataFrame, *, sigma: float = SIGMA) -> DataFrame:

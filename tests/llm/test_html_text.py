@@ -43,6 +43,27 @@ def test_layout_names():
     assert [h.main_text(f"<div class={x}>Buy this</div>") for x in ("ad", "cookie-notice", "comments", "post-comments")] == [""] * 4
 
 
+def test_short_ends():
+    menu = "<ul class=menu><li><a href=x>a</a><li><a href=y>b</a><li><a href=z>c</a></ul>"
+    long = [(w + " " + "word " * 80).strip() for w in ("One", "Two", "Three", "Four", "Five")]
+    ends = ["First item", "Second", "Third", "Fourth item", "Fifth"]
+    body = "<h1>A title</h1><p>By A</p>" + "".join(f"<p>{x}</p>" for x in long) + "<ul>" + "".join(f"<li>{x}</li>" for x in ends) + "</ul>"
+    foot = "<div class=footer><p>x</p><p>y</p></div>"
+    want = ["A title", "By A", *long, *ends]
+    assert h.main_text("<body>" + menu + body + foot).split("\n") == want
+    assert h.main_text("<body>" + menu + "<div>" + body.replace("<p>By A</p>", "<p>By A</p><div class=share>Share</div>") + "</div>" + foot).split("\n") == want
+    assert h.main_text("<body>" + menu + "<div>" + body.replace("</p><p>One", "</p><div><p>One").replace("<ul>", "</div><ul>") + "</div>" + foot).split("\n") == want
+    plain = "<div>" + "".join(f"<a href={x}>{x}</a><br><hr>" for x in "abc") + "</div>"
+    assert h.main_text("<body>" + plain + "<div>" + body + "</div>" + plain).split("\n") == want
+    linked = body.replace("Fifth", "<a href=f>Fifth</a>").replace("A title", "<a href=t>A title</a>")
+    assert h.main_text("<body>" + plain + "<div>" + linked + "</div>" + plain).split("\n") == want
+
+
+def test_short_article():
+    page = "<article><h2>A</h2><p>" + "word " * 90 + "</p></article><article><p>Be.</p></article>" + "<div class=ad>x</div>" * 9 + "<article><p>So.</p></article>"
+    assert h.main_text(page).split("\n") == ["A", ("word " * 90).strip(), "Be.", "So."]
+
+
 def test_generated_pages(sf_dir):
     """The pages' own making: everything in the article, by block."""
     rows = duckdb.sql(f"select html from '{sf_dir}/pages.parquet'").fetchall()
