@@ -36,3 +36,17 @@ def test_candidates(spark, sf_dir, duck):
     n = duck.execute("select count(*) from documents").fetchone()[0]
     met = core.QUERIES["candidate_join"](spark, sf_dir).groupBy("claim_id").count().collect()
     assert {r.claim_id for r in met if r["count"] == n} == {str(i) for (i,) in duck.execute("select item_id from benchmark where item_id % 4 = 0").fetchall()}
+
+
+FILTERS = {
+    "numeric_cells": [(" WHERE o_orderkey % 7 = 0", "")],
+    "summary_projection": [(" WHERE event_id % 20 = 0", "")],
+    "context_graph": [("o_custkey % 400 AS a, 1000 + o_orderkey % 600 AS b", "-1 - o_custkey AS a, o_orderkey AS b"), (" WHERE o_orderkey % 3 = 0 AND o_custkey < 1000", "")],
+}
+
+
+@pytest.mark.parametrize("name", sorted(FILTERS))
+def test_every_row(spark, sf_dir, duck, name):
+    got = whole(spark, sf_dir, duck, name, FILTERS[name])
+    n = {t: duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("orders", "events")}
+    assert got["triples"].sum() == n["orders"] if name == "context_graph" else len(got) == n["events" if name == "summary_projection" else "orders"]
