@@ -58,9 +58,9 @@ def spread(folds: DataFrame, value: str, keys: list[str]) -> DataFrame:
 
 
 def one_standard_error(candidates: DataFrame) -> DataFrame:
-    """Of candidates (c, mean, se): within the best one's standard error, the least c, then the largest mean."""
+    """Of candidates (c, mean, se): within the best one's standard error, the least c, then the largest mean, then no logits where both were tried."""
     best = F.max_by(F.col("mean") - F.col("se"), "mean").over(Window.partitionBy())
-    return candidates.withColumn("least", best).where("mean >= least").orderBy("c", F.col("mean").desc()).limit(1).drop("least")
+    return candidates.withColumn("least", best).where("mean >= least").orderBy("c", F.col("mean").desc(), *[x for x in ("logits",) if x in candidates.columns]).limit(1).drop("least")
 
 
 def transferred(development: DataFrame, test: DataFrame, score: str, fixed: float = 0.30, keys: tuple[str, ...] = ("model",)) -> DataFrame:

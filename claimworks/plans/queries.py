@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -257,12 +258,12 @@ x AS (SELECT r, (CAST(a_pos AS DOUBLE) / nullif(pos, 0) + CAST(a_neg AS DOUBLE)
 m AS (SELECT r, CASE WHEN count(a) = count(*) THEN avg(a) END AS a, CASE WHEN count(b) = count(*) THEN avg(b) END AS b FROM x GROUP BY r), d AS (SELECT *, a - b AS d FROM m)
 SELECT {_ENDS}, count(d) AS valid_repeats, count(*) AS repeats FROM d""")
 def bootstrap_ci(spark, sf_dir):
-    return _rounded(metrics.bootstrap(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5), 40))
+    return _rounded(metrics.bootstrap(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5)))
 
 
 @query()
 def bootstrap_exact(spark, sf_dir):
-    return metrics.bootstrap_exact(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5), 200)
+    return metrics.bootstrap_exact(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5))
 
 
 # Joins.
@@ -532,11 +533,11 @@ def logistic_fit(spark, sf_dir):
 
 @query()
 def one_se_choice(spark, sf_dir):
-    s, found = _folds(scored(spark, sf_dir), 3).persist(), None
-    for c in (0.01, 1.0):
-        out = calibration.out_of_fold(s, ["support", "no_unsupported", "no_contradicted"], c, 3)
+    s, found = _folds(scored(spark, sf_dir)).persist(), None
+    for logits, c in itertools.product((False, True), (0.01, 0.1, 1.0, 10.0)):
+        out = calibration.out_of_fold(s, ["support", "no_unsupported", "no_contradicted"], c, 5, logits=logits)
         each = out.groupBy("fold").agg(F.avg(((F.col("score") > 0.5) == (F.col("label") == 1)).cast("double")).alias("v"))
-        row = calibration.spread(each, "v", []).withColumn("c", F.lit(c))
+        row = calibration.spread(each, "v", []).withColumn("c", F.lit(c)).withColumn("logits", F.lit(logits))
         found = row if found is None else found.unionByName(row)
     return calibration.one_standard_error(found)
 

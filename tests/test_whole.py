@@ -2,8 +2,10 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import TABLES, rows
 
+from claimworks.operators import calibration
 from claimworks.plans import queries as core
 
 
@@ -50,3 +52,20 @@ def test_every_row(spark, sf_dir, duck, name):
     got = whole(spark, sf_dir, duck, name, FILTERS[name])
     n = {t: duck.execute(f"select count(*) from {t}").fetchone()[0] for t in ("orders", "events")}
     assert got["triples"].sum() == n["orders"] if name == "context_graph" else len(got) == n["events" if name == "summary_projection" else "orders"]
+
+
+def test_every_repeat(spark, sf_dir, duck):
+    got = whole(spark, sf_dir, duck, "bootstrap_ci", [("generate_series(1, 40)", "generate_series(1, 1000)")])
+    assert got["repeats"].tolist() == [1000]
+    assert core.QUERIES["bootstrap_exact"](spark, sf_dir).first()["repeats"] == 1000
+
+
+def test_every_candidate(spark, sf_dir, monkeypatch):
+    tried, choose = [], calibration.one_standard_error
+    monkeypatch.setattr(calibration, "out_of_fold", lambda rows, features, c, folds, *, logits=False: tried.append((logits, c, folds)) or rows.withColumn("score", F.lit(0.5 + c / 100)))
+    monkeypatch.setattr(calibration, "one_standard_error", lambda df: df)
+    got = core.QUERIES["one_se_choice"](spark, sf_dir)
+    want = [(logits, c) for logits in (False, True) for c in (0.01, 0.1, 1.0, 10.0)]
+    assert tried == [(*x, 5) for x in want] and sorted((r.logits, r.c) for r in got.collect()) == want
+    tie = spark.createDataFrame([(0.1, 0.8, 0.01, True), (0.1, 0.8, 0.01, False)], "c double, mean double, se double, logits boolean")
+    assert not choose(tie).first()["logits"]
