@@ -6,28 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def parts(triples: DataFrame, rounds: int = 50) -> DataFrame:
+def parts(triples: DataFrame) -> DataFrame:
     """node, part: the least node that each node (columns a, b of the triples) is connected with.
 
-    Labels travel along the edges and jump to their own label's label in each round, so rounds grow with the logarithm of
-    the longest path; lineage is cut where a checkpoint folder is set.
+    Large and small stars take turns until nothing changes: a large star ties each node's larger neighbours to the least of
+    its neighbourhood, a small star the smaller ones. The number of edges never grows, and rounds grow with the logarithm of
+    the longest path. Each round is checkpointed, locally where no checkpoint folder is set.
     """
     context = triples.sparkSession.sparkContext
     reliable = not context._jsc.sc().getCheckpointDir().isEmpty()
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
-    edges = keep(triples.select(F.col("a"), F.col("b")).unionByName(triples.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
-    nodes = triples.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    labels = keep(nodes.withColumn("part", F.col("node")))
-    for _ in range(rounds):
-        near = edges.join(labels.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
-        low = labels.join(near, "node", "left").select("node", F.least("part", "near").alias("part"))
-        jump = low.select(F.col("node").alias("part"), F.col("part").alias("far"))
-        new = keep(low.join(jump, "part", "left").select("node", F.least("part", F.coalesce("far", "part")).alias("part")))
-        same = new.join(labels.withColumnRenamed("part", "old"), "node").where("part <> old").isEmpty()
-        labels = new
-        if same:
+    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.localCheckpoint())
+    edges = keep(triples.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        ties = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        edges = keep(large.join(low, "u").select(F.explode(ties).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
+        after = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if after == before:
             break
-    return labels
+        before = after
+    nodes = triples.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    return nodes.join(edges.select(F.col("u").alias("node"), F.col("v").alias("part")), "node", "left").select("node", F.coalesce("part", "node").alias("part"))
 
 
 def shapes(triples: DataFrame, labels: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_queries import TABLES, rows
 
-from claimworks.operators import calibration
+from claimworks.operators import calibration, graph
 from claimworks.plans import queries as core
 
 
@@ -69,3 +69,12 @@ def test_every_candidate(spark, sf_dir, monkeypatch):
     assert tried == [(*x, 5) for x in want] and sorted((r.logits, r.c) for r in got.collect()) == want
     tie = spark.createDataFrame([(0.1, 0.8, 0.01, True), (0.1, 0.8, 0.01, False)], "c double, mean double, se double, logits boolean")
     assert not choose(tie).first()["logits"]
+
+
+def test_long_path(spark):
+    """One part, however late the least label arrives; a node tied to itself alone is a part."""
+    path = [*range(60), *range(119, 59, -1)]
+    triples = spark.createDataFrame([*zip(path, path[1:]), (500, 500), (600, 601), (601, 600)], "a long, b long")
+    labels = graph.parts(triples)
+    assert {r.node: r.part for r in labels.collect()} == {n: 0 for n in path} | {500: 500, 600: 600, 601: 600}
+    assert {r.part: (r.triples, r.nodes) for r in graph.shapes(triples, labels).collect()} == {0: (119, 120), 500: (1, 1), 600: (2, 2)}
