@@ -497,8 +497,9 @@ def negation_sum(spark, sf_dir):
 def choice_verdict(spark, sf_dir):
     a = answered(spark, sf_dir).select("id", F.map_entries(F.col("answers")["complete"]["probabilities"]).alias("p"))
     top = F.reduce("p", F.struct(F.lit("").alias("key"), F.lit(-1.0).alias("value")), lambda m, x: F.when(x["value"] > m["value"], F.struct(x["key"].alias("key"), x["value"].alias("value"))).otherwise(m))
-    # At exactly 0.20 and 0.80 doubles and decimals part ways; those rows are for the decimal rule.
-    return a.withColumn("top", top).where("abs(top.value - 0.8D) > 1e-9").select("id", F.col("top.key").alias("choice"), F.when(F.col("top.value") >= 0.8, "auto").otherwise("review").alias("route"))
+    # The route goes by the decimal that is written, so that 0.8 is at the threshold whatever its double is.
+    written = F.col("top.value").cast("string").cast(scores.DECIMAL)
+    return a.withColumn("top", top).select("id", F.col("top.key").alias("choice"), F.when(written >= F.lit("0.8").cast(scores.DECIMAL), "auto").otherwise("review").alias("route"))
 
 
 # Calibration.

@@ -78,3 +78,10 @@ def test_long_path(spark):
     labels = graph.parts(triples)
     assert {r.node: r.part for r in labels.collect()} == {n: 0 for n in path} | {500: 500, 600: 600, 601: 600}
     assert {r.part: (r.triples, r.nodes) for r in graph.shapes(triples, labels).collect()} == {0: (119, 120), 500: (1, 1), 600: (2, 2)}
+
+
+def test_choice_at_threshold(spark, sf_dir, duck):
+    got = whole(spark, sf_dir, duck, "choice_verdict", [(" WHERE h_complete NOT IN (20, 80)", "")])
+    assert len(got) == duck.execute("select count(*) from documents join labels using (doc_id)").fetchone()[0]
+    at = duck.execute(core.ORACLE_SQL["choice_verdict"].replace("NOT IN (20, 80)", "IN (20, 80)")).df()
+    assert len(at) and set(at["route"]) == {"auto"}
