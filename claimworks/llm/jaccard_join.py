@@ -104,7 +104,7 @@ def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             picked = pa.ListArray.from_arrays(pa.array(lengths, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *firsts])))
             yield pa.record_batch([b.column(0), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()), picked], names=["doc_id", "name", "size", "picks"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, name binary, size long, picks array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, name binary, size long, picks array<int>")
 
 
 def _forest(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -293,6 +293,11 @@ def similarity_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, targ
     class_id: the least doc_id among the documents that links and copies lead to; n_links: how many different shingle sets
     have the threshold's similarity with this one's or more; n_copies: how many documents have this very set.
     """
+    return set_classes(docs, threshold=threshold, target=target, shingle=shingle, bucket=bucket, tile=tile).select("doc_id", "class_id", "n_links", "n_copies")
+
+
+def set_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, target: float = TARGET, shingle: int = SHINGLE, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
+    """similarity_classes() with name, the document's shingle set, and root, the least set of its class."""
     spark = docs.sparkSession
     every = cut(sketches(docs, shingle))
     sets = cut(every.groupBy("name").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("picks").alias("picks")))
@@ -307,7 +312,7 @@ def similarity_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, targ
     trees = components(found.select(F.col("name").alias("a"), F.col("tree").alias("b")))
     named = sets.drop("picks").join(links, "name", "left").join(trees.withColumnRenamed("node", "name"), "name", "left").select("name", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "name").alias("root"))
     least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
-    return every.select("doc_id", "name").join(named.join(least, "root").select("name", "class_id", "n_links", "n_copies"), "name").select("doc_id", "class_id", "n_links", "n_copies")
+    return every.select("doc_id", "name").join(named.join(least, "root").select("name", "root", "class_id", "n_links", "n_copies"), "name").select("doc_id", "name", "root", "class_id", "n_links", "n_copies")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

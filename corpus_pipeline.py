@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimworks.llm import _tables, bpe_codec, decontamination, jaccard_join, quality, secret_scan
-from claimworks.llm._lineage import shared_folder
+from claimworks.llm._lineage import cut, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -24,11 +24,23 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays; of rows that share the kept id, the one with the least text."""
-    kept = jaccard_join.similarity_classes(docs).where("class_id = doc_id").select("doc_id").distinct()
-    alone = docs.where("doc_id is null")
-    rows = docs.join(kept.hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
-    return rows.unionByName(alone.select(*COLUMNS))
+    """One row of each class stays: the one with the least doc_id, null last; of several with that id, the one with the least text.
+
+    An id that one row has tells the row. Rows that share an id or have none are told apart by their columns.
+    """
+    rows = docs.select(*COLUMNS)
+    classes = cut(jaccard_join.set_classes(rows).select("doc_id", "name", "root", "class_id"))
+    first = F.col("doc_id").eqNullSafe(F.col("class_id"))
+    kept = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(first).alias("first")).where("first")
+    single = F.col("doc_id").isNotNull() & (F.col("n") == 1)
+    plain = rows.join(kept.where(single).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
+    odd = kept.where(~single).select(F.col("doc_id").alias("id"))
+    shared = rows.join(odd, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("key", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
+    names = jaccard_join.sketches(shared.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "name").distinct()
+    own = classes.where(first).select(F.col("doc_id").alias("id"), "name", "root").distinct()
+    found = shared.join(names, "key").join(own, "name").where(F.col("doc_id").eqNullSafe(F.col("id")))
+    least = found.groupBy("root").agg(F.min(F.struct("text", *[c for c in COLUMNS if c != "text"])).alias("x"))
+    return plain.unionByName(least.select(*[f"x.{c}" for c in COLUMNS]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -49,3 +49,13 @@ def test_odd_rows(spark, sf_dir):
     for _, stage in p.STAGES:
         assert stage(spark, docs, sf_dir).count() >= 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
+
+
+def test_one_row_of_each_class(spark, sf_dir):
+    """Repeated rows, an id that two classes share, and null ids."""
+    a, b, c, d, e = ("".join(f"{w}{i} " for i in range(30)) for w in "abcde")
+    rows = [(1, a), (1, a), (2, a), (None, a), (3, b), (5, b), (5, c), (6, c), (7, d + "."), (7, d), (None, e), (None, e), (9, "other words that stand alone here"), (10, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in p.near_copies_stage(spark, docs, sf_dir).collect()]
+    want = [(1, a), (3, b), (5, c), (7, min(d, d + ".")), (None, e), (9, rows[-2][1]), (10, None)]
+    assert sorted(got, key=str) == sorted(want, key=str)
