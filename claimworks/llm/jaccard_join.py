@@ -1,15 +1,19 @@
 """Similarity join of documents by the Jaccard index of their five-word shingles: chosen-path splitting.
 
-Documents with the same shingle set are one class of copies and are joined as one. In each run every set picks one of its
-shingles, the one that comes first in the run's random order, and sets that picked the same shingle meet in a bucket. Two sets
-of similarity s pick the same with probability s, so the number of runs follows from the target recall. A bucket of more than
-BUCKET sets is split again on further picks, as often as there were runs, down to DEPTH. Small buckets are compared by brute
-force on sketches, with a margin of six standard deviations below the threshold; a part that keeps more than half of its
-bucket is as good as unsplit, its sets being alike, and is held together as it is. What this ties together is a group of candidates. Each group's sets are then compared exactly, every pair once,
-whole shingle sets against each other; a group of more than TILE sets in pairs of tiles, each a task of its own.
+Documents with the same shingle set are one class of copies and are joined as one. A run is a tree: every set picks one of its
+shingles, the one that comes first in the run's random order, and sets that picked the same shingle meet in a bucket. A bucket
+of more than BUCKET sets is split again on each set's next pick, down to DEPTH picks. A set is one row of each run at every
+level, so rows never exceed runs x sets; a run's picks for all levels travel in the row. Two sets of similarity s stay
+together over k picks with probability s^k, so the number of runs follows from the target recall at DEPTH picks. Small
+buckets are compared by brute force on sketches, with a margin of six standard deviations below the threshold. A part that keeps
+the threshold's share of its bucket is as good as unsplit, its sets being alike, and is held together as it is, as is one that is still large after
+DEPTH picks. What this ties together is a group of candidates. Each group's sets are then compared exactly, every pair once,
+whole shingle sets against each other. A group of more than TILE sets is cut by size into bands, as the sizes of two similar sets
+differ by the threshold at most, and each band into tiles; tiles of one band or of neighbouring bands meet, each pair in a task of its own.
 
 No pairs are ever rows: buckets and tiles give a spanning forest and each set's number of links. The recall of the join is
-that of the runs (TARGET, for pairs right at the threshold; higher above it); what it reports is exact.
+that of the runs: TARGET for a pair right at the threshold whose buckets are all large, and 1 - (1 - s)^runs for one whose
+buckets are small. What it reports is exact.
 
 Defined results: words are what is left of a text between anything but A-Z, a-z, 0-9 and characters beyond ASCII, after
 lower-casing A-Z; a text of fewer than five words has one shingle, all its words; texts without words (null, empty or
@@ -35,10 +39,10 @@ from claimworks.llm.decontamination import _LETTER, _LOWER
 
 SHINGLE = 5
 THRESHOLD = Fraction(4, 5)
-TARGET = 0.99999
+TARGET = 0.999
 BUCKET = 512
 TILE = 512
-DEPTH = 3
+DEPTH = 4
 SKETCH = 64
 PIECE = 1 << 20
 
@@ -47,9 +51,9 @@ _FACTOR = _rng.integers(1, 1 << 63, SKETCH, dtype=np.uint64) * np.uint64(2) + np
 _SHIFT = _rng.integers(0, 1 << 63, SKETCH, dtype=np.uint64)
 
 
-def runs_for(threshold: float = float(THRESHOLD), target: float = TARGET) -> int:
-    """Runs after which a pair at the threshold has met with the target's probability."""
-    return math.ceil(math.log(1 - target) / math.log(1 - threshold))
+def runs_for(threshold: float = float(THRESHOLD), target: float = TARGET, depth: int = DEPTH) -> int:
+    """Runs after which a pair at the threshold has stayed together over so many picks with the target's probability."""
+    return math.ceil(math.log(1 - target) / math.log(1 - threshold**depth))
 
 
 def shingle_sets(column, shingle: int = SHINGLE):
@@ -164,38 +168,29 @@ def _leaf_edges(least: int):
     return run
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """Rows whose bucket holds more than one, with the bucket's size and its least name."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("held"), F.min("name").alias("least")).where("held > 1")
-    return rows.join(sizes, "bucket")
-
-
 def candidate_groups(sets: DataFrame, *, threshold: Fraction = THRESHOLD, target: float = TARGET, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
     """node, root: groups of sets (columns name, picks) that hold all pairs which met and look alike."""
-    spark = sets.sparkSession
-    runs = runs_for(float(threshold), target)
+    runs = runs_for(float(threshold), target, depth)
     if runs * depth > SKETCH:
         raise ValueError("the sketch is too short for so many runs and levels")
-    deal = 4 * _tables.blocks_wanted(spark)
+    deal = 4 * _tables.blocks_wanted(sets.sparkSession)
     s = float(threshold)
     least = math.floor(SKETCH * s - 6 * math.sqrt(SKETCH * s * (1 - s)))
-    edges, rows = None, None
+    paths = F.array(*[F.slice("picks", r * depth + 1, depth) for r in range(runs)])
+    rows = sets.where("size(picks) > 0").select("name", F.posexplode(paths).alias("r", "path")).select("name", "path", F.lit(1 << 62).alias("above"), F.xxhash64("r", F.col("path")[0]).alias("bucket"))
+    edges = None
     for level in range(depth):
-        picks = F.slice("picks", level * runs + 1, runs).alias("p")
-        if rows is None:
-            picked = sets.where("size(picks) > 0").select("name", F.lit(0).cast("long").alias("path"), F.lit(1 << 62).alias("above"), picks)
-        else:
-            picked = rows.join(sets.select("name", picks), "name")
-        spread = picked.select("name", "path", "above", F.posexplode("p").alias("r", "v")).select("name", "above", F.xxhash64("path", "r", "v").alias("bucket"))
-        met = cut(_counted(spread))
-        leaves = met.where(F.col("held") <= bucket).join(sets.select("name", "picks"), "name")
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
+        met = cut(rows.join(sizes, "bucket"))
+        leaves = met.where(F.col("held") <= bucket).select("bucket", "name").join(sets.select("name", "picks"), "name")
         found = leaves.select("bucket", "name", "picks", F.pmod(F.xxhash64("bucket"), F.lit(deal)).alias("deal")).groupBy("deal").applyInArrow(_leaf_edges(least), "a binary, b binary")
         edges = found if edges is None else edges.unionByName(found)
         large = met.where(F.col("held") > bucket)
-        split = F.col("held") * 2 <= F.col("above") if level + 1 < depth else F.lit(False)
-        whole = large.where(~split)
-        edges = edges.unionByName(whole.select(F.col("name").alias("a"), F.col("least").alias("b")))
-        rows = large.where(split).select("name", F.col("bucket").alias("path"), F.col("held").alias("above"))
+        split = F.col("held") < s * F.col("above") if level + 1 < depth else F.lit(False)
+        whole = large.where(~split).select("bucket", "name")
+        heads = cut(whole.groupBy("bucket").agg(F.min("name").alias("head")))
+        edges = edges.unionByName(whole.join(heads, "bucket").select(F.col("name").alias("a"), F.col("head").alias("b")))
+        rows = large.where(split).select("name", "path", F.col("held").alias("above"), F.xxhash64("bucket", F.col("path")[level + 1]).alias("bucket"))
         if rows.isEmpty():
             break
     return components(edges.distinct())
@@ -229,18 +224,16 @@ def _verify(threshold: Fraction):
     up, down = threshold.numerator, threshold.denominator
 
     def run(table: pa.Table) -> pa.Table:
-        keys = table.select(["root", "i", "j"]).to_pylist()
+        keys = list(zip(*(table.column(c).to_pylist() for c in ("root", "low", "high"))))
         names, mine, sets = table.column("name").to_pylist(), table.column("tile").to_pylist(), [np.frombuffer(x, np.uint64) for x in table.column("set").to_pylist()]
         groups: dict[tuple, dict[bytes, int]] = {}
         for k, key in enumerate(keys):
-            groups.setdefault((key["root"], key["i"], key["j"]), {})[names[k]] = k
+            groups.setdefault(key, {})[names[k]] = k
         out = []
         for (_, i, j), held in groups.items():
             left = [k for _, k in sorted(held.items()) if mine[k] == i]
             right = [k for _, k in sorted(held.items()) if mine[k] == j] if i != j else []
             if i != j and not (left and right):
-                rows = left + right
-                out += [(names[k], 0, names[k]) for k in rows]
                 continue
             a, b = [sets[k] for k in left], [sets[k] for k in right]
             both = _shared(a, b) if i != j else _shared(a) if len(a) > 1 else np.array([[len(a[0])]])
@@ -257,7 +250,7 @@ def _verify(threshold: Fraction):
             else:
                 links = near.sum(1).tolist() + near.sum(0).tolist()
                 root = _forest(len(rows), x, y + len(left))
-            out += [(names[k], int(n), names[rows[r]]) for k, n, r in zip(rows, links, root)]
+            out += [(names[k], int(n), names[rows[r]]) for k, n, r in zip(rows, links, root) if n]
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out), _LINKS.types)], schema=_LINKS) if out else _LINKS.empty_table()
 
     return run
@@ -287,6 +280,33 @@ def _member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
     return joined.select("text", *rest).mapInArrow(run, StructType([*joined.select(*rest).schema.fields, StructField("set", BinaryType())]))
 
 
+def _tile_pairs(members: DataFrame, threshold: float, tile: int) -> DataFrame:
+    """Members (columns name, rep_id, root, size) with their tile and the pairs of tiles they meet in.
+
+    A group of a tile's sets is one tile, -1. A larger one is cut into bands, whose sizes differ by less than the threshold, so
+    that similar sets are in one band or in neighbouring ones; tiles are numbered by band and by a hash of the name.
+    """
+    wide = F.lit(1 << 32)
+    counts = cut(members.groupBy("root", F.floor(F.log("size") / -math.log(threshold)).cast("long").alias("band")).agg(F.count("*").alias("n")))
+    large = counts.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > tile).select("root")
+    tiles = cut(counts.join(large, "root", "left_semi").select("root", "band", F.ceil(F.col("n") / tile).cast("long").alias("tiles")))
+    plan = tiles
+    for name, step in (("below", -1), ("beyond", 1)):
+        plan = plan.join(tiles.select("root", (F.col("band") - step).alias("band"), F.col("tiles").alias(name)), ["root", "band"], "left")
+    plan = cut(plan)
+    at = members.withColumn("band", F.floor(F.log("size") / -math.log(threshold)).cast("long")).join(plan, ["root", "band"], "left")
+    own = F.col("band") * wide + F.pmod(F.xxhash64("name"), F.col("tiles"))
+
+    def meets(band, n):
+        other = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda j: band * wide + j)
+        pair = lambda j: F.struct(F.least("tile", j).alias("low"), F.greatest("tile", j).alias("high"))
+        return F.when(n > 0, F.transform(other, pair)).otherwise(F.array().cast("array<struct<low:bigint,high:bigint>>"))
+
+    every = F.concat(meets(F.col("band"), F.col("tiles")), meets(F.col("band") + 1, F.col("beyond")), meets(F.col("band") - 1, F.col("below")))
+    alone = F.array(F.struct(F.lit(-1).cast("long").alias("low"), F.lit(-1).cast("long").alias("high")))
+    return at.withColumn("tile", F.coalesce(own, F.lit(-1).cast("long"))).select("name", "rep_id", "root", "tile", F.when(F.col("tiles").isNull(), alone).otherwise(every).alias("meets"))
+
+
 def similarity_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, target: float = TARGET, shingle: int = SHINGLE, bucket: int = BUCKET, tile: int = TILE) -> DataFrame:
     """doc_id, class_id, n_links, n_copies of every document.
 
@@ -300,17 +320,16 @@ def set_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, target: flo
     """similarity_classes() with name, the document's shingle set, and root, the least set of its class."""
     spark = docs.sparkSession
     every = cut(sketches(docs, shingle))
-    sets = cut(every.groupBy("name").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("picks").alias("picks")))
+    sets = cut(every.groupBy("name").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("picks").alias("picks")))
     groups = cut(candidate_groups(sets, threshold=threshold, target=target, bucket=bucket))
-    sizes = groups.groupBy("root").agg(F.ceil(F.count("*") / F.lit(tile)).cast("int").alias("tiles"))
-    members = groups.join(sizes, "root").join(sets.select(F.col("name").alias("node"), "rep_id"), "node").select(F.col("node").alias("name"), "rep_id", "root", "tiles")
-    held = _member_sets(docs, members, shingle).withColumn("tile", F.pmod(F.xxhash64("name"), F.col("tiles")).cast("int"))
-    pairs = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("root", "tiles", "name", "set", "tile", F.least("tile", "other").alias("i"), F.greatest("tile", "other").alias("j"))
-    deal = F.when(F.col("tiles") > 1, F.xxhash64("root", "i", "j")).otherwise(F.pmod(F.xxhash64("root"), F.lit(4 * _tables.blocks_wanted(spark))))
-    found = cut(pairs.withColumn("deal", deal).groupBy("deal").applyInArrow(_verify(threshold), "name binary, links long, tree binary"))
+    members = groups.join(sets.select(F.col("name").alias("node"), "rep_id", "size"), "node").withColumnRenamed("node", "name")
+    pairs = _tile_pairs(members, float(threshold), tile)
+    held = _member_sets(docs, pairs, shingle).select("name", "set", "root", "tile", F.explode("meets").alias("x")).select("name", "set", "root", "tile", "x.low", "x.high")
+    deal = F.when(F.col("tile") >= 0, F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(4 * _tables.blocks_wanted(spark))))
+    found = cut(held.withColumn("deal", deal).groupBy("deal").applyInArrow(_verify(threshold), "name binary, links long, tree binary"))
     links = found.groupBy("name").agg(F.sum("links").alias("n_links"))
     trees = components(found.select(F.col("name").alias("a"), F.col("tree").alias("b")))
-    named = sets.drop("picks").join(links, "name", "left").join(trees.withColumnRenamed("node", "name"), "name", "left").select("name", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "name").alias("root"))
+    named = sets.drop("picks", "size").join(links, "name", "left").join(trees.withColumnRenamed("node", "name"), "name", "left").select("name", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "name").alias("root"))
     least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     return every.select("doc_id", "name").join(named.join(least, "root").select("name", "root", "class_id", "n_links", "n_copies"), "name").select("doc_id", "name", "root", "class_id", "n_links", "n_copies")
 

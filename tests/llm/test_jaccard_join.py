@@ -64,4 +64,38 @@ def test_against_brute_force(spark):
 
 def test_empty_table(spark):
     assert j.similarity_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    assert j.runs_for() == 8
+    assert j.runs_for() == 14
+
+
+def pairs_at(low, high, n, shared, seed):
+    """Pairs of texts whose shingles are alike by low to high; the first words are the same in all of them."""
+    r = random.Random(seed)
+    head = [f"h{k}" for k in range(shared)]
+    out = []
+    while len(out) < 2 * n:
+        a = head + [f"w{r.randrange(10**9)}" for _ in range(60)]
+        b = a[:]
+        for _ in range(r.randrange(1, 4)):
+            b[r.randrange(shared, len(b))] = f"v{r.randrange(10**9)}"
+        x, y = ({tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in (a, b))
+        if low <= len(x & y) / len(x | y) <= high:
+            out += [(len(out), " ".join(a)), (len(out) + 1, " ".join(b))]
+    return out
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs alike by 0.80 to 0.85: in small buckets, and where 30 of 90 words are in all texts, so that buckets of the shared picks are split."""
+    for shared, bucket in ((0, 512), (30, 20)):
+        docs = pairs_at(0.80, 0.85, 400, shared, shared)
+        got = {r.doc_id: r for r in j.similarity_classes(spark.createDataFrame(docs, "doc_id long, text string"), bucket=bucket).collect()}
+        found = sum(got[i].class_id == got[i + 1].class_id for i in range(0, len(docs), 2))
+        print(shared, found)
+        assert found >= 0.995 * len(docs) / 2
+
+
+def test_bands_and_tiles(spark):
+    """Near copies that grow word by word, so that links cross bands and tiles."""
+    docs = [(i, " ".join(f"w{k}" for k in range(8 + i))) for i in range(120)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    want = sorted(brute(docs))
+    assert sorted(map(tuple, j.similarity_classes(df, bucket=40, tile=10).collect())) == want
