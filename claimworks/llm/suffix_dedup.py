@@ -40,6 +40,7 @@ _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 #: Distances between a window's start and its anchor that hot anchors' windows are divided by.
 STEP = 12
 _WEIGHTS = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_AGAIN = np.uint64(0xD1B54A32D192ED03)
 _HEAD = 8  # bytes of the hash before the suffix in a sort key
 _NO_ID = -(1 << 63)
 
@@ -87,7 +88,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
         new = np.flatnonzero(np.diff(a)) + 1
         first = np.append(0, new)
         final = np.append(new - 1, len(p) - 1)
-        out.append([a[first] + base, p[first] + base, p[final] + base, h[a[first]]])
+        out.append([a[first] + base, p[first] + base, p[final] + base, _grams.mixed(h[a[first]] ^ _AGAIN)])  # the least of many are not even, which ranges need
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
