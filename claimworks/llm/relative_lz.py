@@ -35,6 +35,7 @@ from claimworks.llm.suffix_dedup import _in_order, merged
 WINDOW = 35
 GRAM = 12
 PIECE = 1 << 19
+_AGAIN = np.uint64(0xD1B54A32D192ED03)
 _LOW = np.uint64((1 << 24) - 1)
 _LETTER = np.ones(256, bool)
 _LETTER[[9, 10, 11, 12, 13, 32]] = False
@@ -73,7 +74,7 @@ def anchors(h: np.ndarray, first: np.ndarray, window: int = WINDOW, gram: int =
         a = (least[p] & _LOW).astype(np.int64)
         new = np.flatnonzero(np.diff(a)) + 1
         begin, final = np.append(0, new), np.append(new - 1, len(p) - 1)
-        out.append([a[begin] + s, p[begin] + s, p[final] + s, g[a[begin]]])
+        out.append([a[begin] + s, p[begin] + s, p[final] + s, _grams.mixed(g[a[begin]] ^ _AGAIN)])  # the least of many are not even, which ranges need
     return tuple(np.concatenate(x) for x in zip(*out))
 
 
