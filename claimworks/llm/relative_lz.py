@@ -7,13 +7,14 @@ and a block owns a range of anchor hashes, so a window's copies are all in the b
 packed hashes says which anchors occur more than once; only the passages around those are sent, each being the words of the
 consecutive windows with that anchor. Together they are the reference and the documents to parse.
 
-In a block, classes of equal runs of 1, 2, 4 ... 32 words give the suffix order of all window starts and the longest match
-of each with any other. Passages are factored greedily: a factor is the longest match at its first word, the next begins
-where it ends. Windows inside a factor of WINDOW words or more are duplicates; windows that cross a factor's boundary are
-looked up by their own longest match.
+A block's index is the order of all window starts by the words that follow, made from classes of equal runs of 1, 2, 4 ... 32
+words; the longest match at a word is with a neighbour in that order. Passages are factored greedily: a factor is the longest
+match at its first word, the next begins where it ends, and nothing within a factor is looked up on the way. Windows inside a
+factor are duplicates. Windows that cross the end of one are looked up by themselves, and no others are.
 
 Hot groups: a block of documents sends equal passages once and settles them itself, so a passage with many copies costs one
-row per block of documents, and nothing is ever done for each pair of copies.
+row per block of documents, and nothing is ever done for each pair of copies. The windows of hot anchors are divided by how
+far before the anchor they start (see _repeats), and each division goes by a hash of the words that its windows share.
 
 Defined results: words are runs of anything but ASCII white space; null and empty texts have none; rows that share a doc_id
 are separate documents; an empty table gives an empty table; further columns are ignored.
@@ -34,9 +35,12 @@ from claimworks.llm.suffix_dedup import _in_order, merged
 
 WINDOW = 35
 GRAM = 12
+#: Distances between a window's first word and its anchor that hot anchors' windows are divided by.
+STEP = 6
 PIECE = 1 << 19
 _AGAIN = np.uint64(0xD1B54A32D192ED03)
 _LOW = np.uint64((1 << 24) - 1)
+_WEIGHTS = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LETTER = np.ones(256, bool)
 _LETTER[[9, 10, 11, 12, 13, 32]] = False
 
@@ -89,6 +93,14 @@ def passages_of_block(table: pa.Table, back: pa.Table, buckets: int, window: int
     at, low, high, g = at[chosen], low[chosen], high[chosen], g[chosen]
     if not len(at):
         return _PASSAGES.empty_table()
+
+    def shared(places: np.ndarray, near: int, far: int) -> np.ndarray:
+        out = np.zeros(len(places), np.uint64)
+        for k, step in enumerate(range(-near, window - far)):
+            out += h[places + step] * _WEIGHTS[k % len(_WEIGHTS)] + np.uint64(k)
+        return out
+
+    at, low, high, g = _repeats.divided(back, at, low, high, g, window - gram + 1, min(STEP, window - gram), shared)
     row = np.searchsorted(first, low, "right") - 1
     begin = low - first[row]
     kept: dict[tuple[int, bytes], int] = {}
@@ -114,66 +126,84 @@ def passages_of_block(table: pa.Table, back: pa.Table, buckets: int, window: int
     return pa.table([pa.array(x, t) for x, t in zip(zip(*out), _PASSAGES.types)], schema=_PASSAGES)
 
 
-def longest_matches(words: np.ndarray, sizes: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
-    """Of each start, the longest match with the words at any other start. words: ids from 1 of all passages end to end;
-    sizes: words of each passage; starts: places that have at least a window of their passage left."""
-    remain = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
-    classes, step = [words], 1
-    most = int(sizes.max())
-    while step * 2 <= most:
-        c = classes[-1]
-        after = np.zeros_like(c)
-        after[:-step] = c[step:]
-        after[remain <= step] = 0
-        classes.append(np.unique(c * (int(c.max()) + 1) + after, return_inverse=True)[1] + 1)
-        step *= 2
-    top = classes[-1]
-    after = np.where(remain[starts] > step, top[np.minimum(starts + step, len(top) - 1)], 0)
-    order = np.argsort(top[starts] * (int(top.max()) + 1) + after, kind="stable")
-    x, y = starts[order[:-1]], starts[order[1:]]
-    shared = np.zeros(len(x), np.int64)
-    room = np.minimum(remain[x], remain[y])
-    while step:
-        c = classes.pop()
-        for _ in range(1 if step * 2 <= most else 2):
-            fits = shared + step <= room
-            i = np.where(fits, shared, 0)
-            shared += step * (fits & (c[x + i] == c[y + i]))
-        step //= 2
-    out = np.zeros(len(starts), np.int64)
-    out[order[1:]] = shared
-    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
-    return out
-
-
-def parse(longest: np.ndarray, begins: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy factors of passages: which window starts lie in a factor of a window or more, and which start a factor.
-    longest: by window start, passages end to end; begins, counts: each passage's first start and number of starts."""
-    inside = np.zeros(len(longest) + 1, np.int64)
-    heads = np.zeros(len(longest), bool)
+class Index:
+    """Window starts of a reference block in the order of the words that follow them.
+
+    words: ids from 1 of all passages end to end; sizes: words of each passage; starts: places that have at least a window of
+    their passage left.
+    """
+
+    def __init__(self, words: np.ndarray, sizes: np.ndarray, starts: np.ndarray):
+        self.starts = starts
+        self.remain = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(words))
+        self.classes, step = [words], 1
+        most = int(sizes.max())
+        while step * 2 <= most:
+            c = self.classes[-1]
+            after = np.zeros_like(c)
+            after[:-step] = c[step:]
+            after[self.remain <= step] = 0
+            self.classes.append(np.unique(c * (int(c.max()) + 1) + after, return_inverse=True)[1] + 1)
+            step *= 2
+        top = self.classes[-1]
+        after = np.where(self.remain[starts] > step, top[np.minimum(starts + step, len(top) - 1)], 0)
+        self.order = np.argsort(top[starts] * (int(top.max()) + 1) + after, kind="stable")
+        self.rank = np.empty(len(starts), np.int64)
+        self.rank[self.order] = np.arange(len(starts))
+
+    def shared(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Words that the texts at two places have in common."""
+        out, room = np.zeros(len(x), np.int64), np.minimum(self.remain[x], self.remain[y])
+        for n in range(len(self.classes) - 1, -1, -1):
+            c, step = self.classes[n], 1 << n
+            for _ in range(2 if n == len(self.classes) - 1 else 1):
+                fits = out + step <= room
+                i = np.where(fits, out, 0)
+                out += step * (fits & (c[x + i] == c[y + i]))
+        return out
+
+    def longest(self, at: np.ndarray) -> np.ndarray:
+        """Of some of the starts, by number, the longest match with the words at any other start."""
+        r, x, out = self.rank[at], self.starts[at], np.zeros(len(at), np.int64)
+        for step in (-1, 1):
+            k = np.flatnonzero((r + step >= 0) & (r + step < len(self.order)))
+            out[k] = np.maximum(out[k], self.shared(x[k], self.starts[self.order[r[k] + step]]))
+        return out
+
+
+def parse(index: Index, begins: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Greedy factors of all passages: the start that each begins with, and its words, one at least. begins, counts: each passage's first start and
+    number of starts. A factor that would begin after a passage's last start is left out, as no window begins there."""
+    heads, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     at, last = begins.copy(), begins + counts
-    while True:
-        live = np.flatnonzero(at < last)
-        if not len(live):
-            return np.cumsum(inside[:-1]) > 0, heads
-        here, size = at[live], longest[at[live]]
-        heads[here] = True
-        long = size >= window
-        np.add.at(inside, here[long], 1)
-        np.add.at(inside, np.minimum(here[long] + size[long] - window + 1, last[live[long]]), -1)
-        at[live] = here + np.maximum(size, 1)
+    while len(at):
+        heads.append(at)
+        sizes.append(np.maximum(index.longest(at), 1))
+        at = at + sizes[-1]
+        at, last = at[at < last], last[at < last]
+    return np.concatenate(heads), np.concatenate(sizes)
+
+
+def _ranges(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """All numbers of ranges end to end."""
+    count = np.maximum(count, 0)
+    return np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())
 
 
 def duplicates(passages: list[bytes], counts: np.ndarray, window: int) -> np.ndarray:
     """Of all window starts of the passages, in order, which repeat in the block."""
     ids = pd.factorize(np.array(b" ".join(passages).split(b" "), dtype=object))[0].astype(np.int64) + 1
-    sizes = counts.astype(np.int64) + window - 1
+    counts = counts.astype(np.int64)
     begins = np.cumsum(counts) - counts
     starts = np.arange(counts.sum()) + np.repeat(np.arange(len(counts)) * (window - 1), counts)
-    longest = longest_matches(ids, sizes, starts, window)
-    found, _ = parse(longest, begins.astype(np.int64), counts.astype(np.int64), window)
-    crossing = np.flatnonzero(~found)  # every other window holds a factor's boundary
-    found[crossing[longest[crossing] >= window]] = True
+    index = Index(ids, counts + window - 1, starts)
+    heads, sizes = parse(index, begins, counts)
+    ends = np.minimum(heads + sizes, np.repeat(begins + counts, counts)[heads])  # of the starts in a factor
+    inner = np.clip(heads + sizes - window + 1, heads, ends)  # the first start in it whose window crosses its end
+    found = np.zeros(len(starts), bool)
+    found[_ranges(heads, inner - heads)] = True
+    crossing = _ranges(inner, ends - inner)
+    found[crossing[index.longest(crossing) >= window]] = True
     return found
 
 
@@ -228,7 +258,7 @@ def cut_block(table: pa.Table, spans: pa.Table, *, keep_text: bool = False) -> p
     return pa.table(out | ({"kept": pa.array(kept, pa.binary())} if keep_text else {}))
 
 
-def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = WINDOW, gram: int = GRAM, hot: int = _repeats.HOT) -> DataFrame:
     """What is left of every document without the words of windows that occur anywhere else."""
     if not 1 <= gram < window:
         raise ValueError("the gram takes at least a word, and fewer than the window")
@@ -239,7 +269,7 @@ def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = W
         *_, first, h = _words(_in_order(table))
         return anchors(h, first, window, gram)[3]
 
-    back = _repeats.repeated(rows, hashes, blocks)
+    back = _repeats.repeated(rows, hashes, blocks, hot)
     sent = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda t, b: passages_of_block(t, b, blocks, window, gram), "bucket int, block int, kind int, payload binary")
     spans = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(lambda t: parse_bucket(t, window), "block int, payload binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * keep_text
