@@ -1,14 +1,16 @@
 """Main text of web pages from parser events: text-to-tag ratio by line, smoothed and clustered.
 
 The parser of the standard library streams a page's events. Text gathers into lines, one for each block element's stretch of
-text, and each line counts the tags that its stretch held. A line's ratio is its characters by its tags; lines within
-menus, headers, footers, sidebars, notices, adverts, forms, comments and anything that is no text count 0. An element that is
-left out for its class or id alone comes back if it is the layout around the text: it holds the page's main or article
-elements, or by far the most of the text, and is not named for notices and the like alone. The ratios are
-smoothed with a Gaussian and split at a threshold (their standard deviation, or half their mean where that is lower). The
-lines above it select the content regions: if an article or main element has such a line, all own lines of the page's articles
-and main are content, short ones too; without such elements the region is all that stands in the block element around those
-lines, and beyond it the lines on either side up to one that is left out or is only a link.
+text, and each line counts the tags that its stretch held. A line's ratio is its characters by its tags. What elements say
+only lowers it: to nothing within menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and in
+blocks that are links alone; to a part outside the page's article and main elements, where it has them, and for a line that
+is one link. An element that is named by its class or id alone is taken at its word only if it isn't the layout around the text: if it
+holds the page's main or article elements, or by far the most of the text, and is not named for notices and the like alone, it stays.
+
+The ratios are smoothed with a Gaussian and split into two clusters (two means of their logarithms). The lines of the upper
+cluster select the content region: the articles and main, if these hold the most of what was selected, or else the innermost block element
+that holds two thirds of it. With that region goes text that stands beside it as plain text elements (a title, a byline, a
+closing list), and lines of the upper cluster elsewhere that are about as long as the region's. Of the region every line is content whose ratio is not nothing.
 
 Defined results: null and empty pages have no text; character references are decoded; white space within a line becomes one
 space; lines keep the order of the page; a page whose lines are all in left-out elements has no text; repeated rows give
@@ -28,6 +30,11 @@ from pyspark.sql import DataFrame, SparkSession
 from claimworks.llm import _tables
 
 SIGMA = 1.0
+#: What is left of a ratio outside article and main elements, and of that of a line that is one link.
+OUTSIDE, LINKED = 0.25, 0.25
+#: Share of the selected text that the region holds at least; least length of lines that count elsewhere, of the region's median
+#: and in characters: a sentence or two, as a shorter line by itself is a notice rather than a paragraph.
+SHARE, LIKE, LEAST = 2 / 3, 0.75, 80
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
@@ -39,11 +46,11 @@ _NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar "
     "header masthead topbar footer copyright sidebar sidebars rail widget widgets related recommended recommendations "
     "cookie cookies consent gdpr notice notices notification popup modal overlay alert paywall "
-    "comment comments commentlist disqus replies respond discussion "
+    "comment comments commentlist disqus replies respond "
     "share sharing social newsletter subscribe subscription signup login search skip".split()
 )
 _STATES = frozenset("has no with without".split())
-_REMARKS = frozenset("comment comments commentlist disqus replies respond discussion".split())
+_REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
 _TEXT = _HEADINGS | frozenset("p li dt dd ul ol dl blockquote pre figure figcaption caption address thead tbody tr th".split())
 _OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _STOP_CLOSE = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
@@ -75,28 +82,28 @@ def _named(attributes) -> set[str]:
 
 class Lines(HTMLParser):
     """Gathers (text, tags, region, left out, place, named) of each line; region: number of the outermost article or main, 0
-    outside; place: number of the block element, 0 for the page, and whether the line is a link alone; named: the innermost
+    outside; place: number of the block element, 0 for the page, and the line's links if it is nothing else; named: the innermost
     element around it that is left out for its names alone, 0 if none is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, bool], int]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, int], int]] = []
         self.blocks: list[tuple[int, str]] = [(0, "")]  # the block element around it, element
         self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # the named element around it, whether it may be layout, or remarks
         self.mains: list[int] = []  # the named element around each main
         self._open: list[tuple[str, bool, int, int, int]] = []  # element, left out, region, named, block element
         self._out, self._region, self._regions, self._name, self._block = False, 0, 0, 0, 0
         self._text: list[str] = []
-        self._link, self._plain = False, False  # within a link; whether the line has text outside links
+        self._link, self._plain, self._links = False, False, 0  # within a link; whether the line has text outside links; its links
         self._tags = 0
 
     def _end_line(self) -> None:
         text = _SPACE(" ", "".join(self._text)).strip()
         if text:
-            alone = not self._plain and self.blocks[self._block][1] not in _HEADINGS
-            self.lines.append((text, self._tags, self._region, self._out, (self._block, alone), self._name))
+            links = 0 if self._plain or self.blocks[self._block][1] in _HEADINGS else max(1, self._links)
+            self.lines.append((text, self._tags, self._region, self._out, (self._block, links), self._name))
             self._tags = 0
-        self._text, self._plain = [], False
+        self._text, self._plain, self._links = [], False, 0
 
     def _pop(self, n: int) -> None:
         self._end_line()
@@ -114,7 +121,9 @@ class Lines(HTMLParser):
                 self._end_line()
             return
         if tag in _INLINE:
-            self._link = self._link or tag == "a"
+            if tag == "a":
+                self._link = True
+                self._links += 1
             if attrs and (_barred(attrs) or _named(attrs)):
                 self._end_line()
                 self._open.append((tag, True, self._region, self._name, self._block))
@@ -179,24 +188,50 @@ class Lines(HTMLParser):
         if not self._link and not self._plain:
             self._plain = bool(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, bool, tuple[int, bool]]]:
-        """(text, tags, region, left out, place) of each line."""
+    def finish(self) -> list[tuple[str, int, int, bool, tuple[int, int]]]:
+        """(text, tags, region, left out, place) of each line; place: its block element, and its links if it is nothing else."""
         self.close()
         self._end_line()
         layout = self._layout()
         return [(text, tags, region, out or name not in layout, place) for text, tags, region, out, place, name in self.lines]
 
-    def around(self, places: list[int]) -> list[bool]:
-        """For each block element, whether it is in the smallest one around all places that is more than a piece of text."""
-        a, b = min(places), max(places)  # numbered as they begin, so that these two are in it if all are
-        while a != b or self.blocks[a][1] in _TEXT:
-            a, b = (a, self.blocks[b][0]) if b > a else (self.blocks[a][0], b)
-        inside = [False] * len(self.blocks)
-        if a:
-            inside[a] = True
-            for n in range(a + 1, len(inside)):
-                inside[n] = inside[self.blocks[n][0]]
-        return inside
+    def totals(self, values: list[tuple[int, float]]) -> list[float]:
+        """For each block element the sum of what stands in it; values: (block element, value)."""
+        out = [0.0] * len(self.blocks)
+        for block, value in values:
+            out[block] += value
+        for n in range(len(out) - 1, 0, -1):  # numbered as they begin
+            out[self.blocks[n][0]] += out[n]
+        return out
+
+    def inside(self, block: int) -> list[bool]:
+        """For each block element, whether it is this one or in it."""
+        out = [False] * len(self.blocks)
+        out[block] = True
+        for n in range(block + 1, len(out)):
+            out[n] = out[self.blocks[n][0]]
+        return out
+
+    def core(self, mass: list[tuple[int, float]], share: float) -> int:
+        """The innermost block element, other than a piece of text, that holds so much of the mass."""
+        held = self.totals(mass)
+        best = 0
+        for n in range(1, len(held)):
+            if held[n] >= share * held[0] and self.blocks[n][0] == best and self.blocks[n][1] not in _TEXT:
+                best = n
+        return best
+
+    def beside(self, core: int) -> list[bool]:
+        """For each block element, whether only text elements lie between it and one that holds the core."""
+        out, around = [False] * len(self.blocks), {0}
+        n = core
+        while n:
+            around.add(n)
+            n = self.blocks[n][0]
+        for n in range(1, len(out)):
+            up, tag = self.blocks[n]
+            out[n] = tag in _TEXT and n not in around and (up in around or out[up])
+        return out
 
     def _layout(self) -> set[int]:
         """The named elements that hold the page's text, and 0."""
@@ -235,7 +270,7 @@ class Lines(HTMLParser):
             kept += keep(found)
 
 
-def parsed(html: str) -> tuple[Lines, list[tuple[str, int, int, bool, tuple[int, bool]]]]:
+def parsed(html: str) -> tuple[Lines, list[tuple[str, int, int, bool, tuple[int, int]]]]:
     parser = Lines()
     try:
         parser.feed(html)
@@ -252,30 +287,58 @@ def smoothed(ratio: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
     return np.convolve(np.pad(ratio, reach), kernel / kernel.sum(), "valid")
 
 
+def threshold(smooth: np.ndarray) -> float:
+    """Where the two clusters of the values part: two means of the logarithms; half the mean at most, as a page of text alone has no two."""
+    x = np.log1p(smooth)
+    low, high = x.min(), x.max()
+    while True:
+        middle = (low + high) / 2
+        upper = x >= middle
+        if upper.all():
+            return float(smooth.min())
+        new = x[~upper].mean(), x[upper].mean()
+        if new == (low, high):
+            return min(float(np.expm1(middle)), float(smooth.mean()) / 2)
+        low, high = new
+
+
+def menus(parser: Lines, lines: list) -> list[bool]:
+    """Which lines are links alone, several in the line or in a block of little else."""
+    texts = parser.totals([(place[0], len(text)) for text, _, _, _, place in lines])
+    linked = parser.totals([(place[0], len(text)) for text, _, _, _, place in lines if place[1]])
+    counts = parser.totals([(place[0], 1) for _, _, _, _, place in lines if place[1]])
+    listed = [False] * len(texts)
+    for n in range(1, len(texts)):
+        listed[n] = listed[parser.blocks[n][0]] or counts[n] > 1 and linked[n] > 0.8 * texts[n]
+    return [place[1] > 1 or place[1] > 0 and listed[place[0]] for _, _, _, _, place in lines]
+
+
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
     """The lines of a page's content regions."""
     parser, lines = parsed(html) if html else (None, [])
-    kept = [not out for _, _, _, out, _ in lines]
-    if not any(kept):
+    if not lines:
+        return ""
+    regions = any(region and not out for _, _, region, out, _ in lines)
+    ratio = np.array([len(text) / max(1, tags) * (not out) * (OUTSIDE if regions and not region else 1) * (LINKED if place[1] else 1) for text, tags, region, out, place in lines])
+    ratio[menus(parser, lines)] = 0
+    content = ratio > 0
+    if not content.any():
         return ""
-    ratio = np.array([0.0 if out else len(text) / max(1, tags) for text, tags, _, out, _ in lines])
     smooth = smoothed(ratio, sigma)
-    above = (smooth >= min(smooth.std(), smooth.mean() / 2)) & kept
+    above = content & (smooth >= threshold(smooth))
     if not above.any():
-        above = np.array(kept)
-    chosen = np.flatnonzero(above).tolist()
-    if any(lines[i][2] for i in chosen):
-        return "\n".join(text for text, _, region, out, _ in lines if region and not out)
-    inside = parser.around([lines[i][4][0] for i in chosen])
-    first, last = chosen[0], chosen[-1]
-    for i, (_, _, _, out, (block, _)) in enumerate(lines):
-        if inside[block] and not out:
-            first, last = min(first, i), max(last, i)
-    while first and kept[first - 1] and not lines[first - 1][4][1]:
-        first -= 1
-    while last + 1 < len(lines) and kept[last + 1] and not lines[last + 1][4][1]:
-        last += 1
-    return "\n".join(text for text, _, _, out, _ in lines[first : last + 1] if not out)
+        above = content
+    chosen = [(i, len(lines[i][0]) * (OUTSIDE if regions and not lines[i][2] else 1)) for i in np.flatnonzero(above).tolist()]
+    if 2 * sum(mass for i, mass in chosen if lines[i][2]) > sum(mass for _, mass in chosen):
+        kept = [region > 0 for _, _, region, _, _ in lines]
+    else:
+        core = parser.core([(lines[i][4][0], mass) for i, mass in chosen], SHARE)
+        inside, beside = parser.inside(core), parser.beside(core)
+        lengths = [len(lines[i][0]) for i, _ in chosen]
+        usual = max(LEAST, LIKE * float(np.median([n for n, (i, _) in zip(lengths, chosen) if inside[lines[i][4][0]]])))
+        like = {i for n, (i, _) in zip(lengths, chosen) if n >= usual}
+        kept = [inside[place[0]] or beside[place[0]] or i in like for i, (_, _, _, _, place) in enumerate(lines)]
+    return "\n".join(line[0] for line, keep, some in zip(lines, kept, content.tolist()) if keep and some)
 
 
 def extract(pages: DataFrame, *, sigma: float = SIGMA) -> DataFrame:
