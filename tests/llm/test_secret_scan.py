@@ -21,7 +21,7 @@ TEXTS = [
 
 def test_patterns_against_re(spark):
     df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, spans string")
-    got = {r.doc_id: r for r in s.summary(s.scan(df, s.train(df))).collect()}
+    got = {r.doc_id: r for r in s.summary(s.scan(df, s.train(s.samples(spark)))).collect()}
     for i, t in enumerate(TEXTS):
         assert got[i].base_sha256 == hashlib.sha256(brute(t).encode()).hexdigest(), (t, got[i])
         assert got[i].n_assign == brute(t).count("assign") and got[i].n_access == brute(t).count("access") and got[i].n_hex == brute(t).count("hex")
@@ -34,12 +34,30 @@ def test_models_tell_random_strings(spark):
     r = random.Random(1)
     word = lambda: "".join(r.choice(["the", "tion", "er", "and", "con", "val", "ue"]) for _ in range(6))
     key = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(n))
-    train = spark.createDataFrame([(i, " ".join(f"{word()}_{word()}{r.randrange(9)}" for _ in range(20)) + f" token={key(30)}") for i in range(200)], "doc_id long, text string")
-    model = s.train(train)
+    model = s.train(s.samples(spark))
     cases = [(i, f"see {key(24)}7a now", True) for i in range(40)] + [(100 + i, f"see {word()}_{word()}2 now", False) for i in range(40)]
     got = {r.doc_id: "random" in r.spans for r in s.summary(s.scan(spark.createDataFrame([c[:2] for c in cases], "doc_id long, text string"), model)).collect()}
     assert sum(got[i] == want for i, _, want in cases) >= 78
-    assert s.train(train.limit(0)) == [0.0] * len(s.ALPHABET) ** 2
+    labelled = spark.createDataFrame([("ab", 1), ("ba", 0), (None, 1), ("zz", None)], "value string, random int")
+    assert any(s.train(labelled)) and not any(s.train(labelled.limit(0))) and not any(s.train(labelled.where("random = 1")))
+
+
+def test_many_matches(spark):
+    """Positions and masks over several stretches of matches, by brute force; overlapping spans of two kinds among them."""
+    text = "é".join(f"x{i} " + "0a1b2c3d" * 3 + (" token=" + "ab12cd34" * 4 if i % 3 == 0 else "") for i in range(400))
+    df = spark.createDataFrame([(1, text), (2, "😀" + text[:9000])], "doc_id long, text string")
+    found = s.scan(df, [0.0] * len(s.ALPHABET) ** 2)
+    for r in found.select("doc_id", "text", s.listed("base").alias("listed"), s.masked("text", "base").alias("masked"), s.masked("text", "base", None).alias("blank")).collect():
+        assert r.listed == brute(r.text)
+        out, blank, at = "", "", 0
+        for a, z in sorted((int(x.split(":")[1]), int(x.split(":")[2])) for x in brute(r.text).split(",")):
+            if a >= at:
+                out, blank = out + r.text[at:a] + s.MASK, blank + r.text[at:a]
+                blank += " " * (z - a)
+            else:
+                blank += " " * max(0, z - at)
+            at = max(at, z)
+        assert r.masked == out + r.text[at:] and r.blank == blank + r.text[at:]
 
 
 def test_masks(spark):
