@@ -49,7 +49,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan(docs, secret_scan.train(docs), keep=("lang", "source"))
+    found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples(spark)), keep=("lang", "source"))
     return found.select("doc_id", secret_scan.masked("text", "spans").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
