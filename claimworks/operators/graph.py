@@ -5,18 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimworks.operators.lineage import kept
+
 
 def parts(triples: DataFrame) -> DataFrame:
     """node, part: the least node that each node (columns a, b of the triples) is connected with.
 
     Large and small stars take turns until nothing changes: a large star ties each node's larger neighbours to the least of
     its neighbourhood, a small star the smaller ones. The number of edges never grows, and rounds grow with the logarithm of
-    the longest path. Each round is checkpointed, locally where no checkpoint folder is set.
+    the longest path. Each round is written to the shared folder.
     """
-    context = triples.sparkSession.sparkContext
-    reliable = not context._jsc.sc().getCheckpointDir().isEmpty()
-    keep = (lambda df: df.checkpoint()) if reliable else (lambda df: df.localCheckpoint())
-    edges = keep(triples.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    edges = kept(triples.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -24,7 +23,7 @@ def parts(triples: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         ties = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-        edges = keep(large.join(low, "u").select(F.explode(ties).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
+        edges = kept(large.join(low, "u").select(F.explode(ties).alias("x")).select("x.u", "x.v").where("u <> v").distinct())
         after = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if after == before:
             break

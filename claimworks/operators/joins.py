@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from claimworks.operators.lineage import kept
+
 
 def pending(rows: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(cache.select(key), key, "left_anti")
@@ -61,15 +65,44 @@ def candidates(claims: DataFrame, documents: DataFrame) -> DataFrame:
     return own.unionByName(every.select(*own.columns))
 
 
-def best(value: str, order: str, *columns: str) -> Column:
-    """The columns of the row with the largest value; of equal ones, the least order."""
-    return F.max_by(F.struct(value, order, *columns), F.struct(F.col(value), -F.col(order)))
+def containing(documents: DataFrame, quotes: DataFrame, words: int = 4, few: int = 1 << 18) -> DataFrame:
+    """item_id, doc_id: the documents (doc_id, t) that contain a quote (item_id, q), both with white space as one space.
+
+    The words within a quote, all but its first and last, are whole words of any text that contains it. Each quote is keyed by
+    the rarest run of so many of them, by how many documents have it, or by its rarest word if it has fewer. One pass over
+    the documents finds the runs that any quote has; those that meet a quote's key are compared, text by text. Up to so few such
+    pairs are sent to all tasks, more are joined by a shuffle. Quotes of one or two words have no key and meet every document.
+    """
+    split = F.split("q", " ")
+    inner = F.slice(split, 2, F.greatest(F.size(split) - 2, F.lit(0)))
+    keyed = quotes.where("q is not null").withColumn("w", inner).withColumn("k", F.when(F.size("w") >= words, words).when(F.size("w") > 0, 1).otherwise(0))
+    lengths = [r.k for r in keyed.select("k").distinct().collect()]  # three at most
+
+    def runs(w, k: int):
+        # The words are bound to a name of their own, or they would be split again for each run.
+        every = lambda v: F.when(F.size(v) >= k, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(v) - k + 1), lambda i: F.xxhash64(F.slice(v, i, k)))))
+        return F.get(F.transform(F.array(w), every), F.lit(0))
+
+    short = keyed.where("k = 0").select("item_id", "q", F.lit(None).cast("array<string>").alias("candidate_documents"))
+    met = [candidates(short, documents.withColumnRenamed("doc_id", "file")).where(F.contains("t", F.col("q"))).select("item_id", F.col("file").alias("doc_id"))] if 0 in lengths else []
+    for k in sorted(set(lengths) - {0}):
+        grams = keyed.where(F.col("k") == k).select("item_id", F.explode(runs("w", k)).alias("g"))
+        hits = kept(documents.select("doc_id", F.explode(runs(F.split("t", " "), k)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi"))
+        often = hits.groupBy("g").agg(F.count("*").alias("n"))
+        keys = grams.join(often, "g", "left").groupBy("item_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("x")).where("x.n > 0").select("item_id", "x.g")
+        pairs = kept(hits.join(keys, "g").select("doc_id", "item_id"))
+        if pairs.count() <= few:
+            pairs = F.broadcast(pairs)
+        met.append(documents.join(pairs, "doc_id").join(keyed.select("item_id", "q"), "item_id").where(F.contains("t", F.col("q"))).select("item_id", "doc_id"))
+    none = documents.limit(0).select(F.lit(None).cast(quotes.schema["item_id"].dataType).alias("item_id"), "doc_id")
+    return reduce(DataFrame.unionByName, met, none)
 
 
 def best_document(scores: DataFrame) -> DataFrame:
     """claim_id, file, chunk_index, support: the best chunk of the best document, earlier files and chunks first among equals."""
-    ranked = scores.withColumn("_place", F.row_number().over(Window.partitionBy("claim_id").orderBy(F.col("support").desc(), "file", "chunk_index")))
-    return ranked.where("_place = 1").select("claim_id", "file", "chunk_index", "support")
+    # The least of (no support, support downwards, file, chunk): an aggregate, so chunks are combined before they are moved.
+    first = F.min(F.struct(F.col("support").isNull().alias("none"), (0.0 - F.col("support")).alias("below"), "file", "chunk_index")).alias("x")
+    return scores.groupBy("claim_id").agg(first).select("claim_id", "x.file", "x.chunk_index", (0.0 - F.col("x.below")).alias("support"))
 
 
 def nested(scores: DataFrame) -> DataFrame:

@@ -18,14 +18,25 @@ def checked(rows: DataFrame, score: str, label: str = "label") -> DataFrame:
     return rows.withColumn(score, F.when(F.coalesce(sound, F.lit(False)), s).otherwise(F.raise_error(F.lit(f"labels are 0 or 1, {score} is finite")).cast("double")))
 
 
+#: Stretches of a unit of scores that are ordered apart.
+BINS = 4096
+
+
 def auc(rows: DataFrame, score: str, by: list[str], label: str = "label") -> DataFrame:
     """Area under the ROC curve by group, ties by halves; null where a class is missing.
 
-    Rows are first counted by score, so the ordered part sees each distinct score once.
+    Rows are first counted by score. Distinct scores are ordered within stretches of 1/BINS, each a window of its own, and
+    only the stretches' totals in a window of the group, so no task sees all scores of a large group.
     """
     counts = rows.groupBy(*by, score).agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    ranked = counts.withColumn("won", F.col("p") * (F.coalesce(below, F.lit(0)) + F.col("q") / 2.0))
+    counts = counts.withColumn("bin", F.floor(F.col(score) * BINS))
+    before = (Window.unboundedPreceding, -1)
+    totals = counts.groupBy(*by, "bin").agg(F.sum("q").alias("q"))
+    lower = totals.select(*[F.col(c).alias(f"_{c}") for c in by], F.col("bin").alias("_bin"), F.coalesce(F.sum("q").over(Window.partitionBy(*by).orderBy("bin").rowsBetween(*before)), F.lit(0)).alias("lower"))
+    same = reduce(lambda x, c: x & F.col(c).eqNullSafe(F.col(f"_{c}")), [*by, "bin"], F.lit(True))
+    below = F.sum("q").over(Window.partitionBy(*by, "bin").orderBy(score).rowsBetween(*before))
+    ranked = counts.withColumn("below", F.coalesce(below, F.lit(0))).join(lower, same)
+    ranked = ranked.withColumn("won", F.col("p") * (F.col("lower") + F.col("below") + F.col("q") / 2.0))
     return ranked.groupBy(*by).agg(F.try_divide(F.sum("won"), F.sum("p").cast("double") * F.sum("q")).alias("roc_auc"))
 
 
@@ -44,7 +55,8 @@ def _measures(accepted: Column, label: str) -> list[Column]:
 def metrics(rows: DataFrame, score: str, threshold: float | Column = 0.5, by: str = "dataset", label: str = "label") -> DataFrame:
     """scope (a source, '(pooled)' or '(macro)') and its measures; accepted are scores above the threshold.
 
-    The macro row holds the mean of the sources' balanced accuracies, null where any source lacks a class.
+    The macro row holds the mean of the sources' balanced accuracies, null where any source lacks a class. Without rows the
+    query stops.
     """
     rows = checked(rows, score, label).withColumn("accepted", F.col(score) > threshold)
     measured = rows.groupingSets([[by], []], by).agg(F.grouping(by).alias("pooled"), *_measures(F.col("accepted"), label))
@@ -56,11 +68,16 @@ def metrics(rows: DataFrame, score: str, threshold: float | Column = 0.5, by: st
     out = out.withColumn("fpr", 1 - F.col("unsupported_recall")).withColumn("fnr", 1 - F.col("supported_recall"))
     columns = ["n", "balanced_accuracy", "accuracy", "roc_auc", "supported_recall", "unsupported_recall", "fpr", "fnr"]
     out = out.select(F.when(F.col("pooled") == 1, "(pooled)").otherwise(F.col(by)).alias("scope"), "pooled", *columns)
-    macro = out.where("pooled = 0").agg(F.sum("n").alias("n"), vetoed_mean("balanced_accuracy").alias("balanced_accuracy"), vetoed_mean("roc_auc").alias("roc_auc"))
+    macro = out.where("pooled = 0").agg(_needed(F.sum("n"), "metrics need rows").alias("n"), vetoed_mean("balanced_accuracy").alias("balanced_accuracy"), vetoed_mean("roc_auc").alias("roc_auc"))
     macro = macro.select(F.lit("(macro)").alias("scope"), *[F.col(c) if c in ("n", "balanced_accuracy", "roc_auc") else F.lit(None).cast("double").alias(c) for c in columns])
     return out.drop("pooled").unionByName(macro)
 
 
+def _needed(value: Column, why: str) -> Column:
+    """The value; where it is null, the query stops."""
+    return F.when(value.isNotNull(), value).otherwise(F.raise_error(F.lit(why)).cast("long"))
+
+
 def vetoed_mean(column: str) -> Column:
     """Mean that is null where any value is."""
     return F.when(F.count(column) == F.count("*"), F.avg(column))
@@ -84,13 +101,43 @@ def threshold_grid(rows: DataFrame, score: str, keys: list[str], by: str = "data
 
 
 def tuned(rows: DataFrame, score: str, keys: list[str] | None = None, by: str = "dataset", label: str = "label") -> DataFrame:
-    """keys, threshold, macro: the grid's best threshold by macro balanced accuracy, then nearest to a half, then larger."""
+    """keys, threshold, macro: the grid's best threshold by macro balanced accuracy, then nearest to a half, then larger.
+
+    Without rows, or where a source lacks a class, the query stops.
+    """
     keys = keys or []
-    grid = threshold_grid(rows, score, keys, by, label).where("macro is not null")
+    grid = threshold_grid(rows, score, keys, by, label)
     order = F.struct(F.col("macro"), -F.abs(F.col("step") - 50), F.col("step"))
-    best = F.max(order).alias("best")
-    picked = grid.groupBy(*keys).agg(best) if keys else grid.agg(best).where("best is not null")
-    return picked.select(*keys, (F.col("best.step") / 100.0).alias("threshold"), F.col("best.macro").alias("macro"))
+    best = F.max(F.when(F.col("macro").isNotNull(), order)).alias("best")
+    picked = grid.groupBy(*keys).agg(best) if keys else grid.agg(best)
+    return picked.select(*keys, (_needed(F.col("best.step"), BOTH) / 100.0).alias("threshold"), F.col("best.macro").alias("macro"))
+
+
+BOTH = "tuning needs rows of both labels in each source"
+
+
+def tuned_in_pool(rows: DataFrame, score: str, keys: list[str], *, by: str = "dataset", label: str = "label", fixed: int | None = None) -> DataFrame:
+    """keys, threshold, tune_macro, selection_macro: thresholds tuned on rows of pool 'tune', and what they give on those of
+    pool 'selection'; fixed_macro as well if a fixed step of the grid is given.
+
+    Rows are counted once by pool, source, label and the thresholds below the score; both results come from these counts.
+    """
+    rows = checked(rows, score, label)
+    counts = rows.groupBy(*keys, "pool", by, label, grid_steps(F.col(score)).alias("k")).agg(F.count("*").alias("n"))
+    spread = counts.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(99))))
+    above = F.col("k") >= F.col("step")
+
+    def accuracy(pool: str) -> Column:
+        total = lambda value, hit: F.sum(F.when((F.col("pool") == pool) & (F.col(label) == value) & hit, F.col("n")).otherwise(0))
+        return (F.try_divide(total(1, above).cast("double"), total(1, F.lit(True))) + F.try_divide(total(0, ~above).cast("double"), total(0, F.lit(True)))) / 2
+
+    sources = spread.groupBy(*keys, by, "step").agg(*[accuracy(p).alias(p) for p in ("tune", "selection")], *[F.max(F.col("pool") == p).alias(f"has_{p}") for p in ("tune", "selection")])
+    macro = lambda p: F.round(F.when(F.count(p) == F.count_if(f"has_{p}"), F.avg(p)), 12).alias(f"{p}_macro")
+    grid = sources.groupBy(*keys, "step").agg(macro("tune"), macro("selection"))
+    order = F.struct("tune_macro", -F.abs(F.col("step") - 50), "step", "selection_macro")
+    more = [] if fixed is None else [F.max(F.when(F.col("step") == fixed, F.col("selection_macro"))).alias("fixed_macro")]
+    best = grid.groupBy(*keys).agg(F.max(F.when(F.col("tune_macro").isNotNull(), order)).alias("best"), *more)
+    return best.select(*keys, (_needed(F.col("best.step"), BOTH) / 100.0).alias("threshold"), "best.tune_macro", "best.selection_macro", *[c for c in ("fixed_macro",) if more])
 
 
 def unpivoted(rows: DataFrame, scores: list[str], keep: list[str]) -> DataFrame:
@@ -108,11 +155,13 @@ def ranked_candidates(rows: DataFrame, scores: dict[str, int], diagnostic: froze
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("macro").desc(), "questions", "candidate")))
 
 
-def clusters(rows: DataFrame, primary: str, baseline: str, threshold: float, baseline_threshold: float, text: str = "doc", by: str = "dataset", label: str = "label") -> DataFrame:
-    """by, cluster (a text, white space normalised) and six counts: rows of each class, and what either score got right."""
+def clusters(rows: DataFrame, primary: str, baseline: str, threshold: float, baseline_threshold: float, text: str = "doc", by: str = "dataset", label: str = "label", order: str | None = None) -> DataFrame:
+    """by, cluster (the digest of a text, white space normalised) and six counts: rows of each class, and what either score got
+    right; first as well, the least of a column that orders the rows, if one is named."""
     a, b, yes, no = F.col(primary) > threshold, F.col(baseline) > baseline_threshold, F.col(label) == 1, F.col(label) == 0
-    return rows.groupBy(by, normalised(F.col(text)).alias("cluster")).agg(
-        F.count_if(yes).alias("pos"), F.count_if(no).alias("neg"), F.count_if(yes & a).alias("a_pos"), F.count_if(no & ~a).alias("a_neg"), F.count_if(yes & b).alias("b_pos"), F.count_if(no & ~b).alias("b_neg")
+    first = [F.min(order).alias("first")] if order else []
+    return rows.groupBy(by, F.sha2(normalised(F.col(text)), 256).alias("cluster")).agg(
+        F.count_if(yes).alias("pos"), F.count_if(no).alias("neg"), F.count_if(yes & a).alias("a_pos"), F.count_if(no & ~a).alias("a_neg"), F.count_if(yes & b).alias("b_pos"), F.count_if(no & ~b).alias("b_neg"), *first
     )
 
 
@@ -142,14 +191,15 @@ def bootstrap(cluster_counts: DataFrame, repeats: int = 1000, by: str = "dataset
 def bootstrap_exact(cluster_counts: DataFrame, repeats: int = 1000, seed: int = 42, by: str = "dataset") -> DataFrame:
     """The same intervals from one task's random generator, clusters drawn with replacement inside each source.
 
-    For evaluation sets: all clusters, six counts each, go to that task.
+    For evaluation sets: all clusters, six counts each, go to that task. Draws number the clusters as they are first seen, by
+    column first, or by cluster where there is none.
     """
     import numpy as np
     import pandas as pd
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         rng, names = np.random.default_rng(seed), ["pos", "neg", "a_pos", "a_neg", "b_pos", "b_neg"]
-        sources = [g.sort_values("cluster")[names].to_numpy(float) for _, g in frame.sort_values(by).groupby(by)]
+        sources = [g.sort_values("first" if "first" in g else "cluster")[names].to_numpy(float) for _, g in frame.sort_values(by).groupby(by)]
         kept = []
         for _ in range(repeats):
             a, b = [], []

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimworks.functions import hashing, scores, text
-from claimworks.operators import audit, calibration, checks, chunking, graph, joins, leaderboard, metrics, sampling, scoring
+from claimworks.operators import audit, calibration, checks, chunking, graph, joins, leaderboard, lineage, metrics, sampling, scoring
 from claimworks.plans import binding, checkers
 from claimworks.plans.binding import RULE, SCORES, THRESHOLD, answered, rows, rows_sql, scored, scored_sql, table
 
@@ -212,15 +213,11 @@ final AS (SELECT candidate, round(CASE WHEN count(b) = count(*) THEN avg(b) END,
 SELECT candidate, threshold, macro AS tune_macro, selection_macro FROM final JOIN top USING (candidate) ORDER BY selection_macro DESC NULLS LAST, {_ASKED_SQL}, macro DESC, candidate LIMIT 1""")
 def winner_selection(spark, sf_dir):
     named = [s for s in SCORES if s not in binding.PACK.diagnostic]
-    with_pools = sampling.with_pool(scored(spark, sf_dir))
-    short = metrics.ranked_candidates(with_pools.where("pool = 'tune'"), _ASKED, binding.PACK.diagnostic).where("place <= 3")
-    long = metrics.unpivoted(with_pools.where("pool = 'selection'"), named, ["dataset", "label"]).join(short.select("candidate", "threshold", F.col("macro").alias("tune_macro"), "questions"), "candidate")
-    ok = F.col("score") > F.col("threshold")
-    rate = lambda v, hit: F.avg(F.when(F.col("label") == v, hit.cast("double")))
-    keys = ["candidate", "threshold", "tune_macro", "questions"]
-    sources = long.groupBy(*keys, "dataset").agg(((rate(1, ok) + rate(0, ~ok)) / 2).alias("b"))
-    final = sources.groupBy(*keys).agg(F.round(metrics.vetoed_mean("b"), 12).alias("selection_macro"))
-    return final.orderBy(F.col("selection_macro").desc_nulls_last(), "questions", F.col("tune_macro").desc(), "candidate").limit(1).drop("questions")
+    long = metrics.unpivoted(sampling.with_pool(scored(spark, sf_dir)).drop("doc", "claim"), named, ["pool", "dataset", "label"])
+    best = metrics.tuned_in_pool(long, "score", ["candidate"])
+    questions = F.create_map(*[F.lit(x) for s in named for x in (s, _ASKED[s])])[F.col("candidate")]
+    short = best.withColumn("questions", questions).orderBy(F.col("tune_macro").desc(), "questions", "candidate").limit(3)
+    return short.orderBy(F.col("selection_macro").desc_nulls_last(), "questions", F.col("tune_macro").desc(), "candidate").limit(1).select("candidate", "threshold", "tune_macro", "selection_macro")
 
 
 _MODELS = "SELECT 'direct' AS model, id, doc, dataset, label, direct AS score FROM scored UNION ALL SELECT 'rule', id, doc, dataset, label, min_rule FROM scored"
@@ -233,24 +230,26 @@ src AS (SELECT e.model, rule, threshold, dataset, (avg(CASE WHEN label = 1 THEN
 SELECT model, rule, threshold, round(CASE WHEN count(b) = count(*) THEN avg(b) END, 12) AS macro FROM src GROUP BY model, rule, threshold""")
 def threshold_transfer(spark, sf_dir):
     s = sampling.with_pool(scored(spark, sf_dir))
-    long = s.select("pool", "id", "dataset", "label", F.explode(F.array(F.struct(F.lit("direct").alias("model"), F.col("direct").alias("score")), F.struct(F.lit("rule").alias("model"), F.col(RULE).alias("score")))).alias("x")).select("pool", "id", "dataset", "label", "x.*")
-    return calibration.transferred(long.where("pool = 'tune'"), long.where("pool = 'selection'"), "score")
+    long = s.select("pool", "dataset", "label", F.explode(F.array(F.struct(F.lit("direct").alias("model"), F.col("direct").alias("score")), F.struct(F.lit("rule").alias("model"), F.col(RULE).alias("score")))).alias("x")).select("pool", "dataset", "label", "x.*")
+    best = metrics.tuned_in_pool(long, "score", ["model"], fixed=30)
+    rules = F.array(F.struct(F.lit("fitted").alias("rule"), "threshold", F.col("selection_macro").alias("macro")), F.struct(F.lit("fixed").alias("rule"), F.lit(0.3).alias("threshold"), F.col("fixed_macro").alias("macro")))
+    return best.select("model", F.explode(rules).alias("x")).select("model", "x.*")
 
 
-_CLUSTERS = f"""clusters AS (SELECT dataset, {_NORM} AS cluster, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg, count(*) FILTER (WHERE label = 1 AND min_rule > CAST(0.3 AS DOUBLE)) AS a_pos, count(*) FILTER (WHERE label = 0 AND NOT min_rule > CAST(0.3 AS DOUBLE)) AS a_neg,
+_CLUSTERS = f"""clusters AS (SELECT dataset, sha256({_NORM}) AS cluster, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg, count(*) FILTER (WHERE label = 1 AND min_rule > CAST(0.3 AS DOUBLE)) AS a_pos, count(*) FILTER (WHERE label = 0 AND NOT min_rule > CAST(0.3 AS DOUBLE)) AS a_neg,
  count(*) FILTER (WHERE label = 1 AND direct > 0.5) AS b_pos, count(*) FILTER (WHERE label = 0 AND NOT direct > 0.5) AS b_neg FROM scored GROUP BY ALL)"""
 
 
-@query(f"WITH {scored_sql()}, {_CLUSTERS} SELECT * REPLACE (sha256(cluster) AS cluster) FROM clusters")
+@query(f"WITH {scored_sql()}, {_CLUSTERS} SELECT * FROM clusters")
 def cluster_counts(spark, sf_dir):
-    return metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5).withColumn("cluster", F.sha2("cluster", 256))
+    return metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5)
 
 
 _WEIGHT = " + ".join(f"(u >= {c!r}::DOUBLE)::INTEGER" for c in metrics.POISSON)
 _ENDS = ", ".join(f"round(quantile_cont({c}, {p}), 9) AS {n}_{e}" for c, n in (("a", "primary"), ("b", "baseline"), ("d", "delta")) for e, p in (("low", 0.025), ("high", 0.975)))
 
 
-@query(f"""WITH {scored_sql()}, {_CLUSTERS}, reps AS (SELECT unnest(generate_series(1, 40)) AS r),
+@query(f"""WITH {scored_sql()}, {_CLUSTERS}, reps AS (SELECT unnest(generate_series(1, 1000)) AS r),
 u AS (SELECT *, CAST(CAST(('0x' || substr(sha256(r || ':' || dataset || ':' || cluster), 1, 8)) AS BIGINT) AS DOUBLE) / 4294967296.0 AS u FROM clusters, reps),
 w AS (SELECT *, {_WEIGHT} AS w FROM u),
 s AS (SELECT r, dataset, sum(w * pos) AS pos, sum(w * neg) AS neg, sum(w * a_pos) AS a_pos, sum(w * a_neg) AS a_neg, sum(w * b_pos) AS b_pos, sum(w * b_neg) AS b_neg FROM w GROUP BY r, dataset),
@@ -263,7 +262,7 @@ def bootstrap_ci(spark, sf_dir):
 
 @query()
 def bootstrap_exact(spark, sf_dir):
-    return metrics.bootstrap_exact(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5))
+    return metrics.bootstrap_exact(metrics.clusters(scored(spark, sf_dir), RULE, "direct", THRESHOLD, 0.5, order="doc_id"))
 
 
 # Joins.
@@ -319,7 +318,7 @@ def question_expansion(spark, sf_dir):
     return joins.per_question(rows(spark, sf_dir), ["direct", "support"]).select("id", "question", F.length(shown).cast("long").alias("n"))
 
 
-_FILES = "files AS (SELECT 'doc' || doc_id || '.txt' AS file, doc_id AS d, text FROM documents WHERE doc_id % 50 = 0)"
+_FILES = "files AS (SELECT 'doc' || doc_id || '.txt' AS file, doc_id AS d, text FROM documents)"
 _CLAIMS = "claims AS (SELECT item_id, CAST(item_id AS VARCHAR) AS claim_id, text AS claim, CASE WHEN item_id % 4 <> 0 THEN ['doc' || (item_id * 50) || '.txt', 'doc' || (item_id * 100) || '.txt', 'none.txt'] END AS c FROM benchmark)"
 _PAIRS = "pairs AS (SELECT claim_id, file FROM claims, files WHERE c IS NULL OR list_contains(c, file))"
 
@@ -493,7 +492,7 @@ def negation_sum(spark, sf_dir):
     return one.join(other, "id").select("id", F.round(F.col("p") + F.col("q"), 9).alias("both_sides"))
 
 
-@query(f"""WITH {scored_sql()} SELECT id, CASE WHEN h_complete >= 50 THEN 'yes' ELSE 'no' END AS choice, CASE WHEN greatest(h_complete, 100 - h_complete) >= 80 THEN 'auto' ELSE 'review' END AS route FROM scored WHERE h_complete NOT IN (20, 80)""")
+@query(f"""WITH {scored_sql()} SELECT id, CASE WHEN h_complete >= 50 THEN 'yes' ELSE 'no' END AS choice, CASE WHEN greatest(h_complete, 100 - h_complete) >= 80 THEN 'auto' ELSE 'review' END AS route FROM scored""")
 def choice_verdict(spark, sf_dir):
     a = answered(spark, sf_dir).select("id", F.map_entries(F.col("answers")["complete"]["probabilities"]).alias("p"))
     top = F.reduce("p", F.struct(F.lit("").alias("key"), F.lit(-1.0).alias("value")), lambda m, x: F.when(x["value"] > m["value"], F.struct(x["key"].alias("key"), x["value"].alias("value"))).otherwise(m))
@@ -568,7 +567,7 @@ def slugify(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.slug(F.col("url")).alias("slug"), text.path_slug(F.col("url")).alias("folder"))
 
 
-@query("""SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(replace('**' || format('{:,}', o_orderkey) || '.50** pts', ',', ''), '[-+]?\\d*\\.?\\d+'), '') AS DOUBLE) AS value FROM orders WHERE o_orderkey % 7 = 0""")
+@query("""SELECT o_orderkey, TRY_CAST(nullif(regexp_extract(replace('**' || format('{:,}', o_orderkey) || '.50** pts', ',', ''), '[-+]?\\d*\\.?\\d+'), '') AS DOUBLE) AS value FROM orders""")
 def numeric_cells(spark, sf_dir):
     cell = F.concat(F.lit("**"), F.format_number("o_orderkey", 0), F.lit(".50** pts"))
     return table(spark, sf_dir, "orders").select("o_orderkey", text.number(text.unmarked(cell)).alias("value"))
@@ -584,12 +583,8 @@ def conversation_state(spark, sf_dir):
 SELECT item_id, count(*) AS n, min(doc_id) AS first_doc FROM n JOIN q ON contains(n.t, q.t) GROUP BY item_id""")
 def quote_containment(spark, sf_dir):
     quotes = table(spark, sf_dir, "benchmark").select("item_id", text.quotes_folded(F.col("text")).alias("q"))
-    parts = int((quotes.agg(F.sum(F.octet_length("q"))).first()[0] or 0) // (1 << 20)) + 1
-    held = quotes.groupBy(F.pmod(F.xxhash64("item_id"), F.lit(parts)).alias("part")).agg(F.array_sort(F.collect_list(F.struct("item_id", "q"))).alias("quotes"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", text.quotes_folded(F.col("text")).alias("t"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    joined = docs.join(F.broadcast(held) if parts <= 8 else held, "part")  # about 1 MB of quotes a part; more than eight are shuffled
-    found = joined.select("doc_id", F.explode(F.filter("quotes", lambda x: F.contains("t", x["q"]))).alias("x"))
-    return found.groupBy("x.item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.quotes_folded(F.col("text")).alias("t"))
+    return joins.containing(docs, quotes).groupBy("item_id").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"))
 
 
 @query(f"""WITH s AS (SELECT doc_id, unnest({_SENTENCES}) AS s, generate_subscripts({_SENTENCES}, 1) AS i FROM documents WHERE text IS NOT NULL) SELECT doc_id, count(*) AS sections, max(length(s)) AS longest FROM s GROUP BY doc_id""")
@@ -598,7 +593,7 @@ def section_split(spark, sf_dir):
     return parts.groupBy("doc_id").agg(F.count("*").alias("sections"), F.max(F.length("s").cast("long")).alias("longest"))
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT o_custkey % 400 AS a, 1000 + o_orderkey % 600 AS b FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey < 1000),
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT -1 - o_custkey AS a, o_orderkey AS b FROM orders),
 n AS (SELECT a AS x, b AS y FROM e UNION SELECT b, a FROM e), r AS (SELECT x AS node, x AS part FROM n UNION SELECT n.y, r.part FROM r JOIN n ON n.x = r.node WHERE r.part < n.y),
 p AS (SELECT node, min(part) AS part FROM r GROUP BY node), d AS (SELECT x, count(*) AS degree FROM n GROUP BY x)
 SELECT part, count(*) AS nodes, max(degree) > 2 AS branched, (SELECT count(*) FROM e JOIN p q ON q.node = e.a WHERE q.part = p.part) AS triples FROM p JOIN d ON d.x = p.node GROUP BY part""")
@@ -624,11 +619,8 @@ def keep_last(spark, sf_dir):
 
 
 def _folder(spark: SparkSession) -> str:
-    import tempfile
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{root.rstrip('/')}/claimworks-{uuid.uuid4().hex}"
+    """A new folder in the one that all executors share."""
+    return f"{lineage.shared_folder(spark).rstrip('/')}/claimworks-{uuid.uuid4().hex}"
 
 
 @query(f"""WITH {scored_sql()}, {_JUDGED} SELECT dataset, {_COUNTS} FROM judged GROUP BY dataset""")
@@ -727,7 +719,7 @@ def pack_lookup(spark, sf_dir):
     return s.join(F.broadcast(known), "pack_hash").groupBy("pack").agg(F.count("*").alias("n"), F.count_if(F.col(RULE) > F.col("threshold")).alias("accepted"))  # a row for each pack
 
 
-@query("""SELECT event_id, event_type AS kind, user_id, json_extract_string(props, '$.' || coalesce(json_keys(props)[1], 'none')) AS first_value, len(json_keys(props)) AS n FROM events WHERE event_id % 20 = 0""")
+@query("""SELECT event_id, event_type AS kind, user_id, json_extract_string(props, '$.' || coalesce(json_keys(props)[1], 'none')) AS first_value, len(json_keys(props)) AS n FROM events""")
 def summary_projection(spark, sf_dir):
     props = F.from_json("props", "map<string,string>")
     keys = F.json_object_keys("props")

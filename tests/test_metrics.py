@@ -48,8 +48,47 @@ def test_tuning(spark, rows, scores, want):
     assert [r.threshold for r in got] == [want]
 
 
-def test_tuning_needs_both_classes(spark):
-    assert m.tuned(frame(spark, [("A", 1)], [0.8]), "score").collect() == []
+def test_unsound_sets_stop(spark):
+    """Tuning needs rows of both labels in each source, metrics need rows."""
+    for rows, scores in (([("A", 1)], [0.8]), ([*ROWS, ("C", 0)], [0.5] * 7), ([], [])):
+        with pytest.raises(Exception, match="both labels"):
+            m.tuned(frame(spark, rows, scores), "score").collect()
+    with pytest.raises(Exception, match="need rows"):
+        m.metrics(frame(spark, [], []), "score").collect()
+
+
+def test_draws_in_first_seen_order(spark):
+    """The same generator over the same order gives the same intervals as a loop over rows."""
+    r = np.random.default_rng(5)
+    rows = [(i, f"t{r.integers(12)}", "AB"[i % 2], int(r.integers(2)), float(r.random()), float(r.random())) for i in range(90)]
+    df = spark.createDataFrame(rows, "n long, doc string, dataset string, label int, a double, b double").repartition(5)
+    got = m.bootstrap_exact(m.clusters(df, "a", "b", 0.5, 0.5, order="n"), 50, seed=3).first()
+    groups: dict = {"A": {}, "B": {}}
+    for _, doc, d, y, a, b in rows:
+        c = groups[d].setdefault(doc, np.zeros(6))
+        c += [y, 1 - y, y * (a > 0.5), (1 - y) * (a <= 0.5), y * (b > 0.5), (1 - y) * (b <= 0.5)]
+    g, kept = np.random.default_rng(3), []
+    for _ in range(50):
+        sums = []
+        for d in "AB":
+            every = np.array(list(groups[d].values()))
+            t = every[g.integers(len(every), size=len(every))].sum(0)
+            if not t[0] or not t[1]:
+                break
+            sums.append(((t[2] / t[0] + t[3] / t[1]) / 2, (t[4] / t[0] + t[5] / t[1]) / 2))
+        else:
+            kept.append(np.mean(sums, axis=0))
+    low, high = np.percentile(np.array(kept)[:, 0], [2.5, 97.5])
+    assert math.isclose(got.primary_low, low) and math.isclose(got.primary_high, high) and got.valid_repeats == len(kept)
+
+
+def test_tuned_in_pool(spark):
+    r = random.Random(4)
+    rows = [("m" if i % 2 else "k", r.choice(["tune", "selection"]), r.choice("AB"), r.randrange(2), r.random()) for i in range(400)]
+    df = spark.createDataFrame(rows, "model string, pool string, dataset string, label int, score double")
+    got = {(x.model, r): t for x in m.tuned_in_pool(df, "score", ["model"], fixed=30).collect() for r, t in (("fitted", (x.threshold, x.selection_macro)), ("fixed", (0.3, x.fixed_macro)))}
+    want = {(x.model, x.rule): (x.threshold, x.macro) for x in calibration.transferred(df.where("pool = 'tune'"), df.where("pool = 'selection'"), "score").collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
 
 
 def test_grid_and_auc_against_numpy(spark):
