@@ -2,27 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+from claimworks.operators.lineage import kept as cut
+from claimworks.operators.lineage import shared_folder
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one of this machine only where none is named, as in tests."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="claimworks-")
-        spark.conf.set("spark.checkpoint.dir", folder) if not _static(spark) else None
-    return folder
-
-
-def _static(spark: SparkSession) -> bool:
-    return not spark.conf.isModifiable("spark.checkpoint.dir")
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written once and read back from the shared folder."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
+__all__ = ["cut", "shared_folder"]

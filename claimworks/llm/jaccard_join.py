@@ -339,3 +339,18 @@ def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op2_jaccard_join": op2_jaccard_join}
+ORACLE = {
+    "op2_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN ['#' || t] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS g FROM d),
+k AS (SELECT doc_id, g, md5(array_to_string(list_sort(g), chr(10))) AS name FROM s),
+sets AS (SELECT name, any_value(g) AS g, min(doc_id) AS rep, count(*) AS n_copies FROM k GROUP BY name),
+tokens AS (SELECT name, len(g) AS n, unnest(g) AS x FROM sets),
+shared AS (SELECT a.name AS a, b.name AS b, a.n AS n, b.n AS m, count(*) AS c FROM tokens a JOIN tokens b ON a.x = b.x AND a.name <> b.name GROUP BY ALL),
+links AS (SELECT a, b FROM shared WHERE 5 * c >= 4 * (n + m - c)),
+reach AS (SELECT name AS node, rep AS label FROM sets UNION SELECT l.b, r.label FROM reach r JOIN links l ON l.a = r.node),
+classes AS (SELECT node AS name, min(label) AS class_id FROM reach GROUP BY node),
+degrees AS (SELECT a AS name, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, class_id, coalesce(n_links, 0) AS n_links, n_copies FROM k JOIN sets USING (name) JOIN classes USING (name) LEFT JOIN degrees USING (name)
+"""
+}

@@ -135,3 +135,12 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op9_warc": op9_warc}
+ORACLE = {
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS x FROM pages),
+v AS (SELECT page_id, n, list_transform(generate_series(0, 7), lambda i: CAST('0x' || substr(x, 5 * i + 1, 5) AS BIGINT)) AS v FROM p),
+d AS (SELECT page_id, n, array_to_string(list_transform(v, lambda y: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((y >> b) & 31) + 1, 1)), '')), '') AS digest FROM v),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY digest) AS least FROM d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to FROM f
+"""
+}
