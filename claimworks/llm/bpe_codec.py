@@ -24,6 +24,8 @@ from claimworks.llm import _tables
 
 #: Distinct chunks that a worker remembers before it starts afresh.
 CACHE = 500_000
+#: Characters beyond which a word is not remembered, so that the cache is bounded in bytes.
+LONG = 64
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -106,7 +108,11 @@ class Codec:
         new = [w for w in set(words) if w not in known]
         if new:
             known.update(zip(new, self._made([w[1:] if w is words[0] else " " + w for w in new])))
-        return [known[w] for w in words]
+        out = [known[w] for w in words]
+        for w in new:
+            if len(w) > LONG:
+                del known[w]
+        return out
 
     def _made(self, texts: list[str]) -> list["Chunk"]:
         """The chunk of each text; the model sees the pre-tokens of all in one call."""

@@ -45,3 +45,21 @@ def test_table(spark):
     back = bpe_codec.decode(bpe_codec.encode(df)).collect()
     assert sorted(bytes(r.content) for r in back) == [b"", b"", b"to be", b"to be"]
     assert bpe_codec.digests(df.limit(0)).count() == 0
+
+
+def test_query(spark, sf_dir, theirs):
+    """The registered query's columns for every document, by another library's ids."""
+    rows = [(r.doc_id, r.text or "") for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in bpe_codec.op8_byte_bpe(spark, sf_dir).collect()}
+    assert len(got) == len(rows)
+    for doc_id, text in rows:
+        ids = theirs.encode_ordinary(text)
+        want = (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+        assert (got[doc_id].n_tokens, got[doc_id].ids_sha256, got[doc_id].decoded_sha256) == want
+
+
+def test_long_words_are_not_kept():
+    c = bpe_codec.codec()
+    c.encode("short " + "x" * 5000 + " " + "y" * 5000)
+    assert " short" in c._known or "short" in c._known or "\nshort" in c._known
+    assert max(map(len, c._known)) <= bpe_codec.LONG
