@@ -329,8 +329,8 @@ def set_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, target: flo
     found = cut(held.withColumn("deal", deal).groupBy("deal").applyInArrow(_verify(threshold), "name binary, links long, tree binary"))
     links = found.groupBy("name").agg(F.sum("links").alias("n_links"))
     trees = components(found.select(F.col("name").alias("a"), F.col("tree").alias("b")))
-    named = sets.drop("picks", "size").join(links, "name", "left").join(trees.withColumnRenamed("node", "name"), "name", "left").select("name", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "name").alias("root"))
-    least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    named = cut(sets.drop("picks", "size").join(links, "name", "left").join(trees.withColumnRenamed("node", "name"), "name", "left").select("name", "rep_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("root", "name").alias("root")))
+    least = cut(named.groupBy("root").agg(F.min("rep_id").alias("class_id")))  # written first, so that a large class is split in the join
     return every.select("doc_id", "name").join(named.join(least, "root").select("name", "root", "class_id", "n_links", "n_copies"), "name").select("doc_id", "name", "root", "class_id", "n_links", "n_copies")
 
 
