@@ -34,7 +34,9 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     kept = classes.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(first).alias("first")).where("first")
     single = F.col("doc_id").isNotNull() & (F.col("n") == 1)
     plain = rows.join(kept.where(single).select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select(*COLUMNS)
-    odd = kept.where(~single).select(F.col("doc_id").alias("id"))
+    odd = cut(kept.where(~single).select(F.col("doc_id").alias("id")))
+    if odd.isEmpty():  # else all texts would be dealt out to find that none is asked for
+        return plain
     shared = rows.join(odd, F.col("doc_id").eqNullSafe(F.col("id")), "left_semi").withColumn("key", F.sha2(F.to_json(F.struct(*COLUMNS)), 256))
     names = jaccard_join.sketches(shared.select(F.col("key").alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "name").distinct()
     own = classes.where(first).select(F.col("doc_id").alias("id"), "name", "root").distinct()
