@@ -100,23 +100,29 @@ def threshold_grid(rows: DataFrame, score: str, keys: list[str], by: str = "data
     return sources.groupBy(*keys, "step").agg(F.round(vetoed_mean("b"), 12).alias("macro"))
 
 
-def tuned(rows: DataFrame, score: str, keys: list[str] | None = None, by: str = "dataset", label: str = "label") -> DataFrame:
+def tuned(rows: DataFrame, score: str, keys: list[str] | None = None, by: str = "dataset", label: str = "label", *, strict: bool = True) -> DataFrame:
     """keys, threshold, macro: the grid's best threshold by macro balanced accuracy, then nearest to a half, then larger.
 
-    Without rows, or where a source lacks a class, the query stops.
+    Without rows, or where a source lacks a class, the query stops; where it is not strict, there is no row then.
     """
     keys = keys or []
     grid = threshold_grid(rows, score, keys, by, label)
     order = F.struct(F.col("macro"), -F.abs(F.col("step") - 50), F.col("step"))
     best = F.max(F.when(F.col("macro").isNotNull(), order)).alias("best")
     picked = grid.groupBy(*keys).agg(best) if keys else grid.agg(best)
-    return picked.select(*keys, (_needed(F.col("best.step"), BOTH) / 100.0).alias("threshold"), F.col("best.macro").alias("macro"))
+    return _chosen(picked, strict).select(*keys, (F.col("best.step") / 100.0).alias("threshold"), F.col("best.macro").alias("macro"))
+
+
+def _chosen(picked: DataFrame, strict: bool) -> DataFrame:
+    """Rows that have a best step; a strict query stops at others."""
+    found = F.col("best").isNotNull()
+    return picked.where(F.when(found, True).otherwise(F.raise_error(F.lit(BOTH)).cast("boolean"))) if strict else picked.where(found)
 
 
 BOTH = "tuning needs rows of both labels in each source"
 
 
-def tuned_in_pool(rows: DataFrame, score: str, keys: list[str], *, by: str = "dataset", label: str = "label", fixed: int | None = None) -> DataFrame:
+def tuned_in_pool(rows: DataFrame, score: str, keys: list[str], *, by: str = "dataset", label: str = "label", fixed: int | None = None, strict: bool = True) -> DataFrame:
     """keys, threshold, tune_macro, selection_macro: thresholds tuned on rows of pool 'tune', and what they give on those of
     pool 'selection'; fixed_macro as well if a fixed step of the grid is given.
 
@@ -137,7 +143,7 @@ def tuned_in_pool(rows: DataFrame, score: str, keys: list[str], *, by: str = "da
     order = F.struct("tune_macro", -F.abs(F.col("step") - 50), "step", "selection_macro")
     more = [] if fixed is None else [F.max(F.when(F.col("step") == fixed, F.col("selection_macro"))).alias("fixed_macro")]
     best = grid.groupBy(*keys).agg(F.max(F.when(F.col("tune_macro").isNotNull(), order)).alias("best"), *more)
-    return best.select(*keys, (_needed(F.col("best.step"), BOTH) / 100.0).alias("threshold"), "best.tune_macro", "best.selection_macro", *[c for c in ("fixed_macro",) if more])
+    return _chosen(best, strict).select(*keys, (F.col("best.step") / 100.0).alias("threshold"), "best.tune_macro", "best.selection_macro", *[c for c in ("fixed_macro",) if more])
 
 
 def unpivoted(rows: DataFrame, scores: list[str], keep: list[str]) -> DataFrame:
@@ -146,10 +152,10 @@ def unpivoted(rows: DataFrame, scores: list[str], keep: list[str]) -> DataFrame:
     return rows.select(*keep, pairs.alias("x")).select(*keep, "x.*")
 
 
-def ranked_candidates(rows: DataFrame, scores: dict[str, int], diagnostic: frozenset[str] = frozenset()) -> DataFrame:
+def ranked_candidates(rows: DataFrame, scores: dict[str, int], diagnostic: frozenset[str] = frozenset(), *, strict: bool = True) -> DataFrame:
     """candidate, threshold, macro, questions, place: candidates but the diagnostic ones by macro, questions asked, name."""
     named = [s for s in scores if s not in diagnostic]
-    best = tuned(unpivoted(rows, named, ["dataset", "label"]), "score", ["candidate"])
+    best = tuned(unpivoted(rows, named, ["dataset", "label"]), "score", ["candidate"], strict=strict)
     questions = F.create_map(*[F.lit(x) for s in named for x in (s, scores[s])])[F.col("candidate")]
     best = best.withColumn("questions", questions)
     return best.withColumn("place", F.row_number().over(Window.orderBy(F.col("macro").desc(), "questions", "candidate")))

@@ -177,7 +177,7 @@ best AS (SELECT *, row_number() OVER ({'PARTITION BY ' + keys if keys else ''} O
 
 @query(f"WITH {scored_sql()}, long AS (SELECT dataset, label, {RULE} AS score FROM scored), {_grid_sql('', 'dataset', '')} SELECT CAST(step AS DOUBLE) / 100 AS threshold, macro FROM best WHERE place = 1")
 def tune_threshold(spark, sf_dir):
-    return metrics.tuned(scored(spark, sf_dir), RULE)
+    return metrics.tuned(scored(spark, sf_dir), RULE, strict=False)  # the smallest tables have sources of one label; these queries have no rows there
 
 
 @query(f"WITH {scored_sql()}, long AS (SELECT dataset, label, {RULE} AS score FROM scored), {_grid_sql('', 'dataset', '')} SELECT CAST(step AS BIGINT) AS step, macro FROM macro")
@@ -187,7 +187,7 @@ def threshold_curve(spark, sf_dir):
 
 @query(f"WITH {scored_sql()}, long AS (SELECT dataset AS source, dataset, label, {RULE} AS score FROM scored), {_grid_sql('source', 'dataset', 'source, ')} SELECT source, CAST(step AS DOUBLE) / 100 AS threshold, macro FROM best WHERE place = 1")
 def tune_by_source(spark, sf_dir):
-    return metrics.tuned(scored(spark, sf_dir).withColumn("source", F.col("dataset")), RULE, ["source"])
+    return metrics.tuned(scored(spark, sf_dir).withColumn("source", F.col("dataset")), RULE, ["source"], strict=False)
 
 
 _ASKED = {s: len(binding.PACK.questions_behind(s)) for s in SCORES}
@@ -198,7 +198,7 @@ _ASKED_SQL = "CASE candidate " + " ".join(f"WHEN '{s}' THEN {n}" for s, n in _AS
 @query(f"""WITH {scored_sql()}, long AS ({_LONG}), {_grid_sql('candidate', 'dataset', 'candidate, ')}
 SELECT candidate, CAST(step AS DOUBLE) / 100 AS threshold, macro, {_ASKED_SQL} AS questions, CAST(row_number() OVER (ORDER BY macro DESC, {_ASKED_SQL}, candidate) AS INTEGER) AS place FROM best WHERE best.place = 1""")
 def rank_candidates(spark, sf_dir):
-    return metrics.ranked_candidates(scored(spark, sf_dir), _ASKED, binding.PACK.diagnostic)
+    return metrics.ranked_candidates(scored(spark, sf_dir), _ASKED, binding.PACK.diagnostic, strict=False)
 
 
 _POOLS = f"""pools AS (SELECT id AS pid, CASE WHEN CAST(('0x' || substr({_GROUP}, 1, 8)) AS BIGINT) % 10 < 6 THEN 'tune' ELSE 'selection' END AS pool FROM rows)"""
@@ -214,7 +214,7 @@ SELECT candidate, threshold, macro AS tune_macro, selection_macro FROM final JOI
 def winner_selection(spark, sf_dir):
     named = [s for s in SCORES if s not in binding.PACK.diagnostic]
     long = metrics.unpivoted(sampling.with_pool(scored(spark, sf_dir)).drop("doc", "claim"), named, ["pool", "dataset", "label"])
-    best = metrics.tuned_in_pool(long, "score", ["candidate"])
+    best = metrics.tuned_in_pool(long, "score", ["candidate"], strict=False)
     questions = F.create_map(*[F.lit(x) for s in named for x in (s, _ASKED[s])])[F.col("candidate")]
     short = best.withColumn("questions", questions).orderBy(F.col("tune_macro").desc(), "questions", "candidate").limit(3)
     return short.orderBy(F.col("selection_macro").desc_nulls_last(), "questions", F.col("tune_macro").desc(), "candidate").limit(1).select("candidate", "threshold", "tune_macro", "selection_macro")
@@ -231,7 +231,7 @@ SELECT model, rule, threshold, round(CASE WHEN count(b) = count(*) THEN avg(b) E
 def threshold_transfer(spark, sf_dir):
     s = sampling.with_pool(scored(spark, sf_dir))
     long = s.select("pool", "dataset", "label", F.explode(F.array(F.struct(F.lit("direct").alias("model"), F.col("direct").alias("score")), F.struct(F.lit("rule").alias("model"), F.col(RULE).alias("score")))).alias("x")).select("pool", "dataset", "label", "x.*")
-    best = metrics.tuned_in_pool(long, "score", ["model"], fixed=30)
+    best = metrics.tuned_in_pool(long, "score", ["model"], fixed=30, strict=False)
     rules = F.array(F.struct(F.lit("fitted").alias("rule"), "threshold", F.col("selection_macro").alias("macro")), F.struct(F.lit("fixed").alias("rule"), F.lit(0.3).alias("threshold"), F.col("fixed_macro").alias("macro")))
     return best.select("model", F.explode(rules).alias("x")).select("model", "x.*")
 
@@ -699,7 +699,7 @@ def pilot_composite(spark, sf_dir):
 def refit_combined(spark, sf_dir):
     s = scored(spark, sf_dir)
     both = s.select("dataset", "label", F.col(RULE).alias("score")).unionByName(s.where("doc_id % 2 = 0").select("dataset", "label", F.col("direct").alias("score")))
-    return metrics.tuned(both, "score")
+    return metrics.tuned(both, "score", strict=False)
 
 
 @query(f"""WITH {scored_sql()}, v AS (SELECT id, label, CASE WHEN h_direct >= 67 THEN 'Entailment' WHEN h_direct >= 34 THEN 'Neutral' ELSE 'Contradiction' END AS nli FROM scored), g AS (SELECT *, CASE WHEN nli = 'Entailment' THEN 'Grounded' ELSE 'Ungrounded' END AS verdict FROM v)

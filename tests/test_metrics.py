@@ -53,6 +53,7 @@ def test_unsound_sets_stop(spark):
     for rows, scores in (([("A", 1)], [0.8]), ([*ROWS, ("C", 0)], [0.5] * 7), ([], [])):
         with pytest.raises(Exception, match="both labels"):
             m.tuned(frame(spark, rows, scores), "score").collect()
+        assert m.tuned(frame(spark, rows, scores), "score", strict=False).collect() == []
     with pytest.raises(Exception, match="need rows"):
         m.metrics(frame(spark, [], []), "score").collect()
 
