@@ -37,17 +37,18 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
 
 
-def repeated(rows: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets: int, hot: int = HOT) -> DataFrame:
+def repeated(rows: DataFrame, hashes: Callable[[pa.Table], np.ndarray], ranges: int, hot: int = HOT) -> DataFrame:
     """block, hashes, hot: for each block of rows (column block), its repeated hashes and the hot ones of them, in pieces;
     hashes(table) lists a block's own.
 
-    The reducers are asked for by number, as what they read says little of what they do and would be coalesced by its size.
+    ranges: into how many the hashes are cut; a block sends a row for each that it has hashes of, so that as few as fit into
+    a reducer are best. The reducers are asked for by number, as what they read says little of what they do and would be coalesced by its size.
     """
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("block")[0].as_py() if table.num_rows else 0
         h, n = np.unique(hashes(table), return_counts=True)
-        to = bucket_of(h, buckets)
+        to = bucket_of(h, ranges)
         edges = np.flatnonzero(np.diff(to)) + 1
         out = []
         for a, z in zip([0, *edges.tolist()], [*edges.tolist(), len(h)]) if len(h) else ():
@@ -65,7 +66,7 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.Table], np.ndarray], buckets:
         return pa.table({"block": pa.array(blocks, pa.int32()), "hashes": pa.array([x.tobytes() for x in back], pa.binary()), "hot": pa.array([x[np.isin(x, often, assume_unique=True)].tobytes() for x in back], pa.binary())})
 
     _schema = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("once", pa.binary()), ("many", pa.binary())])
-    return rows.groupBy("block").applyInArrow(send, _SENT).repartition(buckets, "bucket").groupBy("bucket").applyInArrow(answer, _BACK)
+    return rows.groupBy("block").applyInArrow(send, _SENT).repartition(ranges, "bucket").groupBy("bucket").applyInArrow(answer, _BACK)
 
 
 def gathered(table: pa.Table, column: str = "hashes") -> np.ndarray:

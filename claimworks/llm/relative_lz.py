@@ -269,7 +269,8 @@ def remove_passages(docs: DataFrame, *, keep_text: bool = False, window: int = W
         *_, first, h = _words(_in_order(table))
         return anchors(h, first, window, gram)[3]
 
-    back = _repeats.repeated(rows, hashes, blocks, hot)
+    # A text's hashes are a tenth of its bytes, so the hashes of four blocks' share are less than a block.
+    back = _repeats.repeated(rows, hashes, max(1, blocks // 4), hot)
     sent = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(lambda t, b: passages_of_block(t, b, blocks, window, gram), "bucket int, block int, kind int, payload binary")
     spans = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(lambda t: parse_bucket(t, window), "block int, payload binary")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept binary" * keep_text
