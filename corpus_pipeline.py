@@ -19,6 +19,11 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose score is a half or more stay, as they are.
+
+    Null and empty texts have a score like any other; repeated rows stay or go together; rows without an id are scored but teach
+    nothing; without labelled rows every score is a half, so all stay; an empty table stays empty; further columns go.
+    """
     model = quality.fit(docs, _tables.read(spark, sf_dir, "labels", "doc_id", "quality"))
     return quality.scored(docs.select(*COLUMNS), model).where("score >= 0.5").select(*COLUMNS)
 
@@ -26,7 +31,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each class stays: the one with the least doc_id, null last; of several with that id, the one with the least text.
 
-    An id that one row has tells the row. Rows that share an id or have none are told apart by their columns.
+    An id that one row has tells the row. Rows that share an id or have none are told apart by their columns, and rows that are the
+    same in all of them are one. Null, empty and wordless texts are copies of the same text only; an empty table stays empty.
     """
     rows = docs.select(*COLUMNS)
     classes = cut(jaccard_join.set_classes(rows).select("doc_id", "name", "root", "class_id"))
@@ -46,16 +52,26 @@ def near_copies_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of which a twentieth of the words or more is the benchmark's go; others stay as they are.
+
+    Null and empty texts have no words and stay; every row is judged by itself, so repeated rows and ids stay or go alike; an
+    empty table or benchmark takes nothing away.
+    """
     found = decontamination.overlaps(docs.select(*COLUMNS), _tables.read(spark, sf_dir, "benchmark", "item_id", "text"), keep=COLUMNS)
     return found.where(~decontamination.contaminated()).select(*COLUMNS)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; secrets in their texts are masked, and n_chars is that of the masked text.
+
+    Null texts become empty ones; every row is masked by itself; an empty table stays empty.
+    """
     found = secret_scan.scan(docs, secret_scan.train(secret_scan.samples(spark)), keep=("lang", "source"))
     return found.select("doc_id", secret_scan.masked("text", "spans").alias("text"), "lang", "source").withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, n_tokens of every row; null and empty texts have no ids, repeated rows have a row each."""
     return bpe_codec.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
