@@ -46,8 +46,18 @@ def test_keeps_most_good_documents(sf_dir, stages):
 def test_odd_rows(spark, sf_dir):
     rows = [(1, None, None, None, None), (None, "a b c d e f", "en", "s", 11), (2, "", "en", "s", 0), (2, "x", "en", "s", 1), (3, "password=abcdef12 " * 3, "en", "s", 9)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    quality_stage, copies, bench, secrets, tokens = (f for _, f in p.STAGES)
+    text = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    every = sorted(((r[0], r[1]) for r in rows), key=str)
+    kept = text(quality_stage(spark, docs, sf_dir))
+    assert all(kept.count(x) == every.count(x) for x in kept)
+    assert text(quality_stage(spark, docs.withColumn("doc_id", -F.col("doc_id") - 10), sf_dir)) == sorted(((None if i is None else -i - 10, t) for i, t in every), key=str)  # no labels
+    assert text(copies(spark, docs, sf_dir)) == sorted([(1, None), (2, "x"), (3, rows[4][1]), (None, rows[1][1])], key=str)
+    assert text(bench(spark, docs, sf_dir)) == every
+    masked = secrets(spark, docs, sf_dir).collect()
+    assert sorted(((r.doc_id, r.text, r.n_chars) for r in masked), key=str) == sorted([(1, "", 0), (None, "a b c d e f", 11), (2, "", 0), (2, "x", 1), (3, "[secret] " * 3, 27)], key=str)
+    assert sorted(((r.doc_id, r.n_tokens > 0) for r in tokens(spark, docs, sf_dir).collect()), key=str) == sorted([(1, False), (None, True), (2, False), (2, True), (3, True)], key=str)
     for _, stage in p.STAGES:
-        assert stage(spark, docs, sf_dir).count() >= 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
 
 
