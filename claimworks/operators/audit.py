@@ -68,3 +68,8 @@ def consistency(full: DataFrame, reduced: DataFrame, key: str = "id") -> DataFra
     joined = full.select(key, F.col("accepted").alias("f")).join(reduced.select(key, F.col("accepted").alias("r")), key)
     both = F.count_if(F.col("f") & ~F.col("r"))
     return joined.agg(F.count("*").alias("n"), F.try_divide(both.cast("double"), F.count("*")).alias("accuracy"), F.try_divide(both.cast("double"), F.count_if("f")).alias("precision"))
+
+
+def largest_summed(parts: DataFrame, value: str, row_id: str = "id") -> DataFrame:
+    """rows, total: of several values a row, the largest counts; their sum over all rows."""
+    return parts.groupBy(row_id).agg(F.max(value).alias("v")).agg(F.count("v").alias("rows"), F.sum("v").alias("total"))

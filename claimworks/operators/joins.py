@@ -18,6 +18,12 @@ def scored(rows: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame:
     return rows.join(cache.select(key), key, "left_semi")
 
 
+def progress(rows: DataFrame, cache: DataFrame, key: str = "id") -> DataFrame:
+    """completed, total, complete: how many of the rows the cache has; repeated answers count once."""
+    joined = rows.join(cache.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")
+    return joined.agg(F.count("_done").alias("completed"), F.count("*").alias("total")).withColumn("complete", F.col("completed") == F.col("total"))
+
+
 def overlay(base: DataFrame, newer: DataFrame, key: str = "id") -> DataFrame:
     """All keys of both; the newer row where both have one."""
     columns = [c for c in base.columns if c != key]

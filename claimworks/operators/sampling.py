@@ -52,6 +52,16 @@ def hash_subset(rows: DataFrame, limit: int, row_id: str = "id") -> DataFrame:
     return rows.orderBy(F.sha2(row_id, 256), row_id).limit(limit) if limit else rows
 
 
+def in_order(subset: DataFrame, position: str) -> DataFrame:
+    """A subset of a known few rows back in the order of the whole, with place from 1."""
+    return subset.withColumn("place", F.row_number().over(Window.orderBy(position)))
+
+
+def by_number(rows: DataFrame, row_id: str = "id") -> DataFrame:
+    """The rows by the number after the colon of their id: 9 before 10."""
+    return rows.orderBy(F.split_part(row_id, F.lit(":"), F.lit(2)).cast("long"), row_id)
+
+
 def remaining(rows: DataFrame, used: DataFrame, by: list[str]) -> DataFrame:
     """How many rows of each stratum are left after those used; strata without any are absent."""
     return rows.join(used.select("id"), "id", "left_anti").groupBy(*by).agg(F.count("*").alias("n"))

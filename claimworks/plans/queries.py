@@ -64,6 +64,17 @@ def hash_subset(spark, sf_dir):
     return sampling.hash_subset(rows(spark, sf_dir), 150).select("id", "doc_id")
 
 
+@query(f"WITH {rows_sql()}, few AS (SELECT id, doc_id FROM rows ORDER BY sha256(id), id LIMIT 150) SELECT id, CAST(row_number() OVER (ORDER BY doc_id) AS INTEGER) AS place FROM few")
+def hash_subset_in_order(spark, sf_dir):
+    return sampling.in_order(sampling.hash_subset(rows(spark, sf_dir), 150).select("id", "doc_id"), "doc_id").select("id", "place")
+
+
+@query(f"WITH {rows_sql()}, few AS (SELECT id, CAST(split_part(id, ':', 2) AS BIGINT) AS n FROM rows ORDER BY n LIMIT 100) SELECT id, CAST(row_number() OVER (ORDER BY n) AS INTEGER) AS place FROM few")
+def number_order(spark, sf_dir):
+    first = sampling.by_number(rows(spark, sf_dir).select("id")).limit(100)
+    return sampling.in_order(first.withColumn("n", F.split_part("id", F.lit(":"), F.lit(2)).cast("long")), "n").select("id", "place")
+
+
 @query(f"""WITH {rows_sql()}, {_POOL}, used AS (SELECT id FROM (SELECT *, row_number() OVER (PARTITION BY pool, dataset, label ORDER BY {_SEEDED}, id) AS place FROM pooled) WHERE place <= 10)
 SELECT dataset, label, count(*) AS n FROM rows WHERE id NOT IN (SELECT id FROM used) GROUP BY dataset, label""")
 def remaining_rows(spark, sf_dir):
@@ -276,6 +287,11 @@ def pending_anti(spark, sf_dir):
     return joins.pending(rows(spark, sf_dir), scored(spark, sf_dir).where("doc_id % 3 <> 0")).select("id")
 
 
+@query(f"WITH {scored_sql()}, {_CACHE} SELECT count(*) FILTER (WHERE id IN (SELECT id FROM cache)) AS completed, count(*) AS total, count(*) FILTER (WHERE id IN (SELECT id FROM cache)) = count(*) AS complete FROM rows")
+def progress_count(spark, sf_dir):
+    return joins.progress(rows(spark, sf_dir), scored(spark, sf_dir).where("doc_id % 3 <> 0"))
+
+
 @query(f"WITH {scored_sql()}, {_CACHE} SELECT id, label FROM rows WHERE id IN (SELECT id FROM cache)")
 def scored_semi(spark, sf_dir):
     return joins.scored(rows(spark, sf_dir), scored(spark, sf_dir).where("doc_id % 3 <> 0")).select("id", "label")
@@ -366,6 +382,13 @@ def chunk_max(spark, sf_dir):
     return chunking.folded(parts)
 
 
+@query(f"""WITH {rows_sql()}, parts AS (SELECT id, unnest({_SENTENCES}) AS chunk FROM (SELECT id, doc AS text FROM rows)), m AS (SELECT id, max(length(chunk) // 4) AS v FROM parts GROUP BY id)
+SELECT count(v) AS "rows", CAST(sum(v) AS BIGINT) AS total FROM m""")
+def token_maxima(spark, sf_dir):
+    parts = rows(spark, sf_dir).select("id", F.explode(chunking.sentences(F.col("doc"))).alias("chunk"))
+    return audit.largest_summed(parts.select("id", F.floor(F.length("chunk") / 4).alias("tokens")), "tokens")
+
+
 @query()
 def packed_chunks(spark, sf_dir):
     parts = chunking.exploded(rows(spark, sf_dir).select("id", "claim", "doc"), chunking.packed(F.col("doc"), 100)).select("id", "claim", "chunk_index", "chunk")
