@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A name that ends in a dotted version.
+PINNED = re.compile(r"-\d+(?:\.\d+)+$")
+
 
 def uncovered(rows: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
     """Keys that only one side has."""
@@ -46,3 +50,24 @@ def tampered(found: DataFrame, expected: dict[str, str]) -> DataFrame:
     want = found.sparkSession.createDataFrame(list(expected.items()) or [("", "")], "name string, want string").where("name <> ''")
     have = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "sha256")
     return want.join(have, "name", "left").where(~F.col("want").eqNullSafe(F.col("sha256"))).select("name", "want", F.col("sha256").alias("have"))
+
+
+def unchanged(before: str | None, now: str, what: str) -> bool:
+    """Whether the digest of what a fit was made from is known and the same; another one is refused with an error."""
+    if before is not None and before != now:
+        raise ValueError(f"{what} is not what it was when the fit was made; remove the fit to make it anew")
+    return before is not None
+
+
+def resolved(answers: DataFrame, requested: str, before: str | None = None, model: str = "model") -> DataFrame:
+    """The answers with a column refused: null, or why an answer's model is not the one of this run.
+
+    before: the model that earlier answers of the run resolved to. A requested name that ends in a version is to be answered
+    by that very model; another is an alias, which the run's first answers resolve for all later ones.
+    """
+    why = F.when(F.col(model).isNull(), "no model")
+    if before is not None:
+        why = why.when(F.col(model) != before, "another model than before")
+    if PINNED.search(requested):
+        why = why.when(F.col(model) != requested, "another model than the pinned one")
+    return answers.withColumn("refused", why)
