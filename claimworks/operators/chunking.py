@@ -16,16 +16,21 @@ def sentences(text: Column) -> Column:
 
 def packed(text: Column, limit: int) -> Column:
     """Chunks of whole sentences with up to limit words; a longer sentence is a chunk alone. An empty text has none."""
+    return packs(F.transform(sentences(F.coalesce(text, F.lit(""))), lambda s: F.struct(s.alias("s"), F.size(F.split(s, r"\s+")).alias("n"))), limit)
+
+
+def packs(parts: Column, limit: int) -> Column:
+    """packed() of sentences that are given with their words: an array of s, n."""
     empty = F.struct(F.lit("").alias("chunk"), F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("done"))
 
-    def add(a: Column, s: Column) -> Column:
-        n = F.size(F.split(s, r"\s+"))
+    def add(a: Column, x: Column) -> Column:
+        s, n = x["s"], x["n"]
         fits = (a["n"] == 0) | (a["n"] + n <= limit)
         grown = F.struct(F.when(a["n"] == 0, s).otherwise(F.concat_ws(" ", a["chunk"], s)).alias("chunk"), (a["n"] + n).alias("n"), a["done"].alias("done"))
         fresh = F.struct(s.alias("chunk"), n.alias("n"), F.concat(a["done"], F.array(a["chunk"])).alias("done"))
         return F.when(fits, grown).otherwise(fresh)
 
-    return F.aggregate(sentences(F.coalesce(text, F.lit(""))), empty, add, lambda a: F.when(a["n"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["chunk"]))))
+    return F.aggregate(parts, empty, add, lambda a: F.when(a["n"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["chunk"]))))
 
 
 def exploded(rows: DataFrame, chunks: Column) -> DataFrame:

@@ -758,3 +758,6 @@ def leaderboard_means(spark, sf_dir):
 def scoring_totals(spark, sf_dir):
     asked = ["support", "unsupported"]
     return scoring.totals(scoring.scored(rows(spark, sf_dir), scoring.hash_scorer(asked), asked)).drop("median_seconds")
+
+
+from claimworks.plans import corpora, feeds  # noqa: E402, F401 - registers their queries

@@ -3,14 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
-from claimworks.sources import schemas
+from claimworks.sources import arrow_streams, schemas
 
 
 def benchmark(spark: SparkSession, path: str, split: str = "dev") -> DataFrame:
@@ -58,15 +55,27 @@ def user_rows(rows: DataFrame) -> DataFrame:
     return named.select(F.col("_id").alias("id"), F.coalesce(col("dataset"), F.lit("all")).alias("dataset"), need(col("doc", "document"), "document").alias("doc"), need(col("claim"), "claim").alias("claim"), _flag(F.col("label")).alias("label"))
 
 
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """number (from 0), line of a text file or a folder's files, by name: a file may be read by many tasks.
+
+    A task knows where its block starts in the file and the order of its lines; the lines of earlier blocks are added up, one
+    count for each block.
+    """
+    own = spark.read.text(path).select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_m"), F.col("value").alias("line"))
+    blocks = own.groupBy("_file", "_block").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each block
+    return own.join(F.broadcast(blocks.select("_file", "_block", (before - F.col("_first")).alias("_shift"))), ["_file", "_block"]).select((F.col("_m") + F.col("_shift")).alias("number"), "line")
+
+
 def cache(spark: SparkSession, path: str, identity: dict, schema: StructType) -> DataFrame:
     """Records of a cache whose first line holds the identity of the run; another identity is refused, a key's last record counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("pos", "line")).where(F.trim("line") != "")
-    head = lines.orderBy("pos").limit(1).collect()
-    if not head or json.loads(head[0].line).get("identity") != identity:
+    numbered_lines = lines(spark, path)
+    head = spark.read.text(path).head(1)
+    if not head or json.loads(head[0].value).get("identity") != identity:
         raise ValueError(f"{path} belongs to another run")
-    records = lines.where(F.col("pos") > head[0].pos).select("pos", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
+    records = numbered_lines.where((F.col("number") > 0) & (F.trim("line") != "")).select("number", F.from_json("line", schema, {"mode": "FAILFAST"}).alias("r"))
     key = schema.fields[0].name
-    return records.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "pos").alias("r")).select("r.*")
+    return records.groupBy(F.col(f"r.{key}").alias(key)).agg(F.max_by("r", "number").alias("r")).select("r.*")
 
 
 def claims(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
@@ -91,61 +100,10 @@ def fingerprints(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-class _Batch(InputPartition):
-    def __init__(self, path: str, index: int):
-        super().__init__(index)
-        self.path, self.index = path, index
-
-
-class _StreamReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[_Batch]:
-        import pyarrow as pa
-
-        with pa.OSFile(self.path, "rb") as f:
-            return [_Batch(self.path, i) for i, _ in enumerate(pa.ipc.open_stream(f))]
-
-    def read(self, partition: _Batch) -> Iterator:
-        import pyarrow as pa
-
-        with pa.OSFile(partition.path, "rb") as f:
-            for i, batch in enumerate(pa.ipc.open_stream(f)):
-                if i == partition.index:
-                    yield batch
-                    return
-
-
-class ArrowStream(DataSource):
-    """Arrow IPC stream files, a partition for each record batch: spark.read.format("arrow_stream").load(path).
-
-    The path is opened by Python, so it must be one that the driver and all executors share.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "arrow_stream"
-
-    def schema(self) -> StructType:
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import from_arrow_schema
-
-        with pa.OSFile(self._path, "rb") as f:
-            return from_arrow_schema(pa.ipc.open_stream(f).schema)
-
-    def reader(self, schema: StructType) -> DataSourceReader:
-        return _StreamReader(self._path)
-
-    @property
-    def _path(self) -> str:
-        return self.options["path"].removeprefix("file://")
-
-
 def table(spark: SparkSession, path: str) -> DataFrame:
     """An Arrow stream by its ending, Parquet otherwise."""
     if path.endswith(".arrow"):
-        spark.dataSource.register(ArrowStream)
+        arrow_streams.register(spark)
         return spark.read.format("arrow_stream").load(path)
     return spark.read.parquet(path)
 
