@@ -75,15 +75,16 @@ class Node:
     left: Node | None = None
     right: Node | None = None
 
-    def below(self, keys: list[Column], leaves: bool = False) -> Column:
-        """The number of the leaf that a row falls into."""
+    def below(self) -> str:
+        """The number of the leaf that a row falls into, as SQL."""
         if self.left is None:
-            return F.lit(self.first)
-        mine = [keys[self.dimension], *keys[-len(self.at) + 1 :]]
-        before = F.lit(False)
-        for key, value in reversed(list(zip(mine, self.at))):
-            before = (key < value) | ((key == value) & before)
-        return F.when(before, self.left.below(keys)).otherwise(self.right.below(keys))
+            return str(self.first)
+        before = "false"
+        for key, value in reversed(list(zip((f"d{self.dimension}", *_TIES), self.at))):
+            before = f"{key} < {value}" if before == "false" else f"({key} < {value} OR {key} = {value} AND ({before}))"
+            if value == 0:  # no key is less than 0
+                before = "false" if before.endswith("< 0") else before
+        return f"CASE WHEN {before} THEN {self.left.below()} ELSE {self.right.below()} END"
 
 
 _TIES = ("by_text", "by_id", "by_row")
@@ -104,36 +105,35 @@ class _Search:
     width: int = 1
 
 
-def _searched(points: DataFrame, number: Column, keys: list[Column], searches: list[_Search], close: float) -> None:
-    """Narrows all searches down at once, until each has its split."""
-    ties = keys[-len(_TIES) :]
+def _searched(points: DataFrame, searches: list[_Search], close: float) -> None:
+    """Narrows all searches down at once, until each has its split. points: with their node."""
     active = list(searches)
     while active:
-        bin_of = F.lit(None).cast("long")
         for s in active:
             s.width = -(-(s.high - s.low + 1) // max(2, BINS // len(active)))
-            order = [keys[s.dimension], *ties]
-            inside = (number == s.node.first) & order[s.stage].between(s.low, s.high)
-            for key, value in zip(order, s.fixed):
-                inside = inside & (key == value)
-            bin_of = F.when(inside, F.floor((order[s.stage] - s.low) / F.lit(s.width)).cast("long")).otherwise(bin_of)
-        sums = points.select(number.alias("node"), bin_of.alias("bin"), "size").where("bin is not null").groupBy("node", "bin").agg(F.sum("size").alias("bytes")).collect()  # BINS at most
-        found: dict[int, list[tuple[int, int]]] = {}
+        rows = [(s.node.first, s.dimension, s.stage, s.low, s.high, s.width, *(list(s.fixed) + [None] * 4)[:3]) for s in active]
+        asked = F.broadcast(points.sparkSession.createDataFrame(rows, "node int, dimension int, stage int, low long, high long, width long, f0 long, f1 long, f2 long"))  # a row for each node
+        dimensions = [c for c in points.columns if c[0] == "d" and c[1:].isdigit()]
+        wide = f"element_at(array({', '.join(dimensions)}), dimension + 1)"
+        key = f"CASE stage WHEN 0 THEN {wide} WHEN 1 THEN by_text WHEN 2 THEN by_id ELSE by_row END"
+        near = points.join(asked, "node").where(f"(f0 IS NULL OR f0 = {wide}) AND (f1 IS NULL OR f1 = by_text) AND (f2 IS NULL OR f2 = by_id)")
+        near = near.select("node", "size", "low", "high", "width", F.expr(key).alias("key")).where("key BETWEEN low AND high")
+        sums = near.groupBy("node", F.expr("(key - low) div width").alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.min("key").alias("low"), F.max("key").alias("high")).collect()  # BINS at most
+        found: dict[int, list[tuple[int, int, int, int, int]]] = {}
         for r in sums:
-            found.setdefault(r.node, []).append((r.bin, r.bytes))
+            found.setdefault(r.node, []).append((r.bin, r.bytes, r.n, r.low, r.high))
         going = []
         for s in active:
             total = s.before
-            for b, n in sorted(found[s.node.first]):
+            for _, n, points_in, low, high in sorted(found[s.node.first]):
                 if total + n >= s.want:
                     break
                 total += n
-            s.before = total
-            s.low, s.high = s.low + b * s.width, min(s.low + (b + 1) * s.width - 1, s.high)
-            rest = s.want - s.before
-            if s.low < s.high and n > close:
+            s.before, s.low, s.high = total, low, high
+            rest, more = s.want - s.before, n > close and points_in > 1
+            if s.low < s.high and more:
                 going.append(s)
-            elif n > close and s.stage < len(_TIES):
+            elif more and s.stage < len(_TIES):
                 s.stage, s.fixed, s.low, s.high = s.stage + 1, (*s.fixed, s.low), 0, _TOP
                 going.append(s)
             else:  # the range goes to the side that leaves less over
@@ -143,15 +143,14 @@ def _searched(points: DataFrame, number: Column, keys: list[Column], searches: l
 
 def tree(points: DataFrame, dimensions: int, shards: int) -> Node:
     """points: size, d0 ... and the ties. The k-d tree whose leaves are the shards."""
-    keys = [F.col(f"d{i}") for i in range(dimensions)] + [F.col(t) for t in _TIES]
     root = Node(0, shards)
     level = [root]
     total = points.agg(F.sum("size")).first()[0] or 0
     close = total / shards / CLOSE
     while level := [n for n in level if n.shards > 1]:
-        number = root.below(keys)
+        placed = points.withColumn("node", F.expr(root.below()))
         spread = [f(f"d{i}").alias(f"{n}{i}") for i in range(dimensions) for n, f in (("low", F.min), ("high", F.max))]
-        stats = {r.node: r for r in points.select(number.alias("node"), "size", *[f"d{i}" for i in range(dimensions)]).groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()}  # a row for each node
+        stats = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *spread).collect()}  # a row for each node
         searches = []
         for node in level:
             few = node.shards // 2
@@ -163,7 +162,7 @@ def tree(points: DataFrame, dimensions: int, shards: int) -> Node:
             widest = max(range(dimensions), key=lambda i: r[f"high{i}"] - r[f"low{i}"])
             node.dimension = widest
             searches.append(_Search(node, r.bytes * few / node.shards, widest, r[f"low{widest}"], r[f"high{widest}"]))
-        _searched(points, number, keys, searches, close)
+        _searched(placed, searches, close)
         level = [child for node in level for child in (node.left, node.right)]
     return root
 
@@ -175,16 +174,12 @@ def _keyed(docs: DataFrame, dimensions: Dimensions) -> tuple[DataFrame, list[str
     return keyed, ["size", *[f"d{i}" for i in range(len(chosen))], *_TIES]
 
 
-def _keys(names: list[str]) -> list[Column]:
-    return [F.col(c) for c in names if c != "size"]
-
-
 def shards(docs: DataFrame, n: int = SHARDS, dimensions: Dimensions = Dimensions()) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot (the place within the shard, by doc_id) of every document."""
     keyed, names = _keyed(docs, dimensions)
     points = cut(keyed.select("doc_id", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), *names))
     found = tree(points, len(names) - 1 - len(_TIES), n)
-    placed = points.select("doc_id", "size", "text_crc32", found.below(_keys(names)).cast("int").alias("shard"), "by_row")
+    placed = points.select("doc_id", "size", "text_crc32", F.expr(found.below()).cast("int").alias("shard"), "by_row")
     return ranked(placed, ["shard", "doc_id", "text_crc32", "by_row"], "shard", "slot").drop("by_row")
 
 
@@ -192,7 +187,7 @@ def write(docs: DataFrame, folder: str, n: int = SHARDS, dimensions: Dimensions
     """Writes the documents with all their columns, a folder for each shard, large shards as several files."""
     keyed, names = _keyed(docs.select(F.struct(*docs.columns).alias("_row"), *dict.fromkeys(["doc_id", "text", *dimensions.names, *dimensions.numbers, *dimensions.logs])), dimensions)
     found = tree(cut(keyed.select(*names)), len(names) - 1 - len(_TIES), n)
-    keyed.select("_row", found.below(_keys(names)).alias("shard")).hint("rebalance", "shard").select("_row.*", "shard").write.partitionBy("shard").parquet(folder)
+    keyed.select("_row", F.expr(found.below()).alias("shard")).hint("rebalance", "shard").select("_row.*", "shard").write.partitionBy("shard").parquet(folder)
 
 
 def op13_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
