@@ -1,16 +1,22 @@
 """Main text of web pages from parser events: text-to-tag ratio by line, smoothed and clustered.
 
 The parser of the standard library streams a page's events. Text gathers into lines, one for each block element's stretch of
-text, and each line counts the tags that its stretch held. A line's ratio is its characters by its tags. What elements say
-only lowers it: to nothing within menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and in
-blocks that are links alone; to a part outside the page's article and main elements, where it has them, and for a line that
-is one link. An element that is named by its class or id alone is taken at its word only if it isn't the layout around the text: if it
-holds the page's main or article elements, or by far the most of the text, and is not named for notices and the like alone, it stays.
+text, and each line counts the tags that its stretch held. A line's ratio is its characters by its tags. Elements lower it: to
+nothing within menus, headers, footers, sidebars, notices, adverts, forms and reader comments, and for menus of links outside
+the page's articles; to a part outside the page's article and main elements, where it has them, and for a line that is one
+link. Controls and scripts within a line are left out of it without cutting it.
+
+Classes and ids say something of containers only, never of headings, paragraphs, list items, cells or what stands in a line. A
+container that is named for notices, adverts, menus or remarks alone is left out, unless it is the layout around the text: if it
+holds the page's main or article elements, or by far the most of the text, it stays. One whose name says something else too
+(related-work, section-header) only has its lines' ratios lowered if it stands in an article.
 
 The ratios are smoothed with a Gaussian and split into two clusters (two means of their logarithms). The lines of the upper
 cluster select the content region: the articles and main, if these hold the most of what was selected, or else the innermost block element
 that holds two thirds of it. With that region goes text that stands beside it as plain text elements (a title, a byline, a
-closing list), and lines of the upper cluster elsewhere that are about as long as the region's. Of the region every line is content whose ratio is not nothing.
+closing list), and lines of the upper cluster elsewhere that stand together with others of it. Of the region every line is
+content whose ratio is not nothing, but those of doubtful containers only in the upper cluster, and lists of links without an
+article only between other content.
 
 Defined results: null and empty pages have no text; character references are decoded; white space within a line becomes one
 space; lines keep the order of the page; a page whose lines are all in left-out elements has no text; repeated rows give
@@ -20,6 +26,7 @@ repeated rows; an empty table gives an empty table; further columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter, defaultdict
 from collections.abc import Callable
 from html.parser import HTMLParser
 
@@ -32,13 +39,15 @@ from claimworks.llm import _tables
 SIGMA = 1.0
 #: What is left of a ratio outside article and main elements, and of that of a line that is one link.
 OUTSIDE, LINKED = 0.25, 0.25
-#: Share of the selected text that the region holds at least; least length of lines that count elsewhere, of the region's median
-#: and in characters: a sentence or two, as a shorter line by itself is a notice rather than a paragraph.
-SHARE, LIKE, LEAST = 2 / 3, 0.75, 80
+#: What is left of a ratio in a container within an article whose name is doubtful.
+DOUBTFUL = 0.5
+#: Share of the selected text that the region holds at least.
+SHARE = 2 / 3
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
-_SILENT = frozenset("head title script style noscript template iframe svg math canvas object audio video map button select option textarea label legend datalist nav aside form footer header menu dialog".split())
+_SILENT = frozenset("head title legend nav aside form footer header menu dialog".split())
+_MUTE = frozenset("script style noscript template iframe svg math canvas object audio video map button select option textarea label datalist".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form status".split())
 _NAMES = frozenset(
@@ -46,12 +55,13 @@ _NAMES = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager toolbar "
     "header masthead topbar footer copyright sidebar sidebars rail widget widgets related recommended recommendations "
     "cookie cookies consent gdpr notice notices notification popup modal overlay alert paywall "
-    "comment comments commentlist disqus replies respond "
+    "comment comments commentlist disqus replies respond responses "
     "share sharing social newsletter subscribe subscription signup login search skip".split()
 )
 _STATES = frozenset("has no with without".split())
-_REMARKS = frozenset("comment comments commentlist disqus replies respond".split())
+_REMARKS = frozenset("comment comments commentlist disqus replies respond responses".split())
 _TEXT = _HEADINGS | frozenset("p li dt dd ul ol dl blockquote pre figure figcaption caption address thead tbody tr th".split())
+_UNNAMED = _HEADINGS | frozenset("html body p li dt dd tr td th caption figcaption pre blockquote address".split())
 _OWN_CLOSE = {"p": frozenset(["p"]), "li": frozenset(["li", "p"]), "dt": frozenset(["dt", "dd", "p"]), "dd": frozenset(["dt", "dd", "p"]), "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"])}
 _STOP_CLOSE = frozenset("ul ol dl table tbody thead tfoot div section article main body blockquote".split())
 _SPLIT = re.compile(r"[^a-z0-9]+").split
@@ -81,36 +91,59 @@ def _named(attributes) -> set[str]:
 
 
 class Lines(HTMLParser):
-    """Gathers (text, tags, region, left out, place, named) of each line; region: number of the outermost article or main, 0
-    outside; place: number of the block element, 0 for the page, and the line's links if it is nothing else; named: the innermost
-    element around it that is left out for its names alone, 0 if none is."""
+    """Gathers (text, tags, region, left out, place, named, doubtful) of each line; region: number of the outermost article or
+    main, 0 outside; place: number of the block element, 0 for the page, and the line's links if it is nothing else; named: the
+    innermost element around it that is left out for its names alone, 0 if none is; doubtful: whether its container's name is."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int, bool, tuple[int, int], int]] = []
+        self.lines: list[tuple[str, int, int, bool, tuple[int, int], int, bool]] = []
         self.blocks: list[tuple[int, str]] = [(0, "")]  # the block element around it, element
         self.named: list[tuple[int, bool, bool]] = [(0, False, False)]  # the named element around it, whether it may be layout, or remarks
         self.mains: list[int] = []  # the named element around each main
-        self._open: list[tuple[str, bool, int, int, int]] = []  # element, left out, region, named, block element
-        self._out, self._region, self._regions, self._name, self._block = False, 0, 0, 0, 0
+        self._open: list[tuple[str, bool, int, int, int, bool, bool]] = []  # element, left out, region, named, block element, doubtful, mute
+        self._at: dict[str, list[int]] = defaultdict(list)  # where each element is open
+        self._stops: list[int] = []  # where an element is open that others' ends do not reach across
+        self._outs, self._names = Counter(), Counter()  # open elements that are left out, or named
+        self._now = (False, 0, 0, 0, False, False)  # left out, region, named, block element, doubtful, mute
+        self._regions = 0
         self._text: list[str] = []
+        self._line: tuple | None = None  # self._now where the line began
         self._link, self._plain, self._links = False, False, 0  # within a link; whether the line has text outside links; its links
         self._tags = 0
 
     def _end_line(self) -> None:
         text = _SPACE(" ", "".join(self._text)).strip()
         if text:
-            links = 0 if self._plain or self.blocks[self._block][1] in _HEADINGS else max(1, self._links)
-            self.lines.append((text, self._tags, self._region, self._out, (self._block, links), self._name))
+            out, region, name, block, doubtful, _ = self._line
+            links = 0 if self._plain or self.blocks[block][1] in _HEADINGS else max(1, self._links)
+            self.lines.append((text, self._tags, region, out, (block, links), name, doubtful))
             self._tags = 0
-        self._text, self._plain, self._links = [], False, 0
+        self._text, self._line, self._plain, self._links = [], None, False, 0
+
+    def _push(self, tag: str, now: tuple) -> None:
+        if tag in _STOP_CLOSE:
+            self._stops.append(len(self._open))
+        self._at[tag].append(len(self._open))
+        self._outs[tag] += now[0]
+        self._names[tag] += now[2] > 0
+        self._open.append((tag, *now))
+        self._now = now
 
     def _pop(self, n: int) -> None:
-        self._end_line()
-        if self._open[n][0] not in _INLINE:
+        """Closes the element at a place and all within it."""
+        within = self._open[n:]
+        if any(x[0] not in _INLINE and not x[6] for x in within):
+            self._end_line()
             self._link = False
+        for x in reversed(within):
+            self._at[x[0]].pop()
+            self._outs[x[0]] -= x[1]
+            self._names[x[0]] -= x[3] > 0
+        while self._stops and self._stops[-1] >= n:
+            self._stops.pop()
         del self._open[n:]
-        _, self._out, self._region, self._name, self._block = self._open[-1] if self._open else ("", False, 0, 0, 0)
+        self._now = self._open[-1][1:] if self._open else (False, 0, 0, 0, False, False)
 
     def handle_starttag(self, tag, attrs):
         self._tags += 1
@@ -120,49 +153,55 @@ class Lines(HTMLParser):
             elif tag == "hr":
                 self._end_line()
             return
+        out, region, name, block, doubtful, mute = self._now
         if tag in _INLINE:
             if tag == "a":
                 self._link = True
-                self._links += 1
-            if attrs and (_barred(attrs) or _named(attrs)):
-                self._end_line()
-                self._open.append((tag, True, self._region, self._name, self._block))
-                self._out = True
+                self._links += not mute
+            if attrs and _barred(attrs):
+                self._push(tag, (out, region, name, block, doubtful, True))
+            return
+        blocks = tag in _TEXT or tag in _STOP_CLOSE
+        if tag in _MUTE or mute and not blocks:
+            self._push(tag, (True, region, name, block, doubtful, True))
+            return
+        if not mute:
+            self._end_line()
+        closes = max((self._at[t][-1] for t in _OWN_CLOSE.get(tag, _OWN_CLOSE["p"]) if self._at[t]), default=-1)
+        if closes > (self._stops[-1] if self._stops else -1):
+            self._pop(closes)
+            out, region, name, block, doubtful, mute = self._now
+        if mute and tag not in ("article", "main"):
+            self._push(tag, (True, region, name, block, doubtful, True))
             return
-        self._end_line()
-        closes = _OWN_CLOSE.get(tag, _OWN_CLOSE["p"])
-        for n in range(len(self._open) - 1, -1, -1):
-            if self._open[n][0] in closes:
-                self._pop(n)
-                break
-            if self._open[n][0] in _STOP_CLOSE:
-                break
-        out, region, name = self._out, self._region, self._name
         if tag in ("article", "main"):
             around = {"nav", "header", "form", "label", "p", "ul", "li"}  # an element left open, or a form around the page
-            if {x[0] for x in self._open if x[1]} <= around:
-                out = False
-                if {x[0] for x in self._open if x[3]} <= around:
+            if {t for t, n in self._outs.items() if n} <= around:
+                out = mute = False
+                if {t for t, n in self._names.items() if n} <= around:
                     name = 0
             if not out:
+                self._end_line()
                 if tag == "main":
                     self.mains.append(name)
                 if not region:
                     self._regions += 1
                     region = self._regions
-        elif tag in _HEADINGS and out and region and self._open and self._open[-1][0] == "header" and sum(x[1] for x in self._open) == 1:
+        elif tag in _HEADINGS and out and region and self._open and self._open[-1][0] == "header" and sum(self._outs.values()) == 1:
             out = False  # the title in an article's own header
         elif tag in _SILENT or attrs and tag not in ("html", "body") and _barred(attrs):
             out = True
-        elif attrs and not out and tag not in ("html", "body") and (words := _named(attrs)):
+        elif attrs and not out and tag not in _UNNAMED and (words := _named(attrs)):
             remarks = not _REMARKS.isdisjoint(words)
-            self.named.append((name, not remarks and not words <= _NAMES, remarks))
-            name = len(self.named) - 1
+            if region and not remarks and not words <= _NAMES:
+                doubtful = True
+            else:
+                self.named.append((name, not remarks and not words <= _NAMES, remarks))
+                name = len(self.named) - 1
         if tag not in ("html", "body"):
-            self.blocks.append((self._block, tag))
-            self._block = len(self.blocks) - 1
-        self._open.append((tag, out, region, name, self._block))
-        self._out, self._region, self._name = out, region, name
+            self.blocks.append((block, tag))
+            block = len(self.blocks) - 1
+        self._push(tag, (out, region, name, block, doubtful, mute))
 
     def handle_startendtag(self, tag, attrs):
         if tag in _VOID:
@@ -174,26 +213,26 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag):
         self._tags += 1
         self._link = self._link and tag != "a"
-        if tag in _INLINE and not any(x[0] == tag for x in self._open):
-            return
-        for n in range(len(self._open) - 1, -1, -1):
-            if self._open[n][0] == tag:
-                self._pop(n)
-                return
-        if tag == "p":
+        if self._at[tag]:
+            self._pop(self._at[tag][-1])
+        elif tag == "p":
             self._end_line()
 
     def handle_data(self, data):
+        if self._now[5]:
+            return
+        if self._line is None and data.strip():
+            self._line = self._now
         self._text.append(data)
         if not self._link and not self._plain:
             self._plain = bool(data.strip())
 
-    def finish(self) -> list[tuple[str, int, int, bool, tuple[int, int]]]:
-        """(text, tags, region, left out, place) of each line; place: its block element, and its links if it is nothing else."""
+    def finish(self) -> list[tuple[str, int, int, bool, tuple[int, int], bool]]:
+        """(text, tags, region, left out, place, doubtful) of each line; place: its block element, and its links if it is nothing else."""
         self.close()
         self._end_line()
         layout = self._layout()
-        return [(text, tags, region, out or name not in layout, place) for text, tags, region, out, place, name in self.lines]
+        return [(text, tags, region, out or name not in layout, place, doubtful) for text, tags, region, out, place, name, doubtful in self.lines]
 
     def totals(self, values: list[tuple[int, float]]) -> list[float]:
         """For each block element the sum of what stands in it; values: (block element, value)."""
@@ -212,6 +251,12 @@ class Lines(HTMLParser):
             out[n] = out[self.blocks[n][0]]
         return out
 
+    def holder(self, block: int) -> int:
+        """The block element that a piece of text stands in, other than pieces of text."""
+        while block and self.blocks[block][1] in _TEXT:
+            block = self.blocks[block][0]
+        return block
+
     def core(self, mass: list[tuple[int, float]], share: float) -> int:
         """The innermost block element, other than a piece of text, that holds so much of the mass."""
         held = self.totals(mass)
@@ -236,7 +281,7 @@ class Lines(HTMLParser):
     def _layout(self) -> set[int]:
         """The named elements that hold the page's text, and 0."""
         size, within, regions = [0] * len(self.named), [0] * len(self.named), set()  # characters, of these in articles
-        for text, _, region, out, _, name in self.lines:
+        for text, _, region, out, _, name, _ in self.lines:
             if not out:
                 size[name] += len(text)
                 if region:
@@ -270,7 +315,7 @@ class Lines(HTMLParser):
             kept += keep(found)
 
 
-def parsed(html: str) -> tuple[Lines, list[tuple[str, int, int, bool, tuple[int, int]]]]:
+def parsed(html: str) -> tuple[Lines, list[tuple[str, int, int, bool, tuple[int, int], bool]]]:
     parser = Lines()
     try:
         parser.feed(html)
@@ -304,13 +349,13 @@ def threshold(smooth: np.ndarray) -> float:
 
 def menus(parser: Lines, lines: list) -> list[bool]:
     """Which lines are links alone, several in the line or in a block of little else."""
-    texts = parser.totals([(place[0], len(text)) for text, _, _, _, place in lines])
-    linked = parser.totals([(place[0], len(text)) for text, _, _, _, place in lines if place[1]])
-    counts = parser.totals([(place[0], 1) for _, _, _, _, place in lines if place[1]])
+    texts = parser.totals([(place[0], len(text)) for text, _, _, _, place, _ in lines])
+    linked = parser.totals([(place[0], len(text)) for text, _, _, _, place, _ in lines if place[1]])
+    counts = parser.totals([(place[0], 1) for _, _, _, _, place, _ in lines if place[1]])
     listed = [False] * len(texts)
     for n in range(1, len(texts)):
         listed[n] = listed[parser.blocks[n][0]] or counts[n] > 1 and linked[n] > 0.8 * texts[n]
-    return [place[1] > 1 or place[1] > 0 and listed[place[0]] for _, _, _, _, place in lines]
+    return [place[1] > 1 or place[1] > 0 and listed[place[0]] for _, _, _, _, place, _ in lines]
 
 
 def main_text(html: str | None, sigma: float = SIGMA) -> str:
@@ -318,27 +363,38 @@ def main_text(html: str | None, sigma: float = SIGMA) -> str:
     parser, lines = parsed(html) if html else (None, [])
     if not lines:
         return ""
-    regions = any(region and not out for _, _, region, out, _ in lines)
-    ratio = np.array([len(text) / max(1, tags) * (not out) * (OUTSIDE if regions and not region else 1) * (LINKED if place[1] else 1) for text, tags, region, out, place in lines])
-    ratio[menus(parser, lines)] = 0
+    region, out = (np.array([line[i] for line in lines]) for i in (2, 3))
+    doubtful = np.array([line[5] for line in lines])
+    regions = bool((region[~out] > 0).any())
+    ratio = np.array([len(text) / max(1, tags) * (LINKED if place[1] else 1) for text, tags, _, _, place, _ in lines])
+    ratio *= np.where(regions & (region == 0), OUTSIDE, 1) * np.where(doubtful, DOUBTFUL, 1) * ~out
+    menu = np.array(menus(parser, lines)) & (region == 0)
+    listed = ratio > 0
+    ratio[menu] = 0
     content = ratio > 0
     if not content.any():
         return ""
     smooth = smoothed(ratio, sigma)
-    above = content & (smooth >= threshold(smooth))
+    level = threshold(smooth)
+    above = content & (smooth >= level)
     if not above.any():
         above = content
-    chosen = [(i, len(lines[i][0]) * (OUTSIDE if regions and not lines[i][2] else 1)) for i in np.flatnonzero(above).tolist()]
-    if 2 * sum(mass for i, mass in chosen if lines[i][2]) > sum(mass for _, mass in chosen):
-        kept = [region > 0 for _, _, region, _, _ in lines]
+    chosen = [(i, len(lines[i][0]) * (OUTSIDE if regions and not region[i] else 1)) for i in np.flatnonzero(above).tolist()]
+    if 2 * sum(mass for i, mass in chosen if region[i]) > sum(mass for _, mass in chosen):
+        kept = content & (region > 0)
     else:
         core = parser.core([(lines[i][4][0], mass) for i, mass in chosen], SHARE)
         inside, beside = parser.inside(core), parser.beside(core)
-        lengths = [len(lines[i][0]) for i, _ in chosen]
-        usual = max(LEAST, LIKE * float(np.median([n for n, (i, _) in zip(lengths, chosen) if inside[lines[i][4][0]]])))
-        like = {i for n, (i, _) in zip(lengths, chosen) if n >= usual}
-        kept = [inside[place[0]] or beside[place[0]] or i in like for i, (_, _, _, _, place) in enumerate(lines)]
-    return "\n".join(line[0] for line, keep, some in zip(lines, kept, content.tolist()) if keep and some)
+        holders = [parser.holder(line[4][0]) for line in lines]
+        several = Counter(holders[i] for i, _ in chosen)
+        like = {i for i, _ in chosen if several[holders[i]] > 1}
+        within = np.array([inside[line[4][0]] for line in lines])
+        kept = content & (within | np.array([beside[line[4][0]] or i in like for i, line in enumerate(lines)]))
+        places = np.flatnonzero(kept & within)
+        if len(places):  # lists of links between other content
+            kept |= menu & listed & within & (np.arange(len(lines)) > places[0]) & (np.arange(len(lines)) < places[-1])
+    kept &= ~doubtful | (smooth >= level)
+    return "\n".join(line[0] for line, keep in zip(lines, kept.tolist()) if keep)
 
 
 def extract(pages: DataFrame, *, sigma: float = SIGMA) -> DataFrame:

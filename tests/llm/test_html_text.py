@@ -125,6 +125,42 @@ def test_generated_pages(sf_dir):
         assert h.main_text(page) == "\n".join(filter(None, blocks))
 
 
+CASES = [
+    ('<h2 id="sharing-data">Sharing data</h2>', "Sharing data"), ('<h2 id="related-work">Related work</h2>', "Related work"), ('<h2 class="section-header">Head</h2>', "Head"), ('<p id="search-1">We searched.</p>', "We searched."),
+    ('<section class="related-work"><h2>Others</h2><p>' + "Others did this. " * 10 + "</p></section>", "Others\n" + ("Others did this. " * 10).strip()), ("<ul><li><a href=1>Ref one</a></li><li><a href=2>Ref two</a></li></ul>", "Ref one\nRef two"),
+    ("<p><a href=1>one link</a> <a href=2>two links</a></p>", "one link two links"), ('<p>the <span class="promo-code">X1</span> code</p>', "the X1 code"), ("<p>Price <button>Now</button> ok</p>", "Price ok"), ("<p>A <script>b()</script>c <svg><text>d</text></svg>e</p>", "A c e"),
+    ('<p>See <span hidden>this</span> that</p>', "See that"), ('<div class="ad"><p>Buy</p></div>', None), ('<div class="responses"><p>' + "I liked it. " * 40 + "</p></div>", None), ("<p>Left <button>open", "Left"),
+]
+
+
+def test_article_text_stays():
+    """Names and links say nothing of headings, paragraphs, items and what stands in a line; adverts and remarks go."""
+    first, last = ("First words here. " * 20).strip(), ("Last words here. " * 20).strip()
+    for inner, want in CASES:
+        page = f"<body><nav><a href=/>Home</a></nav><article><p>{first}</p>{inner}<p>{last}</p></article><footer>f</footer></body>"
+        assert h.main_text(page) == "\n".join(x for x in (first, want, last) if x), inner
+
+
+def test_deep_nesting_is_linear():
+    """20,000 open elements of any kind within a second or two, whatever is closed by what."""
+    import time
+
+    for deep in ("<x-a>", "<p><x-a>", "<article>", '<div class="a-ad">', "<li><i>", "<button>"):
+        began = time.process_time()
+        h.main_text(deep * 20000 + "x")
+        assert time.process_time() - began < 3, deep
+
+
+def test_pages_of_divs():
+    """The given pages with articles, menus and footers as bare div elements: nine in ten give the same text."""
+    rows = duckdb.connect().execute("select html from '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    same = 0
+    for (page,) in rows:
+        plain = re.sub(r' class="[^"]*"', "", page)
+        same += h.main_text(re.sub(r"<(/?)(?:article|nav|footer|header|aside)\b[^>]*>", r"<\1div>", plain)) == h.main_text(page)
+    assert same >= 0.92 * len(rows)
+
+
 def test_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE, "x"), (2, None, None, "y"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     got = sorted((r.page_id, r.url, r.n_chars) for r in h.extract(df).collect())
