@@ -31,18 +31,29 @@ def _rows(spark: SparkSession, path: str):
 
 
 def score(args) -> None:
-    """Scores with the stand-in model; a service or a local model takes its place as another make()."""
+    """Scores with the stand-in model, window by window; a service or a local model takes its place as another make().
+
+    A run that died is gone on with first; then what the cache does not have, failed rows too, is a round of its own.
+    """
     from claimworks.operators import joins, sampling, scoring
-    from claimworks.sources import sinks
-    from claimworks.streaming import resume
+    from claimworks.operators.lineage import exists
+    from claimworks.streaming import resume, windows
 
     spark = _session()
     place = resume.run_location(args.out, {"questions": args.questions, "data": args.data})
-    rows = sampling.interleaved(_rows(spark, args.data), ["dataset", "label"], ["id"], args.limit)
-    if resume._exists(spark, f"{place}/cache"):
-        rows = joins.pending(rows, spark.read.parquet(f"{place}/cache"))
-    done = scoring.scored(rows, scoring.hash_scorer(args.questions), args.questions, rate=args.rate)
-    sinks.append_scored(done, f"{place}/cache", f"{place}/errors")
+    done = lambda rows: scoring.scored(rows, scoring.hash_scorer(args.questions), args.questions, rate=args.rate)
+    number = 0
+    while True:
+        pending, cache = f"{place}/rounds/{number}/pending", f"{place}/cache"
+        fresh = not exists(spark, f"{pending}/_SUCCESS")
+        if fresh:
+            rows = sampling.interleaved(_rows(spark, args.data), ["dataset", "label"], ["id"], args.limit)
+            rows = joins.pending(rows, spark.read.parquet(cache)) if exists(spark, cache) else rows
+            rows.select("id", "doc", "claim").write.mode("overwrite").parquet(pending)
+        windows.score_windows(spark, pending, f"{place}/rounds/{number}", done, args.window, cache=f"{cache}/round={number}", errors=f"{place}/errors/round={number}", most=args.errors)
+        if fresh:
+            break
+        number += 1
     print(place)
 
 
@@ -77,6 +88,8 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("--questions", nargs="+", default=["support", "unsupported", "contradicted"])
     p.add_argument("--limit", type=int, default=0)
     p.add_argument("--rate", type=float)
+    p.add_argument("--window", type=int, default=10000, help="rows that are kept at a time")
+    p.add_argument("--errors", type=int, default=10, help="failed rows after which a run stops")
     p.set_defaults(run=score)
     p = commands.add_parser("report")
     p.add_argument("data")

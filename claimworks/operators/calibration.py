@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimworks.functions.scores import clipped_logit, linear
+from claimworks.operators import digests
+from claimworks.operators.checks import unchanged
+from claimworks.operators.lineage import exists
 from claimworks.operators.metrics import metrics, tuned, vetoed_mean
 
 
@@ -73,10 +77,38 @@ def transferred(development: DataFrame, test: DataFrame, score: str, fixed: floa
     return sources.groupBy(*keys, "rule", F.col("t").alias("threshold")).agg(F.round(vetoed_mean("b"), 12).alias("macro"))
 
 
+def fit_threshold(development: DataFrame, score: str, folder: str, key: str = "id") -> float:
+    """A threshold tuned on development rows, kept in a folder with what it was made from.
+
+    A second fit of the same rows gives the first one's threshold; one of other rows is refused.
+    """
+    spark = development.sparkSession
+    before = _fitted(spark, folder)
+    if before is not None:
+        unchanged(before["root"], digests.root(development, key), folder)
+        return before["threshold"]
+    made = {"root": digests.store(development, key, f"{folder}/input"), "score": score, "threshold": tuned(development, score).first().threshold}
+    spark.createDataFrame([(json.dumps(made),)], "value string").coalesce(1).write.text(f"{folder}/fit")
+    return made["threshold"]
+
+
+def apply_threshold(development: DataFrame, rows: DataFrame, folder: str, key: str = "id") -> DataFrame:
+    """rows with a column accepted by the folder's threshold, if the development rows are still those it was made from."""
+    made = _fitted(rows.sparkSession, folder)
+    if made is None:
+        raise FileNotFoundError(f"{folder}: no fit")
+    unchanged(made["root"], digests.root(development, key), folder)
+    return rows.withColumn("accepted", F.col(made["score"]) > made["threshold"])
+
+
+def _fitted(spark, folder: str) -> dict | None:
+    return json.loads(spark.read.text(f"{folder}/fit").first().value) if exists(spark, f"{folder}/fit/_SUCCESS") else None
+
+
 def largest_difference(a: DataFrame, b: DataFrame, score: str, threshold: float, key: str = "id") -> DataFrame:
     """Largest difference of two scorings, and whether they decide alike."""
     j = a.select(key, F.col(score).alias("x")).join(b.select(key, F.col(score).alias("y")), key)
     return j.agg(F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("y"))).alias("difference"), F.bool_and((F.col("x") > threshold) == (F.col("y") > threshold)).alias("same"))
 
 
-__all__ = ["fit", "largest_difference", "metrics", "one_standard_error", "out_of_fold", "spread", "transferred", "with_weights", "Fitted"]
+__all__ = ["apply_threshold", "fit", "fit_threshold", "largest_difference", "metrics", "one_standard_error", "out_of_fold", "spread", "transferred", "with_weights", "Fitted"]

@@ -45,6 +45,24 @@ def audit(**violations: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, each)
 
 
+def observed(df: DataFrame, folder: str, **conditions) -> dict[str, bool]:
+    """Writes the table and gives each condition, an aggregate over its rows, from that same pass. No rows: false where a condition is null."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, *[F.coalesce(c, F.lit(False)).alias(name) for name, c in conditions.items()]).write.parquet(folder)
+    return {name: bool(seen.get[name]) for name in conditions}
+
+
+def answered_rows(rows: DataFrame, predictions: DataFrame, key: str = "id") -> DataFrame:
+    """Every key of either side once: rows_n, predictions_n and the columns of both, those of predictions as p_ ones.
+
+    Both sides are counted by key before they meet, so all of an audit's conditions can be seen in one pass over the result.
+    """
+    side = lambda df, n, mark: df.groupBy(key).agg(F.count("*").alias(n), *[F.first(c).alias(mark + c) for c in df.columns if c != key])
+    return side(rows, "rows_n", "").join(side(predictions, "predictions_n", "p_"), key, "full_outer")
+
+
 def tampered(found: DataFrame, expected: dict[str, str]) -> DataFrame:
     """Files (path, sha256 as fingerprints() gives them) whose bytes are not those expected by file name, or that are missing."""
     want = found.sparkSession.createDataFrame(list(expected.items()) or [("", "")], "name string, want string").where("name <> ''")

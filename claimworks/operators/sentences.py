@@ -9,6 +9,8 @@ once for each kind of pair, and a text only has to look up the few pairs that ho
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +43,11 @@ def _type(core: Column) -> Column:
     return F.when(bare.rlike(NUMBER), "#").otherwise(F.lower(bare))
 
 
+def _ends(token: Column) -> Column:
+    """Whether a token can be the last of a sentence, at a glance."""
+    return F.contains(token, F.lit(".")) | F.contains(token, F.lit("!")) | F.contains(token, F.lit("?")) | F.contains(token, F.lit("…"))
+
+
 def _end(core: Column) -> Column:
     """How a token ends: m(ark), e(llipsis), n(umber), i(nitial), p(eriod), or not at all; s where there is none before."""
     ends = core.endswith(".")
@@ -52,16 +59,20 @@ def _end(core: Column) -> Column:
 
 def neighbours(found: DataFrame) -> DataFrame:
     """tokens() with end and before (how the previous token ends, and its type if with a period), typ, case, period."""
-    core, first = _core(F.col("tok")), F.substring(_core(F.col("tok")), 1, 1)
-    end = _end(_core(F.col("prev")))
-    case = F.when(first.rlike(r"^\p{Lu}"), "u").when(first.rlike(r"^\p{Ll}"), "l").otherwise("o")
-    before = F.when(F.col("end").isin("e", "n", "i", "p"), _type(_core(F.col("prev")))).otherwise("")
-    return found.withColumns({"end": end, "typ": _type(core), "case": case, "period": _end(core).isin("n", "i", "p")}).withColumn("before", before)
+    # One step after the other: each is read several times by the next and is to be worked out once.
+    cores = found.withColumns({"p": _core(F.col("prev")), "c": _core(F.col("tok"))})
+    cores = cores.withColumns({"end": _end(F.col("p")), "typ": _type(F.col("c")), "first": F.substring("c", 1, 1), "period": _end(F.col("c")).isin("n", "i", "p")})
+    before = F.when(F.col("end").isin("e", "n", "i", "p"), _type(F.col("p"))).otherwise("")
+    case = F.when(F.col("first").rlike(r"^\p{Lu}"), "u").when(F.col("first").rlike(r"^\p{Ll}"), "l").otherwise("o")
+    return cores.withColumns({"before": before, "case": case}).drop("p", "c", "first")
 
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """end, before, typ, case, period, n: kinds of neighbours and how often they are met. The one pass over the corpus."""
-    return kept(neighbours(tokens(docs, key, text)).groupBy("end", "before", "typ", "case", "period").agg(F.count("*").alias("n")))
+    # Equal pairs are counted as they are written first, so that what they are is worked out once for each; a token that ends nothing is as good as any.
+    prev = F.when(F.col("prev").isNull() | _ends(F.col("prev")), F.col("prev")).otherwise("-")
+    pairs = tokens(docs, key, text).groupBy(prev.alias("prev"), "tok").agg(F.count("*").alias("k"))
+    return kept(neighbours(pairs).groupBy("end", "before", "typ", "case", "period").agg(F.sum("k").alias("n")))
 
 
 def _single(df: DataFrame) -> DataFrame:
@@ -147,7 +158,7 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     pairs = counted(docs, key, text)
     words = kept(lexicon(pairs))
     held = kept(holding(pairs, words, kept(spelling(pairs, words))))
-    ends = neighbours(tokens(docs, key, text).where(_end(_core(F.col("prev"))).isin("m", "e", "n", "i", "p")))
+    ends = neighbours(tokens(docs, key, text).where(_ends(F.col("prev")))).where(F.col("end").isin("m", "e", "n", "i", "p"))
     cuts = ends.join(held, ["end", "before", "typ", "case"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("_cuts"))
     whole = docs.join(cuts, key, "left").withColumn("_t", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN + r"[\x09-\x0D\x20]*"), 0))
     starts = F.concat(F.array(F.lit(0)), F.coalesce("_cuts", F.expr("cast(array() as array<int>)")))
@@ -163,13 +174,21 @@ WORD_RULES = [
     (r" ([Cc]an)(not) ", r" \1 \2 "), (r" ([Dd])('ye) ", r" \1 \2 "), (r" ([Gg]im)(me) ", r" \1 \2 "), (r" ([Gg]on)(na) ", r" \1 \2 "), (r" ([Gg]ot)(ta) ", r" \1 \2 "), (r" ([Ll]em)(me) ", r" \1 \2 "),
     (r" ([Mm]or)('n) ", r" \1 \2 "), (r" ('[Tt])(is) ", r" \1 \2 "), (r" ('[Tt])(was) ", r" \1 \2 "), (r" ([Ww]an)(na) ", r" \1 \2 "),
 ]
+#: The numbers of the rules that any text may meet, and the strings without which none of the others does anything.
+OFTEN, RARE = (3, 4, 6), ("'", '"', "...", "--", "annot", "imme", "onna", "otta", "emme", "anna")
 
 
 def words(text: Column) -> Column:
     """The words of a sentence, punctuation and clitics apart."""
-    out = F.concat(F.lit("  "), F.regexp_replace(text, r"[\x09-\x0D\x20]+", "  "), F.lit("  "))
-    for pattern, to in WORD_RULES:
-        out = F.regexp_replace(out, pattern, to.replace("$", r"\$").replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+
+    def chain(rules) -> Column:
+        out = F.concat(F.lit("  "), F.regexp_replace(text, r"[\x09-\x0D\x20]+", "  "), F.lit("  "))
+        for pattern, to in rules:
+            out = F.regexp_replace(out, pattern, to.replace("$", r"\$").replace("\\1", "$1").replace("\\2", "$2").replace("\\3", "$3"))
+        return out
+
+    rare = reduce(lambda a, b: a | b, [F.contains(text, F.lit(x)) for x in RARE])
+    out = F.when(rare, chain(WORD_RULES)).otherwise(chain([WORD_RULES[i] for i in OFTEN]))
     return F.filter(F.split(out, r"[\x09-\x0D\x20]+"), lambda w: w != "")
 
 

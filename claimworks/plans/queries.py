@@ -760,4 +760,4 @@ def scoring_totals(spark, sf_dir):
     return scoring.totals(scoring.scored(rows(spark, sf_dir), scoring.hash_scorer(asked), asked)).drop("median_seconds")
 
 
-from claimworks.plans import corpora, feeds  # noqa: E402, F401 - registers their queries
+from claimworks.plans import audits, corpora, feeds  # noqa: E402, F401 - registers their queries

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from claimworks.functions.hashing import configuration_digest
 from claimworks.functions.scores import outcome
+from claimworks.operators.lineage import exists
 
 
 def run_location(root: str, identity: dict) -> str:
@@ -26,7 +27,7 @@ def score_new_files(spark: SparkSession, incoming: DataFrame, location: str, sco
     def run(batch: DataFrame, number: int) -> None:
         cache = f"{location}/cache"
         new = batch.dropDuplicates([key])
-        if _exists(spark, cache):
+        if exists(spark, cache):
             new = new.join(spark.read.parquet(cache).select(key), key, "left_anti")
         score(new).write.mode("append").parquet(cache)
 
@@ -42,8 +43,3 @@ def running_confusion(spark: SparkSession, incoming: DataFrame, accepted: Column
 
     counts.writeStream.outputMode("complete").foreachBatch(publish).option("checkpointLocation", f"{location}/confusion-checkpoint").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{location}/confusion")
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)

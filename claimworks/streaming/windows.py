@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
+from claimworks.operators.lineage import exists, kept
 from claimworks.sources.arrow_streams import opened
 
 
@@ -99,29 +100,47 @@ class RowWindows(DataSource):
 
 def planned(spark: SparkSession, checkpoint: str) -> int:
     """The last row number in a checkpoint's log of offsets, 0 if there is none."""
-    from claimworks.streaming.resume import _exists
-
-    if not _exists(spark, f"{checkpoint}/offsets"):
+    if not exists(spark, f"{checkpoint}/offsets"):
         return 0
     lines = spark.read.text(f"{checkpoint}/offsets").where("value like '{\"row\"%'").collect()  # a line for each window that the log still has
     return max((json.loads(r.value)["row"] for r in lines), default=0)
 
 
-def score_windows(spark: SparkSession, pending: str, location: str, score: Callable[[DataFrame], DataFrame], rows: int) -> None:
-    """Scores the Parquet table pending in windows of so many rows, in order, into location/cache/window=0, 1 ...
+class TooManyErrors(RuntimeError):
+    pass
+
+
+def score_windows(spark: SparkSession, pending: str, location: str, score: Callable[[DataFrame], DataFrame], rows: int, *, cache: str | None = None, errors: str | None = None, most: int = 10) -> None:
+    """Scores the Parquet table pending in windows of so many rows, in order, into cache/window=0, 1 ... (location/cache).
 
-    Ends when all rows are scored; an error in score ends the run, what was done stays, and the next call goes on there.
+    Where score gives a column error, rows that have one go to errors/window=0, 1 ... (location/errors) instead, and after a
+    window in which there have come to be more than most of them the run stops. An error in score ends the run too; what was
+    done stays either way, and the next call goes on behind it.
     """
     spark.dataSource.register(RowWindows)
     slices = max(1, spark.sparkContext.defaultParallelism)
-    checkpoint = f"{location}/windows"
+    checkpoint, failed = f"{location}/windows", 0
+    cache, errors = cache or f"{location}/cache", errors or f"{location}/errors"
     stream = spark.readStream.format("row_windows").schema(spark.read.parquet(pending).schema).option("rows", rows).option("slices", slices).option("done", planned(spark, checkpoint)).load(pending)
 
     def run(batch: DataFrame, number: int) -> None:
-        score(batch).write.mode("overwrite").parquet(f"{location}/cache/window={number}")
+        nonlocal failed
+        if failed > most:
+            raise TooManyErrors(f"{failed} rows failed")
+        found = score(batch)
+        if "error" not in found.columns:
+            found.write.mode("overwrite").parquet(f"{cache}/window={number}")
+            return
+        found = kept(found)  # scored once
+        bad = found.where("error is not null").select("id", "error")
+        found.where("error is null").drop("error").write.mode("overwrite").parquet(f"{cache}/window={number}")
+        bad.write.mode("overwrite").parquet(f"{errors}/window={number}")
+        failed += bad.count()
 
     query = stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).start()
     try:
         query.processAllAvailable()
     finally:
         query.stop()
+    if failed > most:
+        raise TooManyErrors(f"{failed} rows failed")
