@@ -30,6 +30,8 @@ NEAREST = 10
 QUERY_BLOCK = 1024
 #: Products of int8 numbers over so many components are exact in single precision.
 EXACT = 1024
+#: Pairs whose vectors are brought together at a time.
+PAIRS = 1 << 15
 
 
 def usable(rows: DataFrame) -> DataFrame:
@@ -54,27 +56,42 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of rows, term by term."""
+    """Euclidean distances of rows, term by term; where squares leave the range of doubles, of the terms by their largest one."""
     total = np.zeros(len(a))
-    for i in range(a.shape[1]):
-        d = a[:, i] - b[:, i]
-        total += d * d
-    return np.sqrt(total)
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        for i in range(a.shape[1]):
+            d = a[:, i] - b[:, i]
+            total += d * d
+        out = np.sqrt(total)
+        far = np.flatnonzero(~np.isfinite(total) | (total < 1e-280))
+        if len(far):
+            d = np.abs(a[far] - b[far])
+            top = d.max(1)
+            some = np.isfinite(top) & (top > 0)
+            out[far] = top
+            out[far[some]] = top[some] * np.sqrt(((d[some] / top[some, None]) ** 2).sum(1))
+    return out
 
 
 def nearest_in_tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of queries, rows of vectors and distances of all pairs that may be among the k nearest, and within bound."""
-    (qa, sa, ea), (qb, sb, eb) = quantised(queries), quantised(vectors)
-    square = (sa**2 * (qa.astype(np.float64) ** 2).sum(1))[:, None] + (sb**2 * (qb.astype(np.float64) ** 2).sum(1))[None, :]
-    square -= 2 * products(qa, qb) * sa[:, None] * sb[None, :]
+    """Rows of queries, rows of vectors and distances of all pairs that may be among the k nearest, and within bound.
+
+    Distances are estimated in units of the tile's largest component, so no square leaves the range of doubles from above; what
+    rounding may add is bounded pair by pair, so one very long vector blurs its own pairs only.
+    """
+    unit = max(np.abs(queries).max(), np.abs(vectors).max())
+    (qa, sa, ea), (qb, sb, eb) = quantised(queries / unit), quantised(vectors / unit)
+    na, nb = sa**2 * (qa.astype(np.float64) ** 2).sum(1), sb**2 * (qb.astype(np.float64) ** 2).sum(1)
+    square = na[:, None] + nb[None, :] - 2 * products(qa, qb) * sa[:, None] * sb[None, :]
     about = np.sqrt(np.maximum(square, 0))
-    slack = (ea[:, None] + eb[None, :]) * (1 + 1e-9) + 1e-7 * (about + 1e-300) + 1e-7 * np.sqrt(np.abs(square).max(initial=0))
+    slack = (ea[:, None] + eb[None, :]) * (1 + 1e-9) + 1e-7 * (np.sqrt(na)[:, None] + np.sqrt(nb)[None, :]) + 1e-300
     own = query_ids[:, None] == ids[None, :]
     upper = np.where(own, np.inf, about + slack)
+    bound = bound / unit * (1 + 1e-9)
     if upper.shape[1] > k:
         bound = np.minimum(bound, np.partition(upper, k - 1, axis=1)[:, k - 1])
     a, b = np.nonzero((about - slack <= bound[:, None]) & ~own)
-    return a, b, exact(queries[a], vectors[b])
+    return a, b, np.concatenate([exact(queries[a[i : i + PAIRS]], vectors[b[i : i + PAIRS]]) for i in range(0, len(a), PAIRS)] or [np.zeros(0)])
 
 
 def _best(a: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:

@@ -50,3 +50,41 @@ def test_bounds_hold():
         about = np.sqrt(((qa[:, None] * sa[:, None, None] - qb[None] * sb[None, :, None]) ** 2).sum(2))
         true = np.sqrt(((x[:, None] - y[None]) ** 2).sum(2))
         assert (np.abs(about - true) <= ea[:, None] + eb[None, :] + 1e-9).all()
+
+
+def in_one_tile(x, k=10):
+    ids = np.arange(len(x))
+    q = ids[::10]
+    a, b, d = v.nearest_in_tile(q, x[q], ids, x, k, np.full(len(q), np.inf))
+    best = v._best(a, ids[b], d, k)
+    return {(int(q[i]), int(j)): float(s) for i, j, s in zip(a[best], ids[b][best], d[best])}, len(a)
+
+
+def test_magnitudes():
+    """Very large, very small and mixed components: as many neighbours as asked for, and the right ones."""
+    r = np.random.default_rng(6)
+    for scales in ([1e200], [1e-200], [1.0], [1e307], [1e-310], [1e-200, 1.0, 1e200], [1.0, 1e8]):
+        x = r.normal(size=(300, 8)) * r.choice(scales, size=(300, 1))
+        got, _ = in_one_tile(x)
+        assert len(got) == 300
+        for i in range(0, 300, 10):
+            far = sorted((math.dist(x[i], x[j]) if np.isfinite(math.dist(x[i], x[j])) else math.inf, j) for j in range(300) if j != i)[:10]
+            mine = sorted((d, j) for (q, j), d in got.items() if q == i)
+            assert np.allclose([d for d, _ in mine], [d for d, _ in far], rtol=1e-12, atol=0), scales
+
+
+def test_outlier():
+    """One vector a hundred million times as long leaves the pruning of the others as it was."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(1000, 64))
+    want, pairs = in_one_tile(x)
+    longer = np.vstack([x, x[:1] * 1e8])
+    got, after = in_one_tile(longer)
+    assert {k: d for k, d in got.items() if k[0] != 1000} == want and after - pairs < 0.01 * 100 * 1000 + 1001
+
+
+def test_many_pairs(monkeypatch):
+    monkeypatch.setattr(v, "PAIRS", 7)
+    x = np.ones((50, 3))
+    got, pairs = in_one_tile(x)
+    assert pairs == 5 * 49 and set(got.values()) == {0.0}
