@@ -54,3 +54,29 @@ def row_windows(spark, sf_dir):
     return cached.groupBy("window").agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.sum("label").cast("long").alias("positive"))
 
 
+
+
+@query("""WITH a AS (SELECT event_id, event_type AS requested, event_type || '-1.' || (user_id % 3) AS model FROM events), f AS (SELECT requested, arg_min(model, event_id % 2 * 1000000000 + event_id) AS resolved FROM a GROUP BY requested)
+SELECT event_id, requested, model, 'another model than before' AS refused FROM a JOIN f USING (requested) WHERE model <> resolved""")
+def pinned_answers(spark, sf_dir):
+    """Answers of two batches that are not of the model that their name first resolved to."""
+    from claimworks.streaming import pinning
+
+    folder = _folder(spark)
+    answers = table(spark, sf_dir, "events").select("event_id", F.col("event_type").alias("requested"), F.concat("event_type", F.lit("-1."), (F.col("user_id") % 3).cast("string")).alias("model"))
+    for batch in (0, 1):
+        first = pinning.first_answers(answers.where(F.col("event_id") % 2 == batch), "event_id")
+        first.coalesce(1).write.mode("append").parquet(f"{folder}/answers")  # a row for each name and model
+        resolved = pinning.pin(spark, spark.readStream.schema(first.schema).parquet(f"{folder}/answers"), folder, "event_id")
+    return pinning.refused(answers, resolved).where("refused is not null").select("event_id", "requested", "model", "refused")
+
+
+@query("SELECT CAST(item_id AS VARCHAR) AS claim_id, CASE WHEN item_id % 3 = 0 THEN 'Supported' ELSE 'Refuted' END AS verdict, length(text) AS n FROM benchmark")
+def published_claims(spark, sf_dir):
+    """A file for each claim, published together, read back."""
+    from claimworks.sources import committed
+
+    folder = _folder(spark)
+    results = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("claim_id"), F.when(F.col("item_id") % 3 == 0, "Supported").otherwise("Refuted").alias("verdict"), F.length("text").cast("long").alias("n"))
+    committed.publish(results, folder, {"threshold": 0.3})
+    return committed.published(spark, folder).select("claim_id", "verdict", F.get_json_object("value", "$.n").cast("long").alias("n"))
