@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimworks.operators.lineage import kept
+from claimworks.operators.lineage import written
 
 #: What tokens are: runs of anything but these.
 TOKEN = r"[^\x09-\x0D\x20]+"
@@ -72,7 +72,7 @@ def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # Equal pairs are counted as they are written first, so that what they are is worked out once for each; a token that ends nothing is as good as any.
     prev = F.when(F.col("prev").isNull() | _ends(F.col("prev")), F.col("prev")).otherwise("-")
     pairs = tokens(docs, key, text).groupBy(prev.alias("prev"), "tok").agg(F.count("*").alias("k"))
-    return kept(neighbours(pairs).groupBy("end", "before", "typ", "case", "period").agg(F.sum("k").alias("n")))
+    return written(neighbours(pairs).groupBy("end", "before", "typ", "case", "period").agg(F.sum("k").alias("n")))
 
 
 def _single(df: DataFrame) -> DataFrame:
@@ -114,7 +114,7 @@ def likelihood(a: Column, b: Column, ab: Column, n: Column) -> Column:
 
 
 def spelling(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """typ, starts, likelihood, starter, and whether the type is met in upper or lower case at (beg), within (mid) sentences, anywhere."""
+    """typ, met (how often), starts, likelihood, starter, and whether the type is met in upper or lower case at (beg), within (mid) sentences, anywhere."""
     abbreviations = words.where("abbreviation").select(F.col("typ").alias("before"), F.lit(True).alias("short"))
     placed = pairs.join(abbreviations, "before", "left").withColumn("short", F.coalesce("short", F.lit(False)))
     sure = (F.col("end") == "m") | (F.col("end") == "p") & ~F.col("short")
@@ -126,15 +126,17 @@ def spelling(pairs: DataFrame, words: DataFrame) -> DataFrame:
     joined = _with(by_type.join(words.select("typ", F.col("n").alias("met")), "typ"), breaks)
     value = F.when(F.col("starts") > 0, likelihood(F.col("breaks"), F.col("met"), F.col("starts"), F.col("tokens")))
     often = F.col("tokens") * F.col("starts") > F.col("met") * F.col("breaks")
-    return joined.withColumn("likelihood", value).withColumn("starter", F.coalesce((F.col("likelihood") >= STARTER) & often, F.lit(False))).drop("breaks", "tokens", "met")
+    return joined.withColumn("likelihood", value).withColumn("starter", F.coalesce((F.col("likelihood") >= STARTER) & often, F.lit(False))).drop("breaks", "tokens")
 
 
 def holding(pairs: DataFrame, words: DataFrame, spelled: DataFrame) -> DataFrame:
     """end, before, typ, case: the kinds of neighbours between which a period ends no sentence."""
     kinds = pairs.where(F.col("end").isin("e", "n", "i", "p")).groupBy("end", "before", "typ", "case").agg(F.sum("n").alias("n"))
-    left = words.select(F.col("typ").alias("before"), F.col("n").alias("met_before"), F.col("abbreviation").alias("short"))
-    right = spelled.join(words.select("typ", F.col("n").alias("met")), "typ")
-    known = kinds.join(left, "before").join(right, "typ").withColumn("short", F.col("short") & F.col("end").isin("i", "p"))
+    # After a word that is no abbreviation a period always ends a sentence: most kinds are settled by that.
+    short = words.where("abbreviation").select(F.col("typ").alias("before"), F.lit(True).alias("short"))
+    kinds = kinds.join(short, "before", "left").withColumn("short", F.coalesce("short", F.lit(False)) & F.col("end").isin("i", "p"))
+    kinds = written(kinds.where((F.col("end") != "p") | F.col("short")))
+    known = kinds.join(words.select(F.col("typ").alias("before"), F.col("n").alias("met_before")), "before").join(spelled, "typ")
     bound = known.where(F.col("end").isin("i", "n") | F.col("short")).groupBy("before", "typ").agg(F.sum("n").alias("together"), F.first("met_before").alias("met_before"), F.first("met").alias("met"), F.first("starter").alias("starter"))
     bound = _with(bound, words.agg(F.sum("n").alias("tokens")))
     tied = (likelihood(F.col("met_before"), F.col("met"), F.col("together"), F.col("tokens")) >= COLLOCATION) & (F.col("tokens") * F.col("together") > F.col("met_before") * F.col("met"))
@@ -156,8 +158,8 @@ def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     key tells documents apart. Texts that share one are cut where either is.
     """
     pairs = counted(docs, key, text)
-    words = kept(lexicon(pairs))
-    held = kept(holding(pairs, words, kept(spelling(pairs, words))))
+    words = written(lexicon(pairs))
+    held = written(holding(pairs, words, written(spelling(pairs, words))))
     ends = neighbours(tokens(docs, key, text).where(_ends(F.col("prev")))).where(F.col("end").isin("m", "e", "n", "i", "p"))
     cuts = ends.join(held, ["end", "before", "typ", "case"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("_cuts"))
     whole = docs.join(cuts, key, "left").withColumn("_t", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN + r"[\x09-\x0D\x20]*"), 0))

@@ -1,8 +1,8 @@
 """Labelled claims over the driver's tables, with stand-in answers.
 
 A row is a document with a quality label and a benchmark text as its claim. Answers come from a hash of question and row, two
-decimals each, higher or lower by the label so that scores tell the classes apart; one answer in sixteen is mistaken and goes
-the other way, so that each kind of error occurs.
+decimals each, higher or lower by the label so that scores tell the classes apart; one answer in sixteen to the rule's
+questions is mistaken and goes the other way, so that each kind of error occurs.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from claimworks.functions.scores import Pack, once, with_scores
 
 #: Whether label 1 raises the question's answer.
 QUESTIONS = {"support": True, "unsupported": False, "contradicted": False, "direct": True, "complete": True, "detail": True}
+#: Questions whose answers are mistaken one time in sixteen.
+MISTAKEN = ("support", "unsupported", "contradicted")
 
 PACK = Pack.load(
     {
@@ -64,7 +66,7 @@ def hundredths(question: str, raised: bool) -> Column:
     digest = F.sha2(F.concat(F.lit(question + ":"), F.col("doc_id").cast("string")), 256)
     h = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 101
     part = F.floor(h * 60 / 100)
-    mistaken = F.substring(digest, 9, 1) == "0"
+    mistaken = (F.substring(digest, 9, 1) == "0") & F.lit(question in MISTAKEN)
     return F.when((F.col("label") == (1 if raised else 0)) != mistaken, part + 40).otherwise(part)
 
 
@@ -96,7 +98,7 @@ def scored(spark: SparkSession, sf_dir: str, dataset: str = "lang", *, exact: bo
 
 def _answer_sql(question: str, raised: bool) -> str:
     h = f"(CAST(('0x' || substr(sha256('{question}:' || doc_id), 1, 8)) AS BIGINT) % 101) * 60 // 100"
-    return f"CASE WHEN (label = {1 if raised else 0}) <> (substr(sha256('{question}:' || doc_id), 9, 1) = '0') THEN {h} + 40 ELSE {h} END"
+    return f"CASE WHEN (label = {1 if raised else 0}) <> ({str(question in MISTAKEN).lower()} AND substr(sha256('{question}:' || doc_id), 9, 1) = '0') THEN {h} + 40 ELSE {h} END"
 
 
 def rows_sql(dataset: str = "lang") -> str:

@@ -64,7 +64,7 @@ def sentence_lexicon(spark, sf_dir):
 @query(f"WITH {_PAIRS}, {_SPELLED} SELECT typ, CAST(starts AS BIGINT) AS starts, round(likelihood, 6) + 0.0 AS likelihood, starter, upper_mid, upper_ AS upper, lower_beg, lower_ AS lower FROM sp")
 def sentence_starters(spark, sf_dir):
     pairs = sentences.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return sentences.spelling(pairs, sentences.lexicon(pairs)).withColumn("likelihood", F.round("likelihood", 6) + 0.0)
+    return sentences.spelling(pairs, sentences.lexicon(pairs)).withColumn("likelihood", F.round("likelihood", 6) + 0.0).drop("met")
 
 
 @query(f"""WITH {_PAIRS}, {_SPELLED}, {_HELD}, w AS (SELECT doc_id, sentences, list_transform(sentences, lambda s: {_words_sql('s')}) AS words FROM sent)
