@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from claimworks.operators.lineage import written
+
 LEAVES, FAN = 4096, 64
 _PARTS = 4
 
@@ -65,7 +67,7 @@ def changed(df: DataFrame, key: str, folder: str) -> DataFrame:
     Keys that repeat are compared with all their rows together.
     """
     spark = df.sparkSession
-    now = row_digests(df, key)
+    now = written(row_digests(df, key))  # the table is read once
     then = spark.read.parquet(f"{folder}/tree").where("level = 2").select("node", F.col("digest").alias("then"))
     leaves = tree(now).where("level = 2").select("node", "digest").join(then, "node", "full_outer").where(~F.col("digest").eqNullSafe(F.col("then")))
     wanted = [r.node for r in leaves.select("node").collect()]  # LEAVES at most
