@@ -63,7 +63,7 @@ def report(args) -> None:
 
     spark = _session()
     rows = _rows(spark, args.data)
-    reports = [checkers.report(rows, spark.read.parquet(f"{c}/cache"), checkers.Checker(c.rstrip("/").rsplit("/", 1)[-1], threshold=args.threshold)) for c in args.runs]
+    reports = [checkers.report(rows, spark.read.parquet(f"{c}/cache"), checkers.Checker(c.rstrip("/").rsplit("/", 1)[-1], threshold=args.threshold), whole=not args.partial) for c in args.runs]
     print(markdown(checkers.comparison(*reports), ["scope"]) if len(reports) > 1 else markdown(reports[0], ["scope"]))
 
 
@@ -95,6 +95,7 @@ def main(argv: list[str] | None = None) -> None:
     p.add_argument("data")
     p.add_argument("runs", nargs="+")
     p.add_argument("--threshold", type=float, default=0.30)
+    p.add_argument("--partial", action="store_true", help="report the rows that have answers; else a row without one is an error")
     p.set_defaults(run=report)
     p = commands.add_parser("check")
     p.add_argument("document")

@@ -32,8 +32,10 @@ class Checker:
         raise ValueError(self.kind)
 
 
-def report(rows: DataFrame, cache: DataFrame, checker: Checker) -> DataFrame:
-    """model and the metrics of the rows that the cache has; complete: whether it has all."""
+def report(rows: DataFrame, cache: DataFrame, checker: Checker, *, whole: bool = False) -> DataFrame:
+    """model and the metrics of the rows that the cache has; complete: whether it has all. whole: a row without an answer is an error."""
+    if whole and (lost := joins.pending(rows, cache).select("id").first()):
+        raise ValueError(f"{checker.name} has no answer for {lost.id}")
     keyed = cache.select("id", checker.score().alias("_score"))
     held = rows.join(keyed, "id")
     missing = joins.pending(rows, cache).agg((F.count("*") == 0).alias("complete")).withColumn("_k", F.lit(1))

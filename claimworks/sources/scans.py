@@ -89,6 +89,12 @@ def claims(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFra
     return rows.select(F.when(F.col("c.claim_id").isNotNull() & F.col("c.claim").isNotNull(), F.col("c.claim_id")).otherwise(missing).alias("claim_id"), F.col("c.claim").alias("claim"), F.col("c.candidate_documents").alias("candidate_documents"), "claim_metadata")
 
 
+def packs(spark: SparkSession, pattern: str) -> dict[str, dict]:
+    """Question packs of all JSON files of a pattern, by the file's name without its ending; packs are few and small."""
+    files = spark.read.text(pattern, wholetext=True).select(F.regexp_replace("_metadata.file_name", r"\.json$", "").alias("name"), "value").collect()
+    return {r.name: json.loads(r.value) for r in files}
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """file, text of all text files of a folder; bytes that are no UTF-8 are replaced."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(folder)

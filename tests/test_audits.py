@@ -79,6 +79,29 @@ def test_outline(spark):
     assert [(r.doc_id, r.number) for r in outlines.containing(found, 'a "quoted line"').collect()] == [(1, "1.2")]
 
 
+def test_missing_answer(spark):
+    """A report over all rows stops at a row without an answer; a partial one says that it is not complete."""
+    from claimworks.plans import checkers
+
+    rows = spark.createDataFrame([(str(i), "A", i % 2) for i in range(6)], "id string, dataset string, label int")
+    cache = rows.where("id <> '3'").select("id", F.lit(0.5).alias("score"))
+    checker = checkers.Checker("m", "score")
+    assert not checkers.report(rows, cache, checker).first().complete
+    with pytest.raises(ValueError, match="no answer for 3"):
+        checkers.report(rows, cache, checker, whole=True)
+    assert checkers.report(rows.where("id <> '3'"), cache, checker, whole=True).first().complete
+
+
+def test_packs(spark, tmp_path):
+    from claimworks.operators import joins
+    from claimworks.sources import scans
+
+    for name, threshold in (("a", 0.3), ("b", 0.6)):
+        (tmp_path / f"{name}.json").write_text(f'{{"questions": {{}},\n "decision": {{"score": "s", "threshold": {threshold}}}}}')
+    found = scans.packs(spark, f"file://{tmp_path}/*.json")
+    assert set(found) == {"a", "b"} and {r.pack: r.threshold for r in joins.packs_by_digest(spark, found).collect()} == {"a": 0.3, "b": 0.6}
+
+
 def test_run_stops(spark, tmp_path):
     """A scorer that fails from row 50 on stops the run long before row 1,000; what was scored and what failed is kept."""
     pending, place = f"file://{tmp_path}/pending", f"file://{tmp_path}/run"
