@@ -27,10 +27,10 @@ ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 
 def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos (from 0), prev, tok: every token with the one before it (null at the start); null texts have none."""
-    t = F.regexp_extract_all(text, F.lit(TOKEN), 0)
+    t = F.split(F.btrim(text, F.lit("\x09\x0a\x0b\x0c\x0d\x20")), r"[\x09-\x0D\x20]+")
     listed = docs.where(F.col(text).isNotNull()).select(key, t.alias("_t"))
     pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "_t").alias("prev"), F.col("_t").alias("tok"))
-    return listed.select(key, F.posexplode(pairs).alias("pos", "_x")).where("_x.tok is not null").select(key, "pos", "_x.prev", "_x.tok")
+    return listed.select(key, F.posexplode(pairs).alias("pos", "_x")).where("_x.tok <> ''").select(key, "pos", "_x.prev", "_x.tok")
 
 
 def _core(token: Column) -> Column:
