@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +63,16 @@ def per_question(rows: DataFrame, questions: list[str]) -> DataFrame:
     return rows.withColumn("question", F.explode(F.array(*[F.lit(q) for q in questions])))
 
 
+def named(claims: DataFrame, documents: DataFrame) -> DataFrame:
+    """The claims that name candidates, each with those that there are."""
+    return claims.where(F.size("candidate_documents") > 0).withColumn("file", F.explode(F.array_distinct("candidate_documents"))).join(documents, "file")
+
+
+def free(claims: DataFrame) -> DataFrame:
+    """The claims that name no candidates."""
+    return claims.where(F.col("candidate_documents").isNull() | (F.size("candidate_documents") == 0))
+
+
 def candidates(claims: DataFrame, documents: DataFrame) -> DataFrame:
     """Each claim with its candidate documents; names that no document has are ignored.
 
@@ -65,9 +80,9 @@ def candidates(claims: DataFrame, documents: DataFrame) -> DataFrame:
     and claims are spread over the blocks, so no side is sent whole to anyone and no plan has a Cartesian product.
     """
     blocks = max(1, int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    own = claims.where(F.size("candidate_documents") > 0).withColumn("file", F.explode(F.array_distinct("candidate_documents"))).join(documents, "file")
+    own = named(claims, documents)
     dealt = documents.withColumn("_block", F.pmod(F.xxhash64("file"), F.lit(blocks)))
-    every = claims.where(F.col("candidate_documents").isNull() | (F.size("candidate_documents") == 0)).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
+    every = free(claims).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_block").drop("_block")
     return own.unionByName(every.select(*own.columns))
 
 
@@ -104,6 +119,48 @@ def containing(documents: DataFrame, quotes: DataFrame, words: int = 4, few: int
     return reduce(DataFrame.unionByName, met, none)
 
 
+def best_anywhere(claims: DataFrame, chunks: DataFrame, make: Callable[[], Callable[[list[str], list[str | None]], np.ndarray]], part: int = 1024, batch: int = 1 << 16) -> DataFrame:
+    """claim_id, file, chunk_index, support: each claim's best chunk among all (file, chunk_index, chunk), as best_document() orders them.
+
+    A support is a matter of chunk and claim alone, so equal chunks are scored once, for the first place that has them. The
+    function that make() returns gives the supports of chunks (rows) and claims (columns), without a value where there is none.
+    Claims travel in parts, and a task keeps one row for each claim, so neither pairs nor their scores are ever rows.
+    """
+    blocks = max(1, int(claims.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = chunks.where("chunk is not null and file is not null").groupBy("chunk").agg(F.min(F.struct("file", "chunk_index")).alias("x"))
+    dealt = first.select("chunk", "x.file", "x.chunk_index", F.pmod(F.xxhash64("chunk"), F.lit(blocks)).alias("_block"))
+    ids = claims.select(F.col("claim_id").cast("string").alias("c")).distinct()
+    parts = F.lit(math.ceil(ids.count() / part) or 1)
+    asked = ids.groupBy(F.pmod(F.xxhash64("c"), parts).alias("_part")).agg(F.to_json(F.collect_list(F.struct("c"))).alias("_asked"))
+    spread = asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    def run(batches):
+        model, known, best = make(), {}, {}
+        for b in batches:
+            at, files, places, texts = b.column(0).to_numpy(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist()
+            for p in np.unique(at).tolist():
+                rows = np.flatnonzero(at == p).tolist()
+                if p not in known:
+                    known[p] = [x.get("c") for x in json.loads(b.column(1)[rows[0]].as_py())]
+                rows.sort(key=lambda i: (files[i], places[i]))
+                step = max(1, batch // len(known[p]))
+                for k in range(0, len(rows), step):
+                    some = rows[k : k + step]
+                    grid = model([texts[i] for i in some], known[p])
+                    below = np.where(np.isnan(grid), np.inf, -grid)
+                    for j, r in enumerate(below.argmin(0).tolist()):
+                        found = (float(below[r, j]), files[some[r]], places[some[r]])
+                        if (p, j) not in best or found < best[p, j]:
+                            best[p, j] = found
+        if best:
+            support = [None if below == math.inf else 0.0 - below for below, _, _ in best.values()]
+            columns = [[known[p][j] for p, j in best], [f for _, f, _ in best.values()], [i for _, _, i in best.values()], support]
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.float64()))], names=["claim_id", "file", "chunk_index", "support"])
+
+    met = dealt.join(spread, "_block").select("_part", "_asked", "file", "chunk_index", "chunk")
+    return best_document(met.mapInArrow(run, "claim_id string, file string, chunk_index int, support double"))
+
+
 def best_document(scores: DataFrame) -> DataFrame:
     """claim_id, file, chunk_index, support: the best chunk of the best document, earlier files and chunks first among equals."""
     # The least of (no support, support downwards, file, chunk): an aggregate, so chunks are combined before they are moved.

@@ -339,16 +339,16 @@ _CLAIMS = "claims AS (SELECT item_id, CAST(item_id AS VARCHAR) AS claim_id, text
 _PAIRS = "pairs AS (SELECT claim_id, file FROM claims, files WHERE c IS NULL OR list_contains(c, file))"
 
 
-def _matched(spark, sf_dir, shown="text"):
-    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), shown)
+def _claims_and_files(spark, sf_dir):
+    files = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"), "text")
     name = lambda n: F.concat(F.lit("doc"), (F.col("item_id") * n).cast("string"), F.lit(".txt"))
     claims = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("claim_id"), F.col("text").alias("claim"), F.when(F.col("item_id") % 4 != 0, F.array(name(50), name(100), F.lit("none.txt"))).alias("candidate_documents"))
-    return joins.candidates(claims, files)
+    return claims, files
 
 
 @query(f"WITH {_FILES}, {_CLAIMS}, {_PAIRS} SELECT claim_id, file FROM pairs")
 def candidate_join(spark, sf_dir):
-    return _matched(spark, sf_dir).select("claim_id", "file")
+    return joins.candidates(*_claims_and_files(spark, sf_dir)).select("claim_id", "file")
 
 
 _SENTENCES = r"""list_filter(list_transform(regexp_split_to_array(regexp_replace(trim(text), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
@@ -365,12 +365,11 @@ s AS (SELECT claim_id, file, chunk_index, CAST(CAST(('0x' || substr(sha256(chunk
 r AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY support DESC, file, chunk_index) AS place FROM s)
 SELECT claim_id, file, CAST(chunk_index AS INTEGER) AS chunk_index, support, CASE WHEN support > 0.5 THEN 'Supported' ELSE 'Refuted' END AS verdict FROM r WHERE place = 1""")
 def argmax_document(spark, sf_dir):
-    # Each document is cut once and gives its best chunk before pairs meet: chunks of all pairs are never rows.
-    pairs = _matched(spark, sf_dir, chunking.sentences(F.col("text")).alias("chunks"))
-    place = lambda x, i: F.struct((-_support(x, "claim_id")).alias("below"), i.alias("chunk_index"))
-    best = pairs.select("claim_id", "file", F.array_min(F.transform("chunks", place)).alias("x")).where("x is not null")
-    chunks = best.select("claim_id", "file", "x.chunk_index", (0.0 - F.col("x.below")).alias("support"))
-    return joins.best_document(chunks).withColumn("verdict", F.when(F.col("support") > 0.5, "Supported").otherwise("Refuted"))
+    claims, files = _claims_and_files(spark, sf_dir)
+    cut = lambda df: df.select("*", F.posexplode(chunking.sentences(F.col("text"))).alias("chunk_index", "chunk"))
+    own = cut(joins.named(claims, files)).select("claim_id", "file", "chunk_index", _support("chunk", "claim_id").alias("support"))
+    every = joins.best_anywhere(joins.free(claims), cut(files), chunking.hash_grid)
+    return joins.best_document(own.unionByName(every)).withColumn("verdict", F.when(F.col("support") > 0.5, "Supported").otherwise("Refuted"))
 
 
 @query(f"""WITH {rows_sql()}, parts AS (SELECT id, text, unnest({_SENTENCES}) AS chunk, generate_subscripts({_SENTENCES}, 1) - 1 AS i FROM (SELECT id, doc AS text FROM rows)),

@@ -3,7 +3,7 @@ import re
 from pyspark.sql import functions as F
 
 from claimworks.operators import chunking as c
-from claimworks.operators import graph, leaderboard
+from claimworks.operators import graph, joins, leaderboard
 from claimworks.operators.metrics import metrics
 
 
@@ -56,3 +56,31 @@ def test_marked_table(spark):
     board = leaderboard.read_markdown(spark, "| model | x | y |\n|---|---|---|\n| a | **1.5** | 2 |\n| b | 1.5 | 3 |\n| c | 0.5 | <u>1,000</u> |\n| d | n/a | 0 |\n")
     got = {r.model: (r.x, r.y) for r in leaderboard.marked(board, "model", ["x", "y"]).collect()}
     assert got == {"a": ("**1.5**", "2"), "b": ("**1.5**", "<u>3</u>"), "c": ("<u>0.5</u>", "**1,000**"), "d": ("n/a", "0")}
+
+
+def test_best_anywhere(spark):
+    """Equal chunks are scored once, for their first place; the rest as brute force, claims in several parts, on ties and nulls."""
+    chunks = [("b", 0, "x"), ("a", 3, "x"), ("a", 4, "y"), ("c", 0, None), (None, 0, "z"), *[(f"d{i}", 0, "x") for i in range(200)], *[(f"é{i}", i, f"t{i % 40}") for i in range(90)]]
+    df = spark.createDataFrame(chunks, "file string, chunk_index int, chunk string").repartition(3)
+    claims = [str(i) for i in range(30)] + [None, "7"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def make():
+        model = c.hash_grid()
+
+        def run(texts, asked):
+            seen.add(len(texts) * len(asked))
+            return model(texts, asked)
+
+        return run
+
+    asked = spark.createDataFrame([(x,) for x in claims], "claim_id string")
+    got = {r.claim_id: (r.file, r.chunk_index, r.support) for r in joins.best_anywhere(asked, df, make, part=7, batch=64).collect()}
+    assert seen.value == 42 * 31
+    one, sound = c.hash_grid(), [x for x in chunks if x[0] is not None and x[2] is not None]
+    for claim in set(claims) - {None}:
+        value = lambda x: float(one([x[2]], [claim])[0, 0])  # noqa: B023, E731
+        b = min(sound, key=lambda x: (-value(x), x[0], x[1]))
+        assert got[claim] == (b[0], b[1], value(b))
+    assert got[None] == ("a", 3, None) and len(got) == 31
+    assert joins.best_anywhere(asked, df.limit(0), make).count() == 0 and joins.best_anywhere(asked.limit(0), df, make).count() == 0
