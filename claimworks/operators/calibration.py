@@ -47,9 +47,21 @@ def fit(rows: DataFrame, features: list[str], c: float, *, logits: bool = False,
     return Fitted(features, [float(w) for w in model.coefficients], float(model.intercept), logits)
 
 
+def with_fold_weights(rows: DataFrame, folds: int, by: tuple[str, ...] = ("dataset", "label")) -> DataFrame:
+    """fold_weights: for each fold (column fold), the weight that with_weights() gives the row where that fold is left out."""
+    every, left = range(folds), [f"_left{f}" for f in range(folds)]
+    sizes = rows.groupBy(*by).agg(*[F.count(F.when(F.col("fold") != f, 1)).alias(left[f]) for f in every])
+    totals = sizes.agg(*[x for f in every for x in (F.sum(left[f]).alias(f"_all{f}"), F.count(F.when(F.col(left[f]) > 0, 1)).alias(f"_strata{f}"))]).withColumn("_k", F.lit(1))
+    weight = lambda f: F.when(F.col(left[f]) > 0, F.col(f"_all{f}").cast("double") / (F.col(f"_strata{f}") * F.col(left[f])))
+    weights = sizes.withColumn("_k", F.lit(1)).join(totals, "_k").select(*by, F.array(*[weight(f) for f in every]).alias("fold_weights"))
+    return rows.join(weights, list(by), "left")
+
+
 def out_of_fold(rows: DataFrame, features: list[str], c: float, folds: int, *, logits: bool = False) -> DataFrame:
-    """Every row (column fold) scored by the model of the other folds."""
-    parts = [fit(with_weights(rows.where(F.col("fold") != f)), features, c, logits=logits).score(rows.where(F.col("fold") == f)) for f in range(folds)]
+    """Every row (column fold) scored by the model of the other folds. Rows that already have their fold_weights are not counted again."""
+    weighed = rows if "fold_weights" in rows.columns else with_fold_weights(rows, folds)
+    train = lambda f: weighed.where(F.col("fold") != f).withColumn("weight", F.col("fold_weights")[f]).where("weight is not null")
+    parts = [fit(train(f), features, c, logits=logits).score(rows.where(F.col("fold") == f)) for f in range(folds)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -111,4 +123,4 @@ def largest_difference(a: DataFrame, b: DataFrame, score: str, threshold: float,
     return j.agg(F.count("*").alias("n"), F.max(F.abs(F.col("x") - F.col("y"))).alias("difference"), F.bool_and((F.col("x") > threshold) == (F.col("y") > threshold)).alias("same"))
 
 
-__all__ = ["apply_threshold", "fit", "fit_threshold", "largest_difference", "metrics", "one_standard_error", "out_of_fold", "spread", "transferred", "with_weights", "Fitted"]
+__all__ = ["apply_threshold", "fit", "fit_threshold", "largest_difference", "metrics", "one_standard_error", "out_of_fold", "spread", "transferred", "with_fold_weights", "with_weights", "Fitted"]

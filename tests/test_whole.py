@@ -48,6 +48,20 @@ def test_every_candidate(spark, sf_dir, monkeypatch):
     assert not choose(tie).first()["logits"]
 
 
+def test_fits_read_no_texts(spark, sf_dir, monkeypatch):
+    """What the fits read is short rows of a file: no text, nothing held in memory, weights as they come without each fold."""
+    given = []
+    monkeypatch.setattr(calibration, "out_of_fold", lambda rows, *a, **b: given.append(rows) or rows.withColumn("score", F.lit(0.5)))
+    core.QUERIES["one_se_choice"](spark, sf_dir)
+    rows = given[0]
+    assert all(x is rows for x in given) and {"fold", "label"} <= set(rows.columns) and not {"doc", "claim", "id"} & set(rows.columns)
+    assert not rows.storageLevel.useMemory and rows.inputFiles()
+    for f in range(5):
+        want = calibration.with_weights(rows.where(F.col("fold") != f)).select("fold", "dataset", "label", "support", F.round("weight", 12)).collect()
+        got = rows.where(F.col("fold") != f).select("fold", "dataset", "label", "support", F.round(F.col("fold_weights")[f], 12)).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
 def test_long_path(spark):
     """One part, however late the least label arrives; a node tied to itself alone is a part."""
     path = [*range(60), *range(119, 59, -1)]
