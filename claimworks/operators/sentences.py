@@ -9,10 +9,16 @@ once for each kind of pair, and a text only has to look up the few pairs that ho
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StringType, StructField, StructType
 
 from claimworks.operators.lineage import written
 
@@ -25,16 +31,74 @@ NUMBER = r"^[-+]?[0-9][0-9.,:/-]*$"
 ABBREVIATION, STARTER, COLLOCATION = 0.3, 30.0, 7.88
 
 
-def tokens(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, pos (from 0), prev, tok: every token with the one before it (null at the start); null texts have none."""
-    t = F.split(F.btrim(text, F.lit("\x09\x0a\x0b\x0c\x0d\x20")), r"[\x09-\x0D\x20]+")
-    listed = docs.where(F.col(text).isNotNull()).select(key, t.alias("_t"))
-    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), "_t").alias("prev"), F.col("_t").alias("tok"))
-    return listed.select(key, F.posexplode(pairs).alias("pos", "_x")).where("_x.tok <> ''").select(key, "pos", "_x.prev", "_x.tok")
-
-
-def _core(token: Column) -> Column:
-    return F.btrim(token, F.lit(WRAPS))
+#: Bytes that separate tokens (just those of bytes.split()) and those that let a token be the last of a sentence, at a glance, as … does.
+_BLANK, _MARK = np.zeros(256, bool), np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]], _MARK[list(b".!?")] = True, True
+
+
+def _bounds(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens begin, where they end, and the bytes."""
+    data = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(_BLANK[data], prepend=True, append=True))
+    return edges[::2], edges[1::2], data
+
+
+def _after_marks(text: bytes) -> tuple[list[int], list[str], list[str]]:
+    """pos, p, c: the places (from 0) and cores of the tokens after one that has a mark, and that one's core."""
+    starts, ends, data = _bounds(text)
+    at = np.flatnonzero(_MARK[data])
+    if b"\xe2\x80\xa6" in text:
+        at = np.union1d(at, np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x80) & (data[2:] == 0xA6)))
+    owner = np.unique(np.searchsorted(starts, at, "right") - 1)
+    owner = owner[owner < len(starts) - 1]
+    cores = lambda k: [text[a:z].decode().strip(WRAPS) for a, z in zip(starts[k].tolist(), ends[k].tolist())]
+    return (owner + 1).tolist(), cores(owner), cores(owner + 1)
+
+
+def _met(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """p, c, k: how often each core comes first (p is null), after one with a mark (p), or after another ("-")."""
+    after, alone = Counter(), Counter()
+
+    def out() -> pa.RecordBatch:
+        alone.pop(None, None)
+        p, c = [x for x, _ in after] + ["-"] * len(alone), [x for _, x in after] + [t.decode().strip(WRAPS) for t in alone]
+        made = pa.record_batch([pa.array(p, pa.string()), pa.array(c, pa.string()), pa.array([*after.values(), *alone.values()], pa.int64())], names=["p", "c", "k"])
+        after.clear()
+        alone.clear()
+        return made
+
+    for b in batches:
+        for x in b.column(0):
+            text = x.as_py()
+            toks = text.split()
+            if toks:
+                places, p, c = _after_marks(text)
+                after.update(zip(p, c))
+                after[None, toks[0].decode().strip(WRAPS)] += 1
+                for i in (0, *places):
+                    toks[i] = None
+                alone.update(toks)
+            if len(after) + len(alone) > most:
+                yield out()
+    yield out()
+
+
+def marked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, pos (from 0), p, c: the cores of tokens after one that has a mark, and of that one; null texts have none."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows, columns = [], ([], [], [])
+            for i, x in enumerate(b.column(1)):
+                found = _after_marks(x.as_py())
+                rows += [i] * len(found[0])
+                for all_, new in zip(columns, found):
+                    all_ += new
+            yield pa.record_batch([b.column(0).take(pa.array(rows, pa.int64())), *map(pa.array, columns, (pa.int32(), pa.string(), pa.string()))], names=["k", "pos", "p", "c"])
+
+    listed = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).cast("binary").alias("t"))
+    schema = StructType([StructField("k", docs.schema[key].dataType), StructField("pos", IntegerType()), StructField("p", StringType()), StructField("c", StringType())])
+    return listed.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 
 def _type(core: Column) -> Column:
@@ -43,11 +107,6 @@ def _type(core: Column) -> Column:
     return F.when(bare.rlike(NUMBER), "#").otherwise(F.lower(bare))
 
 
-def _ends(token: Column) -> Column:
-    """Whether a token can be the last of a sentence, at a glance."""
-    return F.contains(token, F.lit(".")) | F.contains(token, F.lit("!")) | F.contains(token, F.lit("?")) | F.contains(token, F.lit("…"))
-
-
 def _end(core: Column) -> Column:
     """How a token ends: m(ark), e(llipsis), n(umber), i(nitial), p(eriod), or not at all; s where there is none before."""
     ends = core.endswith(".")
@@ -57,10 +116,9 @@ def _end(core: Column) -> Column:
     )
 
 
-def neighbours(found: DataFrame) -> DataFrame:
-    """tokens() with end and before (how the previous token ends, and its type if with a period), typ, case, period."""
+def neighbours(cores: DataFrame) -> DataFrame:
+    """Tokens and those before them, without what is set aside at their ends (c, p), with end and before (how p ends, and its type if with a period), typ, case, period."""
     # One step after the other: each is read several times by the next and is to be worked out once.
-    cores = found.withColumns({"p": _core(F.col("prev")), "c": _core(F.col("tok"))})
     cores = cores.withColumns({"end": _end(F.col("p")), "typ": _type(F.col("c")), "first": F.substring("c", 1, 1), "period": _end(F.col("c")).isin("n", "i", "p")})
     before = F.when(F.col("end").isin("e", "n", "i", "p"), _type(F.col("p"))).otherwise("")
     case = F.when(F.col("first").rlike(r"^\p{Lu}"), "u").when(F.col("first").rlike(r"^\p{Ll}"), "l").otherwise("o")
@@ -69,9 +127,9 @@ def neighbours(found: DataFrame) -> DataFrame:
 
 def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """end, before, typ, case, period, n: kinds of neighbours and how often they are met. The one pass over the corpus."""
-    # Equal pairs are counted as they are written first, so that what they are is worked out once for each; a token that ends nothing is as good as any.
-    prev = F.when(F.col("prev").isNull() | _ends(F.col("prev")), F.col("prev")).otherwise("-")
-    pairs = tokens(docs, key, text).groupBy(prev.alias("prev"), "tok").agg(F.count("*").alias("k"))
+    # Equal pairs are counted as they are written first, so that what they are is worked out once for each; a token without a mark is as good as any.
+    listed = docs.where(F.col(text).isNotNull()).select(F.col(text).cast("binary").alias("t"))
+    pairs = listed.mapInArrow(_met, "p string, c string, k long").groupBy("p", "c").agg(F.sum("k").alias("k"))
     return written(neighbours(pairs).groupBy("end", "before", "typ", "case", "period").agg(F.sum("k").alias("n")))
 
 
@@ -152,21 +210,35 @@ def holding(pairs: DataFrame, words: DataFrame, spelled: DataFrame) -> DataFrame
     return known.where(holds).select("end", "before", "typ", "case")
 
 
-def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, sentences: each text's sentences in order, without white space around them; null and empty texts have none.
+def sentences(docs: DataFrame, key: str = "doc_id", text: str = "text", *, counts: bool = False) -> DataFrame:
+    """The documents with sentences: each text's in order, without white space around them; null and empty texts have none.
 
-    key tells documents apart. Texts that share one are cut where either is.
+    key tells documents apart. Texts that share one are cut where either is. With counts also n_words: each sentence's words.
     """
     pairs = counted(docs, key, text)
     words = written(lexicon(pairs))
     held = written(holding(pairs, words, written(spelling(pairs, words))))
-    ends = neighbours(tokens(docs, key, text).where(_ends(F.col("prev")))).where(F.col("end").isin("m", "e", "n", "i", "p"))
+    ends = neighbours(marked(docs, key, text)).where(F.col("end").isin("m", "e", "n", "i", "p"))
     cuts = ends.join(held, ["end", "before", "typ", "case"], "left_anti").groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("_cuts"))
-    whole = docs.join(cuts, key, "left").withColumn("_t", F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(TOKEN + r"[\x09-\x0D\x20]*"), 0))
-    starts = F.concat(F.array(F.lit(0)), F.coalesce("_cuts", F.expr("cast(array() as array<int>)")))
-    whole = whole.withColumn("_s", starts)
-    one = lambda s, i: F.regexp_replace(F.array_join(F.slice("_t", s + 1, F.coalesce(F.get("_s", i + 1), F.size("_t")) - s), ""), r"[\x09-\x0D\x20]+$", "")
-    return whole.select(*docs.columns, F.when(F.size("_t") > 0, F.transform("_s", one)).otherwise(F.expr("cast(array() as array<string>)")).alias("sentences"))
+    columns, at = docs.columns, docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cut = [_sliced((x.as_py() or "").encode(), c.as_py() or []) for x, c in zip(b.column(at), b.column(len(columns)))]
+            more = [pa.array([count_words(s) for s in cut], pa.list_(pa.int32()))] if counts else []
+            yield pa.record_batch([*b.columns[:-1], pa.array(cut, pa.list_(pa.string())), *more], names=[*columns, "sentences", *["n_words"] * counts])
+
+    schema = StructType([*docs.schema.fields, StructField("sentences", ArrayType(StringType())), *[StructField("n_words", ArrayType(IntegerType()))] * counts])
+    return docs.join(cuts, key, "left").select(*columns, "_cuts").mapInArrow(run, schema)
+
+
+def _sliced(text: bytes, cuts: list[int]) -> list[bytes]:
+    """A text cut before the tokens of these numbers."""
+    starts = _bounds(text)[0]
+    if not len(starts):
+        return []
+    at = np.append(starts, len(text))[np.minimum([0, *cuts, len(starts)], len(starts))].tolist()
+    return [text[a:z].rstrip() for a, z in zip(at, at[1:])]
 
 
 #: The rules of the Penn Treebank tokeniser, in order, over a text with two spaces for white space: fixed values. \1 is the first group.
@@ -196,3 +268,19 @@ def words(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     return F.size(words(text))
+
+
+_RULES = [(re.compile(pattern.encode(), re.ASCII), to.encode()) for pattern, to in WORD_RULES]
+_RARE = [x.encode() for x in RARE]
+
+
+def count_words(sentences: list[bytes]) -> list[int]:
+    """How many words() each of a text's sentences (UTF-8) has, for a batch in a Python worker."""
+    whole, out = b" ".join(sentences), []
+    doubtful = [x for x in _RARE if x in whole]
+    for s in sentences:
+        t = b"  " + b"  ".join(s.split()) + b"  "
+        for rule, to in _RULES if any(x in s for x in doubtful) else [_RULES[i] for i in OFTEN]:
+            t = rule.sub(to, t)
+        out.append(len(t.split()))
+    return out

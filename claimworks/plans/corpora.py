@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from claimworks.operators import chunking, sentences
+from claimworks.operators import chunking, lineage, sentences
 from claimworks.plans.binding import table
 from claimworks.plans.queries import query
 
@@ -64,22 +64,21 @@ def sentence_lexicon(spark, sf_dir):
 @query(f"WITH {_PAIRS}, {_SPELLED} SELECT typ, CAST(starts AS BIGINT) AS starts, round(likelihood, 6) + 0.0 AS likelihood, starter, upper_mid, upper_ AS upper, lower_beg, lower_ AS lower FROM sp")
 def sentence_starters(spark, sf_dir):
     pairs = sentences.counted(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return sentences.spelling(pairs, sentences.lexicon(pairs)).withColumn("likelihood", F.round("likelihood", 6) + 0.0).drop("met")
+    return sentences.spelling(pairs, lineage.written(sentences.lexicon(pairs))).withColumn("likelihood", F.round("likelihood", 6) + 0.0).drop("met")
 
 
 @query(f"""WITH {_PAIRS}, {_SPELLED}, {_HELD}, w AS (SELECT doc_id, sentences, list_transform(sentences, lambda s: {_words_sql('s')}) AS words FROM sent)
 SELECT doc_id, CAST(len(sentences) AS BIGINT) AS n_sentences, sha256(array_to_string(sentences, chr(1))) AS digest, CAST(coalesce(list_sum(words), 0) AS BIGINT) AS n_words, CAST(coalesce(list_max(words), 0) AS BIGINT) AS longest FROM w""")
 def sentence_cuts(spark, sf_dir):
-    found = sentences.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counts = found.withColumn("words", F.transform("sentences", sentences.word_count))
-    total = F.aggregate("words", F.lit(0).cast("long"), lambda a, n: a + n)
-    return counts.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.sha2(F.array_join("sentences", "\x01"), 256).alias("digest"), total.alias("n_words"), F.coalesce(F.array_max("words"), F.lit(0)).cast("long").alias("longest"))
+    found = sentences.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    total = F.aggregate("n_words", F.lit(0).cast("long"), lambda a, n: a + n)
+    return found.select("doc_id", F.size("sentences").cast("long").alias("n_sentences"), F.sha2(F.array_join("sentences", "\x01"), 256).alias("digest"), total.alias("n_words"), F.coalesce(F.array_max("n_words"), F.lit(0)).cast("long").alias("longest"))
 
 
 @query()
 def sentence_chunks(spark, sf_dir):
     """Chunks of whole sentences, 550 words at most where a sentence has no more."""
-    found = sentences.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    counted = F.transform("sentences", lambda s: F.struct(s.alias("s"), sentences.word_count(s).alias("n")))
+    found = sentences.sentences(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    counted = F.zip_with("sentences", "n_words", lambda s, n: F.struct(s.alias("s"), n.alias("n")))
     parts = chunking.exploded(found.select("doc_id", chunking.packs(counted, 550).alias("_c")), F.col("_c")).drop("_c")
     return parts.select("doc_id", "chunk_index", F.length("chunk").cast("long").alias("n_chars"), F.sha2("chunk", 256).alias("digest"))

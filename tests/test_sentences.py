@@ -4,6 +4,7 @@ import math
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -132,3 +133,33 @@ def test_packs(spark):
     """Whole sentences up to the limit, one that is longer alone."""
     df = spark.createDataFrame([([("a b", 2), ("c", 1), ("d e f g h", 5), ("i", 1), ("j k", 2)],)], "p array<struct<s string, n int>>")
     assert df.select(chunking.packs(F.col("p"), 3).alias("c")).first().c == ["a b c", "d e f g h", "i j k"]
+
+
+def test_packs_keep_wordless(spark):
+    """A sentence without words stays in its chunk; no sentences, no chunks."""
+    df = spark.createDataFrame([([("-", 0), ("a", 1), ("b c", 2), ("d", 1)],), ([],)], "p array<struct<s string, n int>>")
+    assert [r.c for r in df.select(chunking.packs(F.col("p"), 3).alias("c")).collect()] == [["- a b c", "d"], []]
+
+
+def test_counts_before_exchange(spark):
+    """Pairs are counted in the workers, in pieces of bounded size, and are what brute force finds; a token is cut out of its text once."""
+    text = " ".join(f"(Word{i % 7}{'.' if i % 3 == 0 else ''}) «x…»" for i in range(400))
+    pieces = list(s._met(iter([pa.record_batch([pa.array([text.encode()] * 5 + [b"", b" \n"])], names=["t"])]), most=10))
+    assert all(len(x) <= 60 for x in pieces) and len(pieces) > 4
+    want = Counter()
+    toks = text.split()
+    for prev, tok in zip([None, *toks], toks):
+        want[prev if prev is None else core(prev) if any(m in prev for m in ".!?…") else "-", core(tok)] += 5
+    got = Counter()
+    for x in pieces:
+        for r in x.to_pylist():
+            got[r["p"], r["c"]] += r["k"]
+    assert got == want
+
+
+def test_counted_words(spark):
+    """The count in the worker is that of the column expression, with rare and common rules, other white space, and cuts beyond the end."""
+    texts = ["They'll say \"it's $5.50, isn't it?\" (yes...)", "I cannot\x0b go.\u2028 A, b:c 1,2. .", "Köln, ä:ö, e.", "x.)", ".", "a\xa0b."]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(s.word_count(F.col("t")).alias("n")).collect()] == [s.count_words([t.encode()])[0] for t in texts]
+    assert s._sliced(b"  a b.  c ", [2, 9]) == [b"a b.", b"c", b""]
