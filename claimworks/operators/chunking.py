@@ -22,16 +22,23 @@ def packed(text: Column, limit: int) -> Column:
 
 def packs(parts: Column, limit: int) -> Column:
     """packed() of sentences that are given with their words: an array of s, n."""
-    empty = F.struct(F.lit("").alias("chunk"), F.lit(0).alias("n"), F.expr("cast(array() as array<string>)").alias("done"))
+    # Where chunks begin is folded, not their texts: each text is copied once, when its chunk is joined up.
+    none = F.expr("cast(array() as array<int>)")
+    empty = F.struct(F.lit(0).alias("i"), F.lit(0).alias("n"), none.alias("starts"))
 
     def add(a: Column, x: Column) -> Column:
-        s, n = x["s"], x["n"]
-        fits = (a["n"] == 0) | (a["n"] + n <= limit)
-        grown = F.struct(F.when(a["n"] == 0, s).otherwise(F.concat_ws(" ", a["chunk"], s)).alias("chunk"), (a["n"] + n).alias("n"), a["done"].alias("done"))
-        fresh = F.struct(s.alias("chunk"), n.alias("n"), F.concat(a["done"], F.array(a["chunk"])).alias("done"))
-        return F.when(fits, grown).otherwise(fresh)
-
-    return F.aggregate(parts, empty, add, lambda a: F.when(a["n"] == 0, a["done"]).otherwise(F.concat(a["done"], F.array(a["chunk"]))))
+        fits = (a["n"] == 0) & (F.size(a["starts"]) > 0) | (a["n"] + x["n"] <= limit) & (a["i"] > 0)
+        n = F.when(fits, a["n"] + x["n"]).otherwise(x["n"])
+        return F.struct((a["i"] + 1).alias("i"), n.cast("int").alias("n"), F.when(fits, a["starts"]).otherwise(F.concat(a["starts"], F.array(a["i"]))).alias("starts"))
+
+    # The parts are bound to a name of their own, or they would be worked out again for each chunk.
+    def joined(every: Column) -> Column:
+        starts = F.aggregate(every, empty, add, lambda a: a["starts"])
+        spans = lambda s: F.transform(s, lambda x, i: F.struct(x.alias("a"), F.coalesce(F.get(s, i + 1), F.size(every)).alias("z")))
+        bound = F.get(F.transform(F.array(starts), spans), F.lit(0))
+        return F.transform(bound, lambda x: F.array_join(F.transform(F.slice(every, x["a"] + 1, x["z"] - x["a"]), lambda y: y["s"]), " "))
+
+    return F.get(F.transform(F.array(parts), joined), F.lit(0))
 
 
 def exploded(rows: DataFrame, chunks: Column) -> DataFrame:
