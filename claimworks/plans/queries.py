@@ -558,7 +558,7 @@ def one_se_choice(spark, sf_dir):
     features, found = ["support", "no_unsupported", "no_contradicted"], None
     # What the 40 fits need of a row is worked out once and written: no text is read again.
     s = calibration.with_fold_weights(lineage.written(_folds(scored(spark, sf_dir)).select("fold", "dataset", "label", *features)), 5)
-    s = lineage.written(s)
+    s = lineage.written(s.hint("rebalance"))
     for logits, c in itertools.product((False, True), (0.01, 0.1, 1.0, 10.0)):
         out = calibration.out_of_fold(s, features, c, 5, logits=logits)
         each = out.groupBy("fold").agg(F.avg(((F.col("score") > 0.5) == (F.col("label") == 1)).cast("double")).alias("v"))
