@@ -26,10 +26,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimworks.llm import _grams, _tables
@@ -154,6 +155,7 @@ _EDGES = pa.schema([("a", pa.binary()), ("b", pa.binary())])
 
 def _leaf_edges(least: int):
     def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("name")  # so that buckets of the same sets have the same root
         keys = table.column("bucket").to_numpy()
         names = table.column("name").to_pylist()
         picks = table.column("picks").combine_chunks()
@@ -169,7 +171,12 @@ def _leaf_edges(least: int):
 
 
 def candidate_groups(sets: DataFrame, *, threshold: Fraction = THRESHOLD, target: float = TARGET, bucket: int = BUCKET, depth: int = DEPTH) -> DataFrame:
-    """node, root: groups of sets (columns name, picks) that hold all pairs which met and look alike."""
+    """node, root: groups of sets (columns name, picks) that hold all pairs which met and look alike.
+
+    A bucket that is held together is tied to a node that stands for its head, of nine bytes and mostly less than any name, which
+    may be a group's root. Small buckets of all levels get their sketches in one join, and of those seven bits a place are
+    enough, as they agree wherever the picks do.
+    """
     runs = runs_for(float(threshold), target, depth)
     if runs * depth > SKETCH:
         raise ValueError("the sketch is too short for so many runs and levels")
@@ -178,22 +185,24 @@ def candidate_groups(sets: DataFrame, *, threshold: Fraction = THRESHOLD, target
     least = math.floor(SKETCH * s - 6 * math.sqrt(SKETCH * s * (1 - s)))
     paths = F.array(*[F.slice("picks", r * depth + 1, depth) for r in range(runs)])
     rows = sets.where("size(picks) > 0").select("name", F.posexplode(paths).alias("r", "path")).select("name", "path", F.lit(1 << 62).alias("above"), F.xxhash64("r", F.col("path")[0]).alias("bucket"))
-    edges = None
+    leaves, whole = [], []
     for level in range(depth):
-        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("held")).where("held > 1"))
+        last = level + 1 == depth
+        sizes = cut(rows.groupBy("bucket").agg(F.count("*").alias("held"), F.min(F.xxhash64("name")).alias("head")).where("held > 1"))
         met = cut(rows.join(sizes, "bucket"))
-        leaves = met.where(F.col("held") <= bucket).select("bucket", "name").join(sets.select("name", "picks"), "name")
-        found = leaves.select("bucket", "name", "picks", F.pmod(F.xxhash64("bucket"), F.lit(deal)).alias("deal")).groupBy("deal").applyInArrow(_leaf_edges(least), "a binary, b binary")
-        edges = found if edges is None else edges.unionByName(found)
+        leaves.append(met.where(F.col("held") <= bucket).select("bucket", "name"))
         large = met.where(F.col("held") > bucket)
-        split = F.col("held") < s * F.col("above") if level + 1 < depth else F.lit(False)
-        whole = large.where(~split).select("bucket", "name")
-        heads = cut(whole.groupBy("bucket").agg(F.min("name").alias("head")))
-        edges = edges.unionByName(whole.join(heads, "bucket").select(F.col("name").alias("a"), F.col("head").alias("b")))
+        split = F.lit(False) if last else F.col("held") < s * F.col("above")
+        whole.append(large.where(~split).select(F.col("name").alias("a"), F.concat(F.lit(b"\0"), F.unhex(F.lpad(F.hex("head"), 16, "0"))).alias("b")))
+        if last:
+            break
         rows = large.where(split).select("name", "path", F.col("held").alias("above"), F.xxhash64("bucket", F.col("path")[level + 1]).alias("bucket"))
         if rows.isEmpty():
             break
-    return components(edges.distinct())
+    short = F.transform("picks", lambda x: x.bitwiseAND(F.lit(127)).cast("tinyint")).alias("picks")
+    met = reduce(DataFrame.unionByName, leaves).join(sets.select("name", short), "name")
+    found = met.select("bucket", "name", "picks", F.pmod(F.xxhash64("bucket"), F.lit(deal)).alias("deal")).groupBy("deal").applyInArrow(_leaf_edges(least), "a binary, b binary")
+    return components(reduce(DataFrame.unionByName, whole, found))
 
 
 def _shared(sets: list[np.ndarray], others: list[np.ndarray] | None = None) -> np.ndarray:
@@ -280,21 +289,24 @@ def _member_sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame
     return joined.select("text", *rest).mapInArrow(run, StructType([*joined.select(*rest).schema.fields, StructField("set", BinaryType())]))
 
 
-def _tile_pairs(members: DataFrame, threshold: float, tile: int) -> DataFrame:
-    """Members (columns name, rep_id, root, size) with their tile and the pairs of tiles they meet in.
+def _tile_pairs(members: DataFrame, tile: int) -> DataFrame:
+    """Members (columns name, rep_id, root, band) with their tile and the pairs of tiles they meet in.
 
     A group of a tile's sets is one tile, -1. A larger one is cut into bands, whose sizes differ by less than the threshold, so
-    that similar sets are in one band or in neighbouring ones; tiles are numbered by band and by a hash of the name.
+    that similar sets are in one band or in neighbouring ones; tiles are numbered by band and by a hash of the name. A group has
+    as few bands as its sizes have powers of the threshold between them, so that a window over them is short.
     """
     wide = F.lit(1 << 32)
-    counts = cut(members.groupBy("root", F.floor(F.log("size") / -math.log(threshold)).cast("long").alias("band")).agg(F.count("*").alias("n")))
-    large = counts.groupBy("root").agg(F.sum("n").alias("all")).where(F.col("all") > tile).select("root")
-    tiles = cut(counts.join(large, "root", "left_semi").select("root", "band", F.ceil(F.col("n") / tile).cast("long").alias("tiles")))
-    plan = tiles
-    for name, step in (("below", -1), ("beyond", 1)):
-        plan = plan.join(tiles.select("root", (F.col("band") - step).alias("band"), F.col("tiles").alias(name)), ["root", "band"], "left")
-    plan = cut(plan)
-    at = members.withColumn("band", F.floor(F.log("size") / -math.log(threshold)).cast("long")).join(plan, ["root", "band"], "left")
+    group = Window.partitionBy("root")
+    counts = members.groupBy("root", "band").agg(F.count("*").alias("n")).withColumn("all", F.sum("n").over(group)).where(F.col("all") > tile)
+    tiles = counts.select("root", "band", F.ceil(F.col("n") / tile).cast("long").alias("tiles"))
+
+    def beside(at, step):
+        ordered = group.orderBy("band")
+        return F.when(at("band").over(ordered) == F.col("band") + step, at("tiles").over(ordered))
+
+    plan = cut(tiles.select("root", "band", "tiles", beside(F.lag, -1).alias("below"), beside(F.lead, 1).alias("beyond")))
+    at = members.join(plan, ["root", "band"], "left")
     own = F.col("band") * wide + F.pmod(F.xxhash64("name"), F.col("tiles"))
 
     def meets(band, n):
@@ -321,9 +333,10 @@ def set_classes(docs: DataFrame, *, threshold: Fraction = THRESHOLD, target: flo
     spark = docs.sparkSession
     every = cut(sketches(docs, shingle))
     sets = cut(every.groupBy("name").agg(F.min("doc_id").alias("rep_id"), F.count("*").alias("n_copies"), F.first("size").alias("size"), F.first("picks").alias("picks")))
-    groups = cut(candidate_groups(sets, threshold=threshold, target=target, bucket=bucket))
-    members = groups.join(sets.select(F.col("name").alias("node"), "rep_id", "size"), "node").withColumnRenamed("node", "name")
-    pairs = _tile_pairs(members, float(threshold), tile)
+    groups = candidate_groups(sets, threshold=threshold, target=target, bucket=bucket)
+    band = F.floor(F.log("size") / -math.log(threshold)).cast("long").alias("band")
+    members = cut(groups.join(sets.select(F.col("name").alias("node"), "rep_id", "size"), "node").select(F.col("node").alias("name"), "root", "rep_id", band))
+    pairs = _tile_pairs(members, tile)
     held = _member_sets(docs, pairs, shingle).select("name", "set", "root", "tile", F.explode("meets").alias("x")).select("name", "set", "root", "tile", "x.low", "x.high")
     deal = F.when(F.col("tile") >= 0, F.xxhash64("root", "low", "high")).otherwise(F.pmod(F.xxhash64("root"), F.lit(4 * _tables.blocks_wanted(spark))))
     found = cut(held.withColumn("deal", deal).groupBy("deal").applyInArrow(_verify(threshold), "name binary, links long, tree binary"))

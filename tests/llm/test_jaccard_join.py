@@ -99,3 +99,26 @@ def test_bands_and_tiles(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
     want = sorted(brute(docs))
     assert sorted(map(tuple, j.similarity_classes(df, bucket=40, tile=10).collect())) == want
+
+
+def stages(spark, group, run):
+    """What it returns, and how many stages ran for it."""
+    spark.sparkContext.setJobGroup(group, group)
+    out = run()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    ids = {s for k in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(k).stageIds}
+    return out, sum(x.numCompletedTasks > 0 for x in map(tracker.getStageInfo, ids) if x)
+
+
+def test_few_stages_for_large_groups(spark):
+    """A group of near copies whose buckets are split at every level: stages of few rows, each with files for every pair of tasks, are the most of the disk on many partitions."""
+    r = random.Random(8)
+    base = [f"w{r.randrange(10**9)}" for _ in range(60)]
+    docs = [(i, " ".join([*base, *[f"v{i * 31 + k}" for k in range(i % 5)]])) for i in range(160)]
+    docs += [(1000 + i, " ".join([*base[:12], *[f"u{r.randrange(10**9)}" for _ in range(30)]])) for i in range(80)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got, n = stages(spark, "large-groups", lambda: sorted(map(tuple, j.similarity_classes(df, bucket=20, tile=30).collect())))
+    print(n, "stages")
+    assert got == sorted(brute(docs))
+    assert n <= 110
