@@ -1,10 +1,12 @@
 """Nearest neighbours by a block matrix join over int8 tiles.
 
-Queries and candidates are dealt into blocks, and each pair of blocks is a tile. A vector is rounded to int8 with a scale of
+Queries are dealt into sets and candidates into parts, and a cell of the grid of sets and parts is a task: the blocks of its set
+come first and are held, those of its part stream past, and each pair of blocks is a tile. Sets are as many as a task's memory
+asks for, or more where that moves fewer bytes; nothing but four sums goes to the driver. A vector is rounded to int8 with a scale of
 its own, and the length of what rounding took away is kept. Products of a tile's int8 matrices are exact in floating point
 and give distances that are off by those two lengths at most; pairs whose least possible distance is beyond the k-th largest
 possible one are out. The distances of the rest are computed again from the original vectors in double precision, term by
-term in order, and go into a heap for each query; heaps of a task's tiles are merged before the exchange, the others after.
+term in order, and go into a heap for each query; heaps of a cell's tiles are merged before the exchange, the others after.
 
 Every query gets its exact neighbours: nothing is sampled or left to chance.
 
@@ -17,12 +19,16 @@ than wanted, all are returned; empty tables give empty tables; further columns a
 from __future__ import annotations
 
 import math
+import random
+from collections import defaultdict
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from claimworks.llm import _tables
 
@@ -32,11 +38,15 @@ QUERY_BLOCK = 1024
 EXACT = 1024
 #: Pairs whose vectors are brought together at a time.
 PAIRS = 1 << 15
+#: Numbers of eight bytes that a task holds of its queries: their components and heaps.
+SET_NUMBERS = 1 << 22
+#: Pairs of a query and a candidate that are worth a task of their own.
+TASK_PAIRS = 1 << 20
 
 
 def usable(rows: DataFrame) -> DataFrame:
-    """vec_id, v (doubles) of the rows that take part."""
-    v = F.col("embedding").cast("array<double>")
+    """vec_id, v (floats where they are given as such, doubles otherwise) of the rows that take part."""
+    v = F.col("embedding").cast("array<float>" if isinstance(rows.schema["embedding"].dataType.elementType, T.FloatType) else "array<double>")
     odd = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select("vec_id", v.alias("v"), odd.alias("odd")).where(~F.col("odd") & F.exists("v", lambda x: x != 0)).select("vec_id", "v")
 
@@ -102,10 +112,21 @@ def _best(a: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
     return order[rank < k]
 
 
-def _blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
-    """The vectors of each Arrow batch as matrices, by dimension."""
+def _packed(ids: np.ndarray, x: np.ndarray) -> dict:
+    return {"dim": pa.array([x.shape[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "vectors": pa.array([x.tobytes()], pa.binary())}
+
+
+def _unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a block, as doubles."""
+    i = np.frombuffer(ids, np.int64)
+    return i, np.frombuffer(vectors, np.float32 if len(vectors) == 4 * dim * len(i) else np.float64).reshape(-1, dim).astype(np.float64)
+
+
+def _blocks(rows: DataFrame, parts: int) -> DataFrame:
+    """The vectors of each Arrow batch as matrices, by dimension, and dealt out in turn."""
 
     def run(batches):
+        part = random.Random(TaskContext.get().partitionId()).randrange(parts)
         for b in batches:
             ids, lists = b.column(0).to_numpy(), b.column(1)
             sizes = np.diff(lists.offsets.to_numpy())
@@ -113,49 +134,70 @@ def _blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
             for dim in np.unique(sizes).tolist():
                 k = np.flatnonzero(sizes == dim)
                 x = flat[ends[k][:, None] + np.arange(dim)]
-                yield pa.record_batch([pa.array([dim], pa.int32()), pa.array([ids[k].tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], names=["dim", "ids", "vectors"])
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32())} | _packed(ids[k], x))
+                part = (part + 1) % parts
+
+    return rows.select("vec_id", "v").mapInArrow(run, "part int, dim int, ids binary, vectors binary")
 
-    return rows.select("vec_id", "v").mapInArrow(run, "dim int, ids binary, vectors binary")
+
+def _extent(rows: DataFrame) -> tuple[int, int]:
+    """Rows and components, of those that take no part too."""
+    return rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.greatest(F.size("embedding"), F.lit(0))), F.lit(0))).first()
+
+
+def grid(asked: tuple[int, int], held: tuple[int, int], k: int, width: int) -> tuple[int, int]:
+    """How many sets and parts, from rows and components of queries and candidates.
+
+    A set goes to each part with its heaps, and a part to each set, so the cells of fewest bytes are those where both weigh the same.
+    """
+    tasks = max(1, min(width, math.ceil(asked[0] * held[0] / TASK_PAIRS)))
+    numbers = asked[1] + 3 * k * asked[0]
+    sets = max(1, math.ceil(numbers / SET_NUMBERS), round(math.sqrt(tasks * numbers / max(1, held[1]))))
+    return sets, math.ceil(tasks / sets)
 
 
 def nearest(rows: DataFrame, queries: DataFrame, *, k: int = NEAREST) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest rows, the nearest first, ties by vec_id."""
-    spark = rows.sparkSession
-    tasks = _tables.blocks_wanted(spark)
+    extent = _extent(queries)
+    sets, parts = grid(extent, _extent(rows), k, _tables.blocks_wanted(rows.sparkSession))
+    n_blocks = max(sets, math.ceil(extent[0] / QUERY_BLOCK))
     asked = usable(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
-    n_blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).withColumn("dim", F.size("v"))
 
     def matrix(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("v").to_pylist(), np.float64)
-        return pa.table({"dim": pa.array([x.shape[1]], pa.int32()), "block": pa.array([table.column("block")[0].as_py()], pa.int32()), "query_ids": pa.array([table.column("vec_id").to_numpy().tobytes()], pa.binary()), "queries": pa.array([x.tobytes()], pa.binary())})
+        lists = pa.concat_arrays(table.column("v").chunks)
+        return pa.table({"block": table.column("block")[:1]} | _packed(table.column("vec_id").to_numpy(), lists.flatten().to_numpy().reshape(len(lists), -1)))
 
-    asked_blocks = dealt.groupBy("dim", "block").applyInArrow(matrix, "dim int, block int, query_ids binary, queries binary")
-    spread = asked_blocks.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
-    held = _blocks(usable(rows), []).withColumn("task", F.pmod(F.xxhash64("ids"), F.lit(tasks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    tiles = held.join(spread, ["dim", "block", "task"]).select("dim", "block", "query_ids", "queries", "ids", "vectors")
+    asked_blocks = dealt.groupBy("dim", "block").applyInArrow(matrix, "block int, dim int, ids binary, vectors binary")
+    spread = asked_blocks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("set", F.col("block") % sets).withColumn("held", F.lit(False))
+    held = _blocks(usable(rows), parts).withColumn("set", F.explode(F.sequence(F.lit(0), F.lit(sets - 1)))).withColumn("held", F.lit(True))
+    columns = ["held", "dim", "ids", "vectors", (F.col("set") * parts + F.col("part")).alias("cell")]
+    # No join, whose plan would take a set's size before it is copied for the size of all copies and broadcast them.
+    cells = spread.select(columns).unionByName(held.select(columns)).repartitionById(sets * parts, "cell").sortWithinPartitions("held")
 
     def run(batches):
-        heaps: dict[tuple[int, int], tuple] = {}
+        heaps: dict[int, list[tuple]] = defaultdict(list)
         for b in batches:
-            for dim, block, qi, q, i, v in zip(*(b.column(c).to_pylist() for c in range(6))):
-                query_ids, x = np.frombuffer(qi, np.int64), np.frombuffer(q).reshape(-1, dim)
-                ids, y = np.frombuffer(i, np.int64), np.frombuffer(v).reshape(-1, dim)
-                _, a0, i0, d0 = heaps.get((dim, block), (query_ids, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-                bound = np.full(len(query_ids), np.inf)
-                full = np.flatnonzero(np.bincount(a0, minlength=len(bound)) == k)
-                if len(full):
-                    worst = np.zeros(len(bound))
-                    np.maximum.at(worst, a0, d0)
-                    bound[full] = worst[full]
-                a, p, d = nearest_in_tile(query_ids, x, ids, y, k, bound)
-                a, j, d = np.concatenate([a0, a]), np.concatenate([i0, ids[p]]), np.concatenate([d0, d])
-                best = _best(a, j, d, k)
-                heaps[dim, block] = (query_ids, a[best], j[best], d[best])
-        for query_ids, a, j, d in heaps.values():
+            for streams, dim, i, v in zip(*(b.column(c).to_pylist() for c in range(4))):
+                ids, y = _unpacked(dim, i, v)
+                if not streams:
+                    heaps[dim].append((ids, y, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+                    continue
+                for at, (query_ids, x, a0, i0, d0) in enumerate(heaps.get(dim, ())):
+                    bound = np.full(len(query_ids), np.inf)
+                    full = np.flatnonzero(np.bincount(a0, minlength=len(bound)) == k)
+                    if len(full):
+                        worst = np.zeros(len(bound))
+                        np.maximum.at(worst, a0, d0)
+                        bound[full] = worst[full]
+                    a, p, d = nearest_in_tile(query_ids, x, ids, y, k, bound)
+                    a, j, d = np.concatenate([a0, a]), np.concatenate([i0, ids[p]]), np.concatenate([d0, d])
+                    best = _best(a, j, d, k)
+                    heaps[dim][at] = (query_ids, x, a[best], j[best], d[best])
+        for query_ids, _, a, j, d in (h for some in heaps.values() for h in some):
             yield pa.record_batch([pa.array(query_ids[a]), pa.array(j), pa.array(d)], names=["query_id", "vec_id", "score"])
 
-    found = tiles.mapInArrow(run, "query_id long, vec_id long, score double")
+    found = cells.mapInArrow(run, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -88,3 +88,44 @@ def test_many_pairs(monkeypatch):
     x = np.ones((50, 3))
     got, pairs = in_one_tile(x)
     assert pairs == 5 * 49 and set(got.values()) == {0.0}
+
+
+def test_driver_holds_no_vectors(spark, monkeypatch):
+    """Copies of the queries for each task are no broadcast, however small the table looks to the planner."""
+    monkeypatch.setattr(v, "TASK_PAIRS", 100, raising=False)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        df = spark.createDataFrame(rows(), "vec_id long, embedding array<float>").repartition(5)
+        data = [tuple(r) for r in df.collect()]
+        got = v.nearest(df, df.where("vec_id % 100 = 0"))
+        assert sorted(map(tuple, got.collect())) == sorted(brute(data, 10))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in plan and "Exchange" in plan and "Broadcast" not in plan
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_sets_and_parts(spark, monkeypatch):
+    """Several sets of queries and parts of candidates, of floats and of doubles, give what one task gives."""
+    monkeypatch.setattr(v, "SET_NUMBERS", 200)
+    monkeypatch.setattr(v, "TASK_PAIRS", 1000)
+    monkeypatch.setattr(v, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(v._tables, "blocks_wanted", lambda spark: 12)
+    grids, grid = [], v.grid
+    monkeypatch.setattr(v, "grid", lambda *a: grids.append(grid(*a)) or grids[-1])
+    for kind in ("float", "double"):
+        df = spark.createDataFrame(rows(), f"vec_id long, embedding array<{kind}>").repartition(40)
+        data = [tuple(r) for r in df.collect()]
+        assert sorted(map(tuple, v.nearest(df, df.where("vec_id % 100 = 0")).collect())) == sorted(brute(data, 10))
+    assert all(sets > 1 and parts > 1 for sets, parts in grids)
+
+
+def test_grid():
+    assert v.grid((0, 0), (0, 0), 10, 200) == (1, 1)
+    moved = []
+    for n in (10**5, 10**6, 10**7):
+        sets, parts = v.grid((n // 100, n // 100 * 64), (n, n * 64), 10, 200)
+        assert sets * parts <= 2 * 200 and n // 100 * 94 / sets <= v.SET_NUMBERS
+        moved.append((n * 64 * sets + n // 100 * 94 * parts) / n)
+    assert max(moved) < 4 * 64
